@@ -95,7 +95,7 @@ def with_positions(spark, sf, targets):
 
 
 @query("history_rolling", rolling_sql(history.ROLLING, history.WINDOWS),
-       rolling_names(history.ROLLING, history.WINDOWS))
+       rolling_names(history.ROLLING, history.WINDOWS), 9)
 def history_rolling(spark, sf):
     o = history.entrant_rows(with_positions(spark, sf, history.ROLLING))
     return selected(o, history.rolling(o))
@@ -105,7 +105,7 @@ MEANS = {"rank": ("mean",), "prize": ("mean",), "odds": ("mean",)}
 
 
 @query("history_rolling_means", rolling_sql(MEANS, (3, 5), f"{R} SELECT", "r"),
-       rolling_names(MEANS, (3, 5)))
+       rolling_names(MEANS, (3, 5)), 9)
 def history_rolling_means(spark, sf):
     o = entrants(spark, sf, *MEANS, halo=5)
     return selected(o, history.rolling(o, MEANS, (3, 5)))
@@ -115,7 +115,7 @@ SLICED = {"rank": ("mean", "std", "median"), "odds": ("max",), "popularity": ("m
 
 
 @query("history_rolling_sliced", rolling_sql(SLICED, (3, 10), f"{R} SELECT", "r"),
-       rolling_names(SLICED, (3, 10)))
+       rolling_names(SLICED, (3, 10)), 9)
 def history_rolling_sliced(spark, sf):
     """The rolling columns on the path for hot keys: every entrant is cut into slices."""
     o = entrants(spark, sf, *SLICED, halo=10, hot_rows=30, slice_rows=16)

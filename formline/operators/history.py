@@ -75,8 +75,9 @@ def aggregate_of(value: Column, how: str) -> Column:
 
 
 def lags(o: OrderedRows, spec=LAGS) -> dict[str, Column]:
+    present = set(o.rows.columns)
     return {name: filled(o.over(F.lag(c, k), o.spec), fill) for c, k, name, fill in spec
-            if c in o.rows.columns}
+            if c in present}
 
 
 def day_gap(o: OrderedRows, date: str = DATE) -> Column:
@@ -93,10 +94,11 @@ def same_as_last(o: OrderedRows, column: str) -> Column:
 def rolling(o: OrderedRows, targets=None, windows: Sequence[int] = WINDOWS
             ) -> dict[str, Column]:
     """``{target}_{window}_{function}`` over the last ``window`` rows."""
+    present = set(o.rows.columns)
     return {
-        f"{c}_{w}_{how}": o.over(aggregate_of(F.col(c), how), o.last(w))
-        for c, hows in (targets or ROLLING).items() if c in o.rows.columns
-        for w in windows for how in hows
+        f"{c}_{w}_{how}": o.over(agg, o.last(w))
+        for c, hows in (targets or ROLLING).items() if c in present
+        for how in hows for agg in [aggregate_of(F.col(c), how)] for w in windows
     }
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -100,6 +100,7 @@ class OrderedRows:
                  hot: DataFrame | None | str = "check"):
         self.keys, self.order = list(keys), list(order)
         self.halo = halo
+        self._frames, self._has_key = {}, ~any_null(keys)
         hot_rows = HOT_ROWS if hot_rows is None else hot_rows
         self.slice_rows = max(SLICE_ROWS if slice_rows is None else slice_rows, halo, 1)
         self.hot = hot_keys(df, self.keys, hot_rows) if isinstance(hot, str) else hot
@@ -136,7 +137,7 @@ class OrderedRows:
             .withColumn(_HALO, F.col(_SLICE) != F.col("_own"))
         )
 
-    @property
+    @cached_property
     def spec(self):
         return Window.partitionBy(*self.keys, _SLICE).orderBy(*nulls_last(self.order))
 
@@ -144,18 +145,20 @@ class OrderedRows:
         """Frame over the ``rows`` rows before the current one."""
         if rows > self.halo:
             raise ValueError(f"frame of {rows} rows needs halo >= {rows}")
-        return self.spec.rowsBetween(-rows, -1)
+        if rows not in self._frames:
+            self._frames[rows] = self.spec.rowsBetween(-rows, -1)
+        return self._frames[rows]
 
     def over(self, value: Column, frame) -> Column:
         """``value`` over ``frame``; NULL on rows whose key is NULL."""
-        return F.when(~any_null(self.keys), value.over(frame))
+        return F.when(self._has_key, value.over(frame))
 
-    @property
+    @cached_property
     def before(self):
         """Frame over all earlier rows of the slice; combine with ``totals``."""
         return self.spec.rowsBetween(Window.unboundedPreceding, -1)
 
-    @property
+    @cached_property
     def own(self) -> Column:
         """True on rows that are not halo copies."""
         return F.lit(True) if self.hot is None else ~F.col(_HALO)
