@@ -66,9 +66,14 @@ def difference(df, con, sql) -> str | None:
     return None
 
 
+def run_module(run):
+    """Short name of the module a query was written in."""
+    return run.__wrapped__.__module__.split(".")[-1]
+
+
 def main():
     folder = f"/root/testdata/{sys.argv[1]}"
-    part = sys.argv[2] if len(sys.argv) > 2 else ""
+    parts = sys.argv[2:] or [""]
     from checks import ORACLES, QUERIES
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
@@ -78,7 +83,7 @@ def main():
     con = connect(folder)
     bad = []
     for name, run in QUERIES.items():
-        if part not in name:
+        if not any(p in (name, run_module(run)) or not p for p in parts):
             continue
         start = time.time()
         try:

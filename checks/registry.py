@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), digits: int = 6):
     """Register a query; ``doubles`` are rounded alike on both sides."""
     def add(fn: Query) -> Query:
+        @functools.wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
             df = fn(spark, sf)
             return df.withColumns({c: F.round(F.col(c).cast("double"), digits)
