@@ -205,7 +205,7 @@ GLOBAL_SQL = f"""WITH {I}, m AS (SELECT avg(target) AS g FROM k WHERE period < 2
         f"LEFT JOIN e_{c} ON a.{c} = e_{c}.key" for c in encoders.TARGET_KEYS)
 
 
-@query("target_encoding", GLOBAL_SQL, ENCODED, 9)
+@query("target_encoding", GLOBAL_SQL, ENCODED, 12)
 def target_encoding(spark, sf):
     df = with_keys(spark, sf)
     fitted = encoders.fit_target_encoder(df.where("period < 2023"), encoders.TARGET_KEYS)
@@ -227,7 +227,7 @@ FOLD_SQL = f"""WITH {I}, f AS (SELECT *, CAST(event_id % 5 AS INT) AS fold FROM
     f" AND a.fold = o_{c}.fold" for c in encoders.TARGET_KEYS)
 
 
-@query("target_encoding_out_of_fold", FOLD_SQL, ENCODED, 9)
+@query("target_encoding_out_of_fold", FOLD_SQL, ENCODED, 12)
 def target_encoding_out_of_fold(spark, sf):
     df = with_keys(spark, sf).withColumn("fold", encoders.fold_of("event_id"))
     slim = df.select(*KEY, "fold", "target", *encoders.TARGET_KEYS)
