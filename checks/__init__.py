@@ -1,4 +1,4 @@
 """The registered queries, their oracle statements and the tables they share."""
 
-from checks import contest, fields, history, money, relations  # noqa: F401
+from checks import contest, fields, files, history, money, pages, relations  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401
