@@ -1,4 +1,14 @@
 """The registered queries, their oracle statements and the tables they share."""
 
-from checks import contest, fields, files, history, money, pages, relations  # noqa: F401
+from checks import (  # noqa: F401
+    contest,
+    fields,
+    files,
+    flagship,
+    history,
+    models,
+    money,
+    pages,
+    relations,
+)
 from checks.registry import ORACLES, QUERIES  # noqa: F401

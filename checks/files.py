@@ -64,21 +64,20 @@ def legacy_csv_scan(spark, sf):
     import pandas as pd
 
     def encoded(batches):
-        for pdf in batches:
+        def coded(text):
             # The bytes ride in a text column as Latin-1, which keeps each of them.
-            yield pd.DataFrame({"value": pdf["line"].map(
-                lambda s: s.encode("cp932").decode("latin-1"))})
+            return text.encode("cp932").decode("latin-1")
+
+        yield pd.DataFrame({"value": [coded(",".join(VENDOR))]})  # header of the file
+        for pdf in batches:
+            yield pd.DataFrame({"value": pdf["line"].map(coded)})
 
-    rows = vendor(spark, sf).select(*VENDOR)
     line = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
                               for c in VENDOR])
     path = folder(spark, "legacy")
-    head = spark.createDataFrame([(",".join(VENDOR),)], "line string")
-    for part, df in (("a-head", head.coalesce(1)), ("b-body", rows.select(line.alias("line")))):
-        coded = df.mapInPandas(encoded, "value string").select(
-            F.encode("value", "ISO-8859-1").alias("value"))
-        coded.select(F.expr("CAST(value AS STRING)").alias("value")).write.text(f"{path}/{part}")
-    return tables.read_legacy_csv(spark, [f"{path}/a-head", f"{path}/b-body"], VENDOR_DDL)
+    coded = vendor(spark, sf).select(line.alias("line")).mapInPandas(encoded, "value string")
+    coded.select(F.encode("value", "ISO-8859-1").cast("string").alias("value")).write.text(path)
+    return tables.read_legacy_csv(spark, path, VENDOR_DDL)
 
 
 @query("vendor_features", f"""WITH {V}, f AS (SELECT *, make_date(2000 + 年, 月, 日) AS d FROM v)
@@ -125,9 +124,9 @@ def page_files(spark, sf):
     """One file per page, the id in its folder name, read back whole."""
     path = folder(spark, "pages")
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
-    pages.withColumnRenamed("html", "value").write.partitionBy("page_id") \
-        .option("lineSep", "").text(path)
+    pages.withColumnRenamed("html", "value").write.partitionBy("page_id").text(path)
     read = tables.read_pages(spark, f"{path}/*/*.txt", r"page_id=(\d+)/", "page_id")
-    return read.select("page_id", F.length("html").cast("bigint").alias("size"))
+    # The text writer ends every file with a line end.
+    return read.select("page_id", (F.length("html") - 1).cast("bigint").alias("size"))
 
 

@@ -36,7 +36,10 @@ T = "t AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in TEXT.items()) + " FROM
 
 
 def texts(spark, sf):
-    return table(spark, sf, "events").selectExpr(*[f"{e} AS {n}" for n, e in TEXT.items()])
+    events = table(spark, sf, "events")
+    # Reading pages is work for the processor: spread the one small file before it grows.
+    spread = events.repartition(spark.sparkContext.defaultParallelism, "event_id")
+    return spread.selectExpr(*[f"{e} AS {n}" for n, e in TEXT.items()])
 
 
 def link(kind, key, name):
@@ -200,10 +203,9 @@ def unreadable_pages(spark, sf):
     return html.page_errors(table(spark, sf, "pages"), "page_id")
 
 
-@query("page_headings", """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1)
- AS title FROM pages WHERE html LIKE '%<title>%</title>%' AND html NOT LIKE '%&%'""")
+@query("page_headings", """SELECT page_id, trim(replace(regexp_extract(html,
+ '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title FROM pages""")
 def page_headings(spark, sf):
-    """Titles of the raw web pages, read by the page reader; pages without references."""
-    pages = table(spark, sf, "pages").where(~F.col("html").contains("&"))
-    read = html.parsed_pages(pages, "page_id").select("page_id", F.col("p.title").alias("title"))
-    return read.where(F.col("title").isNotNull())
+    """Titles of the raw web pages, read by the page reader."""
+    read = html.parsed_pages(table(spark, sf, "pages"), "page_id")
+    return read.select("page_id", F.col("p.title").alias("title"))

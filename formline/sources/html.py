@@ -42,6 +42,9 @@ _ROW = pa.struct([("table_no", pa.int32()), ("table_class", pa.string()),
                   ("row_class", pa.string()), ("cells", pa.list_(_CELL))])
 _PAGE = pa.struct([*[(m, pa.string()) for m in MARKS], ("rows", pa.list_(_ROW)),
                    ("error", pa.string())])
+_MARKS_AT = {}  # tag of the innermost element -> marks ending there
+for _name, _chain in MARKS.items():
+    _MARKS_AT.setdefault(_chain[-1].partition(".")[0], []).append((_name, _chain))
 _EMPTY = {"br", "img", "meta", "input", "link", "hr", "col", "wbr", "area", "base"}
 _TEXT_OF = {"td", "th", "a", "p", "dl", "span", "h1", "title", "div"}
 _CLOSES = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
@@ -57,8 +60,8 @@ class _PageReader(HTMLParser):
         given = dict(attrs)
         if tag in _EMPTY:
             return
-        for inner in _CLOSES.get(tag, ()):
-            self._close(inner, within="table")
+        if tag in _CLOSES:
+            self._close_open(_CLOSES[tag])
         classes = (given.get("class") or "").split()
         entry = {"tag": tag, "classes": classes, "given": given, "got": []}
         self.open.append(entry)
@@ -93,18 +96,27 @@ class _PageReader(HTMLParser):
     def handle_endtag(self, tag):
         self._close(tag)
 
-    def _close(self, tag, within=None):
+    def _close(self, tag):
         """Close the innermost open ``tag``, and what is open inside it."""
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i]["tag"] == tag:
                 while len(self.open) > i:
                     self._finish()
                 return
-            if self.open[i]["tag"] == within:
-                return
+
+    def _close_open(self, tags):
+        """Close cells or rows of the innermost table that were left open."""
+        outermost = None
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i]["tag"] == "table":
+                break
+            if self.open[i]["tag"] in tags:
+                outermost = i
+        while outermost is not None and len(self.open) > outermost:
+            self._finish()
 
     def _finish(self):
-        for name, chain in MARKS.items():
+        for name, chain in _MARKS_AT.get(self.open[-1]["tag"], ()):
             if name not in self.texts and self._matches(chain):
                 self.texts[name] = "".join(self.open[-1]["got"])
         entry = self.open.pop()

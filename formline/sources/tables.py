@@ -76,12 +76,15 @@ def read_legacy_csv(spark: SparkSession, path: str | Sequence[str],
     # The text reader hands on the bytes of a line unchanged.
     lines = spark.read.text(paths).select(
         legacy_text(F.col("value").cast("binary")).alias("line"))
-    first = lines.first()
-    if first is None:
-        return spark.createDataFrame([], ddl or "value string")
-    names = next(csv.reader([first[0]]))
-    fields = ", ".join(f"`{n}` string" for n in names)
-    body = lines.where(F.col("line") != F.lit(first[0]))
+    # Only names and sizes of the files are listed, their content is not read.
+    one = spark.read.format("binaryFile").load(paths).where("length > 0").agg(
+        F.min("path")).first()[0]
+    if one is None:
+        raise ValueError(f"no data in {path}")
+    head = spark.read.text(one).select(
+        legacy_text(F.col("value").cast("binary")).alias("line")).first()["line"]
+    fields = ", ".join(f"`{n}` string" for n in next(csv.reader([head])))
+    body = lines.where(F.col("line") != F.lit(head))
     df = body.select(F.from_csv("line", fields).alias("r")).select("r.*")
     return typed(df, ddl) if ddl else df
 
@@ -114,10 +117,11 @@ def vendor_features(vendor: DataFrame, **skew) -> DataFrame:
 def read_pages(spark: SparkSession, path: str | Sequence[str],
                id_pattern: str = r"race_(\d+)\.html", key: str = "race_id") -> DataFrame:
     """(id from the file name, html) of saved pages; one row per file."""
-    pages = spark.read.option("wholetext", True).text(
-        path if isinstance(path, str) else list(path))
-    found = F.nullif(F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1), F.lit(""))
-    return pages.select(found.alias(key), F.col("value").alias("html"))
+    files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
+    found = F.nullif(F.regexp_extract("path", id_pattern, 1), F.lit(""))
+    # Bytes that are no UTF-8 are replaced; the page is kept.
+    return files.select(found.alias(key),
+                        F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
