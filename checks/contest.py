@@ -183,7 +183,8 @@ I = f"""{R}, i AS (SELECT *, CASE WHEN rank = 1 THEN 1 ELSE 0 END AS target,
 
 
 def with_keys(spark, sf):
-    return feat.with_interactions(feat.with_basic_columns(results(spark, sf)))
+    return feat.with_interactions(
+        feat.with_unknown_filled(feat.with_basic_columns(results(spark, sf))))
 
 
 @query("interaction_keys", f"""WITH {I} SELECT race_id, horse_num,

@@ -20,14 +20,21 @@ LEAD_WEIGHT = 1.5
 TINY = 1e-6
 
 
-def with_contest_stats(df: DataFrame, columns: Sequence[str], contest: str = CONTEST,
-                       **skew) -> DataFrame:
-    """``{column}_race_{mean,std,min,max}`` of the contest."""
+def contest_stats(columns: Sequence[str]) -> dict[str, Column]:
+    """``{column}_race_{mean,std,min,max}`` aggregates."""
     stats = {}
     for c in columns:
         stats |= {f"{c}_race_mean": F.avg(c), f"{c}_race_std": F.stddev_samp(c),
                   f"{c}_race_min": F.min(c), f"{c}_race_max": F.max(c)}
-    return with_group_stats(df, [contest], stats, **skew)
+    return stats
+
+
+def pace_stats() -> dict[str, Column]:
+    stats = {}
+    for s in PACE_STYLES:
+        stats |= {f"race_expected_{s}_count": F.sum(f"rate_{s}_5"),
+                  f"race_max_{s}_prob": F.max(f"rate_{s}_5")}
+    return stats
 
 
 def relative_columns(c: str) -> dict[str, Column]:
@@ -44,11 +51,28 @@ def relative_columns(c: str) -> dict[str, Column]:
 def with_relative(df: DataFrame, columns: Sequence[str] = RELATIVE, contest: str = CONTEST,
                   **skew) -> DataFrame:
     """Nine columns per input column: contest mean/std/min/max, differences, z-score, ratio."""
-    present = [c for c in columns if c in df.columns]
-    df = df.withColumns({c: S.number(c) for c in present})
-    wide = with_contest_stats(df, present, contest, **skew)
-    return wide.select("*", *[v.alias(n) for c in present
-                              for n, v in relative_columns(c).items()])
+    return with_contest_columns(df, columns, False, contest, **skew)
+
+
+def with_pace(df: DataFrame, contest: str = CONTEST, **skew) -> DataFrame:
+    """Expected number and strongest tendency of each style, and the pace index."""
+    return with_contest_columns(df, (), True, contest, **skew)
+
+
+def with_contest_columns(df: DataFrame, columns: Sequence[str] = RELATIVE, pace: bool = True,
+                         contest: str = CONTEST, **skew) -> DataFrame:
+    """Relative and pace columns from one grouping by contest."""
+    present = [c for c in columns if c in set(df.columns)]
+    df = df.withColumns({c: S.number(c) for c in present}) if present else df
+    stats = contest_stats(present) | (pace_stats() if pace else {})
+    wide = with_group_stats(df, [contest], stats, **skew)
+    new = {n: v for c in present for n, v in relative_columns(c).items()}
+    if pace:
+        count = {s: F.coalesce(F.col(f"race_expected_{s}_count"), F.lit(0.0))
+                 for s in PACE_STYLES}
+        new |= {f"race_expected_{s}_count": count[s] for s in PACE_STYLES}
+        new["race_pace_index"] = count["Nigeru"] * LEAD_WEIGHT + count["Senko"]
+    return wide.withColumns(new)
 
 
 def with_zscores(df: DataFrame, columns: dict[str, str], contest: str = CONTEST,
@@ -64,20 +88,6 @@ def with_zscores(df: DataFrame, columns: dict[str, str], contest: str = CONTEST,
                    F.lit(0.0)).alias(name) for c, name in columns.items()])
 
 
-def with_pace(df: DataFrame, contest: str = CONTEST, **skew) -> DataFrame:
-    """Expected number and strongest tendency of each style, and the pace index."""
-    stats = {}
-    for s in PACE_STYLES:
-        stats[f"race_expected_{s}_count"] = F.sum(f"rate_{s}_5")
-        stats[f"race_max_{s}_prob"] = F.max(f"rate_{s}_5")
-    wide = with_group_stats(df, [contest], stats, **skew)
-    wide = wide.withColumns({f"race_expected_{s}_count": F.coalesce(
-        F.col(f"race_expected_{s}_count"), F.lit(0.0)) for s in PACE_STYLES})
-    return wide.withColumn(
-        "race_pace_index",
-        F.col("race_expected_Nigeru_count") * LEAD_WEIGHT + F.col("race_expected_Senko_count"))
-
-
 def with_winner_time(df: DataFrame, contest: str = CONTEST, position: str = "rank",
                      seconds: str = "time_seconds", **skew) -> DataFrame:
     return with_group_stats(

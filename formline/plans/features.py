@@ -90,18 +90,19 @@ def with_basic_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({n: c for n, (source, c) in made.items() if source in present})
 
 
-def with_interactions(df: DataFrame) -> DataFrame:
-    """Interaction keys for the target encoders.
-
-    The rider/trainer pair keeps missing ids as ``nan``; the other keys read ``unknown``,
-    and the single id columns are filled the same way.
-    """
+def with_unknown_filled(df: DataFrame) -> DataFrame:
+    """Missing ids and contexts read ``unknown``; the rider/trainer pair is built before and
+    keeps its missing ids as ``nan``."""
     has = set(df.columns)
     if {"jockey_id", "trainer_id"} <= has:
         df = df.withColumn("jockey_trainer_pair",
                            S.joined_key("jockey_id", "trainer_id", missing="nan"))
-    df = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-                         if c in has else F.lit("unknown") for c in FILLED_UNKNOWN})
+    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+                           if c in has else F.lit("unknown") for c in FILLED_UNKNOWN})
+
+
+def with_interactions(df: DataFrame) -> DataFrame:
+    """Interaction keys for the target encoders, of a table with unknowns filled."""
     new = {f"{who}_{name}": S.joined_key(f"{who}_id", what)
            for who, contexts in {
                "sire": ("surface", "distance"), "bms": ("surface", "distance"),
@@ -152,22 +153,24 @@ def filled(df: DataFrame, means: dict[str, float] | None = None) -> DataFrame:
 def build_features(results: DataFrame, horses: DataFrame | None = None,
                    vendor: DataFrame | None = None, *, park_between: bool = True,
                    **skew) -> DataFrame:
-    """Results to features.  Steps with a different grouping are parked in between, which
-    cuts the wide plan and keeps a lost executor from repeating earlier windows."""
+    """Results to features.
+
+    The agents' shuffles come first, while rows are narrow; derived texts come after the last
+    shuffle that does not need them; one shuffle by contest serves all contest columns.
+    The wide table is parked twice: after the entrant windows (a lost executor does not
+    repeat them) and before the fills, which read it twice.
+    """
     def step(df, label):
         return park(df, label) if park_between else df
 
     df = results if "sire_id" in results.columns else joins.with_dimension(results, horses)
-    df = with_interactions(with_basic_columns(df))
-    df = step(history.with_history(df, **skew), "history")
+    df = with_unknown_filled(with_basic_columns(df))
+    df = agents.with_all_agent_rates(df, **skew)
+    df = history.with_history(df, **skew)
     if vendor is not None:
         df = with_vendor(df, vendor)
-    df = with_ratios(df)
-    for prefix, column in agents.AGENTS.items():
-        if column in df.columns:
-            df = step(agents.with_agent_rates(df, column, prefix, **skew), f"{prefix}-form")
-    df = contest.with_pace(df, **skew)
-    return filled(step(contest.with_relative(df, **skew), "relative"))
+    df = step(with_interactions(with_ratios(df)), "history")
+    return filled(step(contest.with_contest_columns(df, **skew), "features"))
 
 
 VENDOR_VALUES = (*history.VENDOR_LAGS.values(), "sire_type", "bms_type", "weight_change_jv")
