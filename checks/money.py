@@ -325,6 +325,31 @@ def settlement_summary(spark, sf):
     return daily.settlement(recs(spark, sf), outcomes(spark, sf))[1]
 
 
+TODAY = "CAST(date_dt AS DATE) = DATE '2024-01-30'"
+
+
+@query("daily_scoring", f"""WITH {R}, k AS (SELECT * FROM r WHERE NOT ({TODAY})
+ OR substr(race_id, 5, 2) <= '10'), h AS (SELECT *, coalesce(lag(CASE WHEN {TODAY} THEN NULL
+ ELSE rank END) OVER (PARTITION BY horse_id ORDER BY date_dt, race_id, horse_num), 99)
+ AS prev_rank FROM k), d AS (SELECT *, 1 / (1.0 + prev_rank) AS prob FROM h WHERE {TODAY})
+ SELECT race_id, horse_num, prob, odds, prob * odds AS ev, {tier_sql(1).replace('pred_prob', 'prob')}
+ AS rec, CAST(row_number() OVER (PARTITION BY race_id ORDER BY prob DESC, horse_num) AS INT)
+ AS display_order FROM d""", ["prob", "odds", "ev"])
+def daily_scoring(spark, sf):
+    """The whole daily pipeline: union with the past, features, the day's slice, table."""
+    df = results(spark, sf).drop("event_id", "day", "period", "pred_prob", "pred_b")
+    day = F.col("date_dt").cast("date") == F.lit("2024-01-30").cast("date")
+    entries = df.where(day).drop("rank", "prize", "agari_3f", "passing_order", "time", "margin")
+
+    def score(wide):
+        return wide.withColumn("pred_prob", 1 / (1.0 + F.col("prev_rank")))
+
+    scored = daily.score_day(df.where(~day), entries, "2024-01-30", score)
+    return daily.recommendations(scored).select(
+        "race_id", F.col("horse_num").cast("int").alias("horse_num"), "prob", "odds", "ev",
+        "rec", "display_order")
+
+
 @query("bets_with_results", f"""WITH {R} SELECT race_id, horse_num, CAST(100 AS INT) AS amount,
  rank, CASE WHEN rank = 1 THEN 100 * odds ELSE 0 END AS payout FROM r
  WHERE pred_prob * odds > 2.0 AND {SAFE}""", ["payout"])

@@ -12,6 +12,7 @@ from formline.functions import scalars as S
 from formline.operators import agents, contest, encoders, history, joins
 from formline.schemas import existing, missing_columns, numeric_columns
 from formline.session import park
+from formline.skew import bounded
 
 # --- fixed values -----------------------------------------------------------------
 OUTCOME_COLUMNS = (
@@ -212,13 +213,15 @@ def history_and_today(past: DataFrame, today: DataFrame) -> DataFrame:
 
 
 def relevant_history(past: DataFrame, today: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Past rows that share an entrant or agent with today's rows."""
-    ids = reduce(DataFrame.unionByName, [
-        today.select(F.lit(k).alias("kind"), F.col(k).cast("string").alias("id")).distinct()
-        for k in keys])
-    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("id"))
-                      for k in keys])
-    hits = past.select("race_id", "horse_num", F.explode(pairs).alias("p")).select(
-        "race_id", "horse_num", "p.kind", "p.id").join(ids, ["kind", "id"], "left_semi")
-    return past.join(hits.select("race_id", "horse_num").distinct(),
-                     ["race_id", "horse_num"], "left_semi")
+    """Past rows that share an entrant or agent with today's rows.
+
+    Today's ids are few (counted, then broadcast), so the past is filtered where it is read.
+    """
+    marks = []
+    for i, k in enumerate(keys):
+        ids = park(today.select(F.col(k).alias(f"_id{i}")).where(F.col(k).isNotNull())
+                   .distinct(), "today-ids")
+        past = past.join(bounded(ids, ids.count()), F.col(k) == F.col(f"_id{i}"), "left")
+        marks.append(f"_id{i}")
+    known = reduce(lambda a, b: a | b, [F.col(m).isNotNull() for m in marks])
+    return past.where(known).drop(*marks)

@@ -110,9 +110,9 @@ class OrderedRows:
             self.rows = df.withColumn(_SLICE, slice_of)
         else:
             count, total = self.hot.agg(F.count("*"), F.sum("_n")).first()
-            names = bounded(self.hot.select(*self.keys), count)
-            cold = df.join(names, self.keys, "left_anti").withColumns(
-                {_SLICE: slice_of, _HALO: F.lit(False)})
+            names = self._hot_names = bounded(self.hot.select(*self.keys), count)
+            cold = df.join(names, self.keys, "left_anti").select(
+                *df.columns, slice_of.alias(_SLICE), F.lit(False).alias(_HALO))
             big = self._cut(df.join(names, self.keys, "left_semi"), total)
             self.rows = cold.unionByName(big.select(*cold.columns))
 
@@ -168,9 +168,8 @@ class OrderedRows:
         group = [*self.keys, _SLICE]
         earlier = Window.partitionBy(*self.keys).orderBy(_SLICE).rowsBetween(
             Window.unboundedPreceding, -1)
-        names = bounded(self.hot.select(*self.keys), self.hot.count())
         return (
-            df.where(~F.col(_HALO)).join(names, self.keys, "left_semi")
+            df.where(~F.col(_HALO)).join(self._hot_names, self.keys, "left_semi")
             .groupBy(*group).agg(*[v.alias(f"_c_{n}") for n, v in per_slice.items()])
             .select(*group, *[across(F.col(f"_c_{n}")).over(earlier).alias(f"_c_{n}")
                               for n in per_slice])
@@ -248,7 +247,7 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column
     big = df.join(names, keys, "left_semi")
     totals = big.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
     joined = big.join(bounded(totals, count), keys)
-    cold = windowed(df.join(names, keys, "left_anti"))
+    cold = windowed(df.join(names, keys, "left_anti").select(*df.columns))
     return cold.unionByName(joined.select(*cold.columns))
 
 
