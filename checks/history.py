@@ -191,7 +191,7 @@ DECAY_SQL = f"""WITH {LINES} SELECT a.l_suppkey, a.l_orderkey, a.l_linenumber, a
  sum(c.x * power(2 / 3.0, a.rn - c.rn)) / sum(CASE WHEN c.x IS NULL THEN NULL
  ELSE power(2 / 3.0, a.rn - c.rn) END) AS ewma
  FROM b a LEFT JOIN b c ON a.l_suppkey = c.l_suppkey AND c.rn < a.rn AND c.rn >= a.rn - 100
- GROUP BY ALL"""
+ GROUP BY a.l_suppkey, a.l_orderkey, a.l_linenumber, a.l_partkey, a.rn"""
 
 
 def decayed(spark, sf, **skew):
