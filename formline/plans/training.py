@@ -136,17 +136,29 @@ def importance_table(model: CalibratedModel, df: DataFrame) -> DataFrame:
         F.desc("importance"), "feature")
 
 
+ROW_KEY = ("race_id", "horse_num")
+FOLD = "_fold"
+
+
+def encoder_sums(df: DataFrame, keys: Sequence[str], label: str = "target",
+                 row_key: Sequence[str] = ROW_KEY, by: Sequence[str] = ()) -> DataFrame:
+    """Sums per key, fold and ``by``: all encoders of all folds and periods follow from them."""
+    return encoders.key_sums(df.withColumn(FOLD, row_fold(*row_key)), keys, label, [FOLD, *by])
+
+
 def encoded_pair(train: DataFrame, test: DataFrame, label: str = "target",
-                 key: Sequence[str] = ("race_id", "horse_num"),
+                 row_key: Sequence[str] = ROW_KEY,
                  keys: Sequence[str] = encoders.TARGET_KEYS,
-                 labels: Sequence[str] = encoders.LABEL_COLUMNS, out_of_fold: bool = True
-                 ) -> tuple[DataFrame, DataFrame]:
-    """Encoders fitted on the training rows; training rows are encoded out of fold."""
-    target = encoders.fit_target_encoder(train, keys, label)
+                 labels: Sequence[str] = encoders.LABEL_COLUMNS, out_of_fold: bool = True,
+                 sums: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Encoders of the training rows, applied to both; training rows are encoded out of fold."""
+    keys = [k for k in keys if k in train.columns]
+    sums = encoder_sums(train, keys, label, row_key) if sums is None else sums
+    target = encoders.encoder_from_sums(sums, keys)
     classes = encoders.fit_label_encoder(train, labels)
     if out_of_fold:
-        inner = train.withColumn("_fold", row_fold(*key))
-        seen = encoders.with_out_of_fold_encoding(inner, keys, label, "_fold").drop("_fold")
+        inner = train.withColumn(FOLD, row_fold(*row_key))
+        seen = encoders.with_out_of_fold_encoding(inner, keys, label, FOLD, sums=sums).drop(FOLD)
     else:
         seen = target.transform(train)
     return classes.transform(seen), classes.transform(target.transform(test))
@@ -154,21 +166,26 @@ def encoded_pair(train: DataFrame, test: DataFrame, label: str = "target",
 
 def walk_forward(features: DataFrame, first_test: int, *, period: str = "year",
                  label: str = "target", without: Sequence[str] = (), **options) -> DataFrame:
-    """Score every period from ``first_test`` on with a model of all earlier periods."""
+    """Score every period from ``first_test`` on with a model of all earlier periods.
+
+    The rows are read once for the encoders of all periods.
+    """
     periods = sorted(r[0] for r in features.select(period).distinct().collect()
                      if r[0] is not None)  # one value per year
+    tested = [p for p in periods if p >= first_test and p > periods[0]]
+    if not tested:
+        raise ValueError(f"no period to test from {first_test} on")
+    keys = [k for k in encoders.TARGET_KEYS if k in features.columns]
+    sums = encoder_sums(features, keys, label, by=[period])
     scored = []
-    for test_period in [p for p in periods if p >= first_test]:
-        train = features.where(F.col(period) < test_period)
-        if not train.limit(1).count():
-            continue
-        test = features.where(F.col(period) == test_period)
-        train_x, test_x = encoded_pair(train, test, label)
+    for test_period in tested:
+        earlier = F.col(period) < test_period
+        train_x, test_x = encoded_pair(
+            features.where(earlier), features.where(F.col(period) == test_period), label,
+            sums=sums.where(earlier))
         columns = feat.model_columns(train_x, [period, *without])
         model = fit_calibrated(train_x, columns, label, **options)
         scored.append(park(model.transform(test_x), f"scored-{test_period}"))
-    if not scored:
-        raise ValueError(f"no period to test from {first_test} on")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scored)
 
 
