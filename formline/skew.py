@@ -27,6 +27,7 @@ from formline.session import park
 HOT_ROWS = 2_000_000
 SLICE_ROWS = 1_000_000
 MAX_PIECES = 4096
+MAX_LEVELS, PIECE_BASE = 4, 16_384  # four levels of up to 2 * MAX_PIECES ranges fit a long
 BROADCAST_ROWS = 200_000
 
 _SLICE, _HALO, _PIECE, _LEAD, _RN = "_slice", "_halo", "_piece", "_lead", "_rn"
@@ -57,35 +58,74 @@ def bounded(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= BROADCAST_ROWS else small
 
 
-def order_number(df: DataFrame, column: str) -> Column:
-    """Monotone double of a numeric, date or timestamp column; NaN where it is NULL."""
-    c, kind = F.col(column), df.schema[column].dataType
-    if isinstance(kind, T.DateType):
-        number = F.datediff(c, F.lit("1970-01-01"))
-    elif isinstance(kind, T.TimestampNTZType):
-        # Wall-clock parts, so the session time zone plays no role.
-        number = (
-            F.datediff(c.cast("date"), F.lit("1970-01-01")).cast("double") * 86400
-            + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-        )
-    elif isinstance(kind, T.TimestampType):
-        number = F.unix_micros(c)
-    else:
-        number = c
-    return F.coalesce(number.cast("double"), F.lit(float("nan")))
+TEXT_CHUNKS, CHUNK = 3, 6
+
+
+def order_numbers(df: DataFrame, columns: Sequence[str]) -> list[tuple[Column, bool]]:
+    """Doubles that order rows as ``columns`` do, coarse to fine; NaN stands for NULL.
+
+    Equal numbers mean equal values up to the last one of the list.  The flag tells whether
+    NaN, too, means one value (a floating column also has NaN of its own).
+    """
+    out: list[tuple[Column, bool]] = []
+    for name in columns:
+        c, kind = F.col(name), df.schema[name].dataType
+        if isinstance(kind, T.TimestampNTZType):
+            # Wall-clock parts, so the session time zone plays no role.
+            second = F.hour(c) * 3600 + F.minute(c) * 60 + F.expr(
+                f"extract(SECOND FROM `{name}`)").cast("double")
+            parts = [F.datediff(c.cast("date"), F.lit("1970-01-01")), second]
+        elif isinstance(kind, T.DateType):
+            parts = [F.datediff(c, F.lit("1970-01-01"))]
+        elif isinstance(kind, (T.LongType, T.TimestampType)):
+            # Both halves are exact as doubles.
+            whole = c if isinstance(kind, T.LongType) else F.unix_micros(c)
+            parts = [F.shiftright(whole, 32), whole.bitwiseAND(F.lit(2**32 - 1))]
+        elif isinstance(kind, T.StringType):
+            hexes = F.hex(F.encode(c, "UTF-8"))
+            parts = [F.conv(F.rpad(F.substring(hexes, 1 + 2 * CHUNK * i, 2 * CHUNK), 2 * CHUNK,
+                                   "0"), 16, 10) for i in range(TEXT_CHUNKS)]
+        elif isinstance(kind, (T.NumericType, T.BooleanType)):
+            parts = [c]
+        else:
+            return out
+        floating = isinstance(kind, (T.FloatType, T.DoubleType))
+        out += [(F.coalesce(p.cast("double"), F.lit(float("nan"))), not floating) for p in parts]
+        if isinstance(kind, (T.DecimalType, T.StringType)):
+            return out  # different values may share all their numbers
+    return out
 
 
-def pieces(df: DataFrame, column: str, count: int) -> DataFrame:
-    """Add ``_piece``: about ``count`` equally filled ranges of the double ``column``."""
+def pieces(df: DataFrame, order: Sequence[str], count: int) -> DataFrame:
+    """Add ``_piece``: ranges of the row order with about equally many rows.
+
+    Ranges are cut at quantiles of the first order number.  A value so frequent that it
+    fills whole ranges is kept apart, and its rows are cut by the next number.
+    """
     count = max(2, min(MAX_PIECES, count))
-    finite = df.where(~F.isnan(column) & (F.abs(F.col(column)) != float("inf")))
-    cuts = finite.approxQuantile(column, [i / count for i in range(1, count)], 0.25 / count)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        splits = [float("-inf"), 0.0, float("inf")]
-    return Bucketizer(
-        splits=splits, inputCol=column, outputCol=_PIECE, handleInvalid="keep"
-    ).transform(df)
+    kept = df.columns
+    df = df.withColumn(_PIECE, F.lit(0).cast("long"))
+    is_open = F.lit(True)  # rows still to be cut
+    for number, nan_is_null in order_numbers(df, order)[:MAX_LEVELS]:
+        df = df.withColumn(_LEAD, F.when(is_open, number).otherwise(F.lit(float("nan"))))
+        known = df.where(is_open & ~F.isnan(_LEAD))
+        cuts = known.approxQuantile(_LEAD, [i / count for i in range(1, count)], 0.25 / count)
+        frequent = sorted({c for c in cuts if cuts.count(c) > 1 and math.isfinite(c)})
+        inner = {c for c in cuts if math.isfinite(c)} | {
+            math.nextafter(c, math.inf) for c in frequent}
+        splits = [-math.inf, *(sorted(inner) or [0.0]), math.inf]
+        df = Bucketizer(splits=splits, inputCol=_LEAD, outputCol="_bucket",
+                        handleInvalid="keep").transform(df)
+        bucket = F.when(is_open, F.col("_bucket").cast("long")).otherwise(F.lit(0))
+        repeated = F.col(_LEAD).isin(frequent) if frequent else F.lit(False)
+        if nan_is_null:
+            repeated = repeated | F.isnan(_LEAD)
+        df = df.select(*kept, (F.col(_PIECE) * PIECE_BASE + bucket).alias(_PIECE),
+                       (is_open & repeated).alias("_open"))
+        if not frequent and (cuts or not nan_is_null):
+            break
+        is_open = F.col("_open")
+    return df.drop("_open")
 
 
 class OrderedRows:
@@ -119,7 +159,7 @@ class OrderedRows:
     def _cut(self, big: DataFrame, total: int) -> DataFrame:
         """Number the rows of the hot keys and cut them into slices."""
         count = 2 * math.ceil(total / self.slice_rows)
-        big = pieces(big.withColumn(_LEAD, order_number(big, self.order[0])), _LEAD, count)
+        big = pieces(big, self.order, count)
         group = [*self.keys, _PIECE]
         before = Window.partitionBy(*self.keys).orderBy(_PIECE).rowsBetween(
             Window.unboundedPreceding, -1)
@@ -259,8 +299,7 @@ def global_running(df: DataFrame, order: Sequence[str], values: dict[str, Column
     (at most ``MAX_PIECES`` rows) meet in a single window.
     """
     total = df.count() if total is None else total
-    rows = pieces(df.withColumn(_LEAD, order_number(df, order[0])), _LEAD,
-                  math.ceil(max(total, 1) / piece_rows))
+    rows = pieces(df, order, math.ceil(max(total, 1) / piece_rows))
     inside = Window.partitionBy(_PIECE).orderBy(*nulls_last(order)).rowsBetween(
         Window.unboundedPreceding, -1)
     across = Window.partitionBy(F.lit(1)).orderBy(_PIECE).rowsBetween(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from formline.operators import agents, contest, history
 from formline.plans import features as feat
-from formline.skew import OrderedRows, global_running, with_group_stats
+from formline.skew import OrderedRows, global_running, nulls_last, pieces, with_group_stats
 
 FIXTURE = [
     ("202301010101", "2023年1月5日", "H1", 1, 100.0, "1/2", "J1", "T1", 1600, "芝", "晴", "良",
@@ -108,6 +108,41 @@ def test_windows_stay_inside_the_slices(spark):
     assert sizes <= 210
 
 
+def test_one_time_for_all_rows(spark):
+    """Ties of the first ordering column are cut by the next ones."""
+    rng = random.Random(8)
+    day = dt.datetime(2024, 5, 5)
+    data = [(f"2024{rng.randrange(40):08d}", i, "hot" if rng.random() < .9 else None,
+             day if rng.random() < .95 else None, rng.randrange(1, 13), rng.random())
+            for i in range(1500)]
+    plain, names = computed(spark, data)
+    sliced, _ = computed(spark, data, hot_rows=100, slice_rows=120)
+    for k, row in plain.items():
+        for name, a, b in zip(names, row, sliced[k], strict=True):
+            assert a == b or a == pytest.approx(b, rel=1e-9, abs=1e-9), (k, name)
+    df = spark.createDataFrame(data, DDL).where("horse_id = 'hot'")
+    cut = pieces(df, ["date_dt", "race_id", "horse_num"], 20)
+    assert cut.groupBy("_piece").count().agg(F.max("count")).first()[0] < 300
+
+
+@pytest.mark.parametrize("order", [["t"], ["d", "i"], ["x", "i"], ["n", "x", "i"], ["f", "t"],
+                                   ["i"]])
+def test_pieces_keep_the_order(spark, order):
+    rng = random.Random(3)
+    def some(v):
+        return v if rng.random() > .1 else None
+    data = [(i + 2**40, some(rng.choice("ab") + "é" * rng.randrange(9) + str(rng.randrange(99))),
+             some(dt.date(2024, 1, 1 + rng.randrange(3))),
+             some(rng.choice([0.0, -0.0, 5.0, float("nan"), float("inf"), rng.random()])),
+             some(dt.datetime(2024, 1, 1, 0, 0, 0, rng.randrange(50))), some(rng.random() < .5))
+            for i in range(900)]
+    df = spark.createDataFrame(
+        data, "i bigint, t string, d date, x double, n timestamp_ntz, f boolean")
+    got = pieces(df, order, 15).orderBy(*nulls_last(order)).select("_piece").collect()
+    seen = [r[0] for r in got]
+    assert seen == sorted(seen) and len(set(seen)) > 1
+
+
 def test_hot_agent_and_contest_same_as_plain(spark):
     df = spark.createDataFrame(rows(1500, 5), DDL)
     order = ["date_dt", "race_id", "horse_num"]
