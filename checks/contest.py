@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.history import KEY, P
+from checks.history import KEY, P, ewma_sql
 from checks.registry import query
 from checks.tables import ENTRANT_ORDER, R, results
 from formline.functions import scalars as S
@@ -309,3 +309,20 @@ def build_features(spark, sf):
     wide = feat.build_features(results(spark, sf))
     return wide.select("race_id", F.col("horse_num").cast("int").alias("horse_num"),
                        "prev_rank", "rate_Senko_10")
+
+
+BASE_Z = ["weight_zscore", "age_zscore", "odds_zscore", "ewma_prize_zscore"]
+QUOTED = {"horse_weight": "weight_zscore", "age": "age_zscore", "odds": "odds_zscore",
+          "ewma_prize_5": "ewma_prize_zscore"}
+
+
+@query("baseline_features", f"""WITH {R}, q AS (SELECT *, {SECONDS} AS t, row_number() OVER
+ (PARTITION BY horse_id ORDER BY {ENTRANT_ORDER}) AS rn FROM r),
+ e AS (SELECT *, {ewma_sql('prize', 'ewma_prize_5', 0)},
+ min(CASE WHEN rank = 1 THEN t END) OVER ({CON}) AS best FROM q)
+ SELECT race_id, horse_num, CASE WHEN rank = 1 OR (rank = 2 AND t = best) THEN 1 ELSE 0 END
+ AS target, {', '.join(zscore_sql(c, n) for c, n in QUOTED.items())} FROM e""", BASE_Z)
+def baseline_features(spark, sf):
+    df = results(spark, sf, *KEY, "horse_id", "jockey_id", "trainer_id", "date_dt", "rank",
+                 "prize", "odds", "surface", "weight_change", "time", "horse_weight", "age")
+    return feat.build_baseline_features(df).select(*KEY, "target", *BASE_Z)

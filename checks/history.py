@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.tables import ENTRANT_ORDER, RESULT_COLUMNS, R, V, results, table, vendor
+from checks.tables import ENTRANT_ORDER, R, V, results, table, vendor
 from formline.functions import scalars as S
 from formline.operators import agents, history
 from formline.skew import OrderedRows
@@ -288,6 +288,21 @@ def agent_rates(spark, sf):
     return agents.with_all_agent_rates(df).select(*KEY, *AGENT_RATES)
 
 
+BY_CONTEST = "race_id, horse_num"
+
+
+@query("agent_rates_by_contest_id", f"""WITH {R}, a AS (SELECT race_id, horse_num,
+ {rate_sql('r', 'jockey_id', 'jockey', BY_CONTEST)},
+ {rate_sql('r', 'trainer_id', 'trainer', BY_CONTEST)} FROM r)
+ SELECT race_id, horse_num, {', '.join(f'coalesce({c}, 0) AS {c}' for c in AGENT_RATES)}
+ FROM a""", AGENT_RATES)
+def agent_rates_by_contest_id(spark, sf):
+    """Ordered by contest id alone, without history 0."""
+    df = results(spark, sf, *KEY, "jockey_id", "trainer_id", "rank")
+    out = agents.with_all_agent_rates(df, order=("race_id", "horse_num"))
+    return out.fillna(0.0, AGENT_RATES).select(*KEY, *AGENT_RATES)
+
+
 SUPPLIER_ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey"
 SUPPLIER_RATES = [f"supplier_{n}_rate_100" for n in agents.FLAGS]
 SUPPLIER_SQL = f"""SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey,
@@ -310,6 +325,3 @@ def agent_rates_supplier(spark, sf):
 def agent_rates_supplier_sliced(spark, sf):
     """Agent rates on the path for hot keys: every supplier is cut into slices."""
     return supplier_rates(spark, sf, hot_rows=150, slice_rows=128)
-
-
-__all__ = ["RESULT_COLUMNS"]

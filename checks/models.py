@@ -9,6 +9,7 @@ from checks.registry import query
 from checks.tables import R, results
 from formline.functions import scalars as S
 from formline.operators import agents, evaluate, history
+from formline.plans import features as feat
 from formline.plans import training
 from formline.session import park
 
@@ -83,6 +84,26 @@ def setting_sweep(spark, sf):
     return spark.createDataFrame(rows, "max_depth int, step_size double, logloss double")
 
 
+@query("setting_sweep_held_out_period")
+def setting_sweep_held_out_period(spark, sf):
+    train, _ = split(spark, sf)
+    found = training.holdout_sweep(train, TRAITS, {"maxDepth": [2, 4], "maxIter": [2]}, 2022,
+                                   period="period")
+    return spark.createDataFrame([(o["maxDepth"], loss) for o, loss in found],
+                                 "max_depth int, logloss double")
+
+
+@query("walk_forward_without_history")
+def walk_forward_without_history(spark, sf):
+    """The first-generation features, built separately for each side of every split."""
+    df = results(spark, sf, *KEY, "period", "horse_id", "jockey_id", "trainer_id", "date_dt",
+                 "rank", "prize", "odds", "surface", "weight_change", "time", "horse_weight",
+                 "age", "weather", "gender")
+    scored = training.walk_forward(df, 2024, period="period", folds=2,
+                                   build=feat.build_baseline_features, **SMALL)
+    return evaluate.yearly_money(scored.withColumnRenamed("period", "year"), 0.5)
+
+
 @query("train_and_refit")
 def train_and_refit(spark, sf):
     scored, final = training.train_and_refit(features(spark, sf).drop("event_id"), 2023,

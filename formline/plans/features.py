@@ -174,6 +174,21 @@ def build_features(results: DataFrame, horses: DataFrame | None = None,
     return filled(step(contest.with_contest_columns(df, **skew), "features"))
 
 
+BASELINE_ZSCORES = {"horse_weight": "weight_zscore", "age": "age_zscore", "odds": "odds_zscore",
+                    "ewma_prize_5": "ewma_prize_zscore"}
+
+
+def build_baseline_features(results: DataFrame, **skew) -> DataFrame:
+    """The first-generation features: dead-even target, short history, four z-scores."""
+    df = with_basic_columns(results)
+    if {"jockey_id", "trainer_id"} <= set(df.columns):
+        df = df.withColumn("jockey_trainer_pair",
+                           S.joined_key("jockey_id", "trainer_id", missing="nan"))
+    df = contest.with_dead_even_target(df, **skew)
+    wide = park(history.with_baseline_history(df, **skew), "baseline")
+    return contest.with_zscores(wide, BASELINE_ZSCORES, **skew)
+
+
 VENDOR_VALUES = (*history.VENDOR_LAGS.values(), "sire_type", "bms_type", "weight_change_jv")
 
 

@@ -153,9 +153,11 @@ def encoded_pair(train: DataFrame, test: DataFrame, label: str = "target",
                  sums: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Encoders of the training rows, applied to both; training rows are encoded out of fold."""
     keys = [k for k in keys if k in train.columns]
+    classes = encoders.fit_label_encoder(train, labels)
+    if not keys:
+        return classes.transform(train), classes.transform(test)
     sums = encoder_sums(train, keys, label, row_key) if sums is None else sums
     target = encoders.encoder_from_sums(sums, keys)
-    classes = encoders.fit_label_encoder(train, labels)
     if out_of_fold:
         inner = train.withColumn(FOLD, row_fold(*row_key))
         seen = encoders.with_out_of_fold_encoding(inner, keys, label, FOLD, sums=sums).drop(FOLD)
@@ -165,10 +167,14 @@ def encoded_pair(train: DataFrame, test: DataFrame, label: str = "target",
 
 
 def walk_forward(features: DataFrame, first_test: int, *, period: str = "year",
-                 label: str = "target", without: Sequence[str] = (), **options) -> DataFrame:
+                 label: str = "target", without: Sequence[str] = (),
+                 build: Callable[[DataFrame], DataFrame] | None = None,
+                 **options) -> DataFrame:
     """Score every period from ``first_test`` on with a model of all earlier periods.
 
-    The rows are read once for the encoders of all periods.
+    The rows are read once for the encoders of all periods.  With ``build``, the table holds
+    raw rows and the features of each side are built from its own rows alone, so a test
+    period starts without history.
     """
     periods = sorted(r[0] for r in features.select(period).distinct().collect()
                      if r[0] is not None)  # one value per year
@@ -176,35 +182,50 @@ def walk_forward(features: DataFrame, first_test: int, *, period: str = "year",
     if not tested:
         raise ValueError(f"no period to test from {first_test} on")
     keys = [k for k in encoders.TARGET_KEYS if k in features.columns]
-    sums = encoder_sums(features, keys, label, by=[period])
+    sums = encoder_sums(features, keys, label, by=[period]) if keys and not build else None
     scored = []
     for test_period in tested:
         earlier = F.col(period) < test_period
+        train, test = features.where(earlier), features.where(F.col(period) == test_period)
+        if build:
+            train, test = park(build(train), "train"), park(build(test), "test")
         train_x, test_x = encoded_pair(
-            features.where(earlier), features.where(F.col(period) == test_period), label,
-            sums=sums.where(earlier))
+            train, test, label, sums=None if sums is None else sums.where(earlier))
         columns = feat.model_columns(train_x, [period, *without])
         model = fit_calibrated(train_x, columns, label, **options)
         scored.append(park(model.transform(test_x), f"scored-{test_period}"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scored)
 
 
+def _settings(grid: dict[str, Sequence]) -> list[dict]:
+    return [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+
+
+def _loss(train: DataFrame, judged: DataFrame, label: str, options: dict) -> float:
+    scored = raw_score(classifier(label, **options).fit(train), judged)
+    return scored.agg(evaluate.log_loss(F.col(label), F.col(RAW))).first()[0]
+
+
 def sweep(train: DataFrame, columns: Sequence[str], grid: dict[str, Sequence],
           label: str = "target", date: str = "date_dt", folds: int = FOLDS
           ) -> list[tuple[dict, float]]:
     """Mean log loss of each setting over the ordered folds, best first."""
     rows = park(assembled(time_folds(train, date, folds), columns).select(
         label, "features", "fold"), "sweep")
-    results = []
-    for values in itertools.product(*grid.values()):
-        options = dict(zip(grid, values, strict=True))
-        losses = []
-        for k in range(1, folds + 1):
-            model = classifier(label, **options).fit(rows.where(F.col("fold") < k))
-            judged = raw_score(model, rows.where(F.col("fold") == k))
-            losses.append(judged.agg(
-                evaluate.log_loss(F.col(label), F.col(RAW))).first()[0])
-        results.append((options, sum(losses) / len(losses)))
+    fold = F.col("fold")
+    results = [(options, sum(_loss(rows.where(fold < k), rows.where(fold == k), label, options)
+                             for k in range(1, folds + 1)) / folds)
+               for options in _settings(grid)]
+    return sorted(results, key=lambda r: r[1])
+
+
+def holdout_sweep(train: DataFrame, columns: Sequence[str], grid: dict[str, Sequence],
+                  held_out: int, label: str = "target", period: str = "year"
+                  ) -> list[tuple[dict, float]]:
+    """Log loss of each setting on one period, trained on the earlier ones, best first."""
+    rows = park(assembled(train, columns).select(label, "features", period), "sweep")
+    before, judged = rows.where(F.col(period) < held_out), rows.where(F.col(period) == held_out)
+    results = [(o, _loss(before, judged, label, o)) for o in _settings(grid)]
     return sorted(results, key=lambda r: r[1])
 
 
