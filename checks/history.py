@@ -199,7 +199,7 @@ def decayed(spark, sf, **skew):
         "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
         F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("x"))
     o = OrderedRows(df, ["l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"],
-                    halo=history.DECAY_ROWS, **skew)
+                    halo=history.decay_rows(5), **skew)
     return o.finish(history.with_decayed_means(o, {"ewma": "x"})).select(
         "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "ewma")
 

@@ -5,13 +5,14 @@ Every frame ends one row before the current row and never crosses entrants.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.functions import scalars as S
-from formline.skew import OrderedRows
+from formline.skew import OrderedRows, nulls_last
 
 # --- fixed values: targets, windows and fills of the feature set ------------------
 WINDOWS = (3, 5, 10, 100)
@@ -53,7 +54,7 @@ VENDOR_LAGS = {
 
 ENTRANT, DATE = "horse_id", "date_dt"
 TIEBREAK = ("race_id", "horse_num")
-DECAY_ROWS = 90  # (2/3)**90 is below double precision
+PRECISION = 1e-16
 LONGEST = max(WINDOWS)
 
 
@@ -136,34 +137,39 @@ def with_suitability(o: OrderedRows, conditions: dict[str, Column] | None = None
         .alias(f"avg_{value}_{n}") for n in conditions])
 
 
-def decayed_mean(value: Column, span: int, frame) -> Column:
-    """Weighted mean of the frame; each step back weighs (1 - 2/(span+1)) as much and
-    NULLs keep their age."""
-    keep = 1 - 2 / (span + 1)
-    zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-
-    def step(acc, item):
-        x = item["x"]
-        return F.struct(
-            (acc["num"] * keep + F.coalesce(x, F.lit(0.0))).alias("num"),
-            (acc["den"] * keep + F.when(x.isNull(), 0.0).otherwise(1.0)).alias("den"))
-
-    items = F.collect_list(F.struct(value.cast("double").alias("x"))).over(frame)
-    return F.aggregate(items, zero, step, lambda acc: acc["num"] / acc["den"])
+def decay_rows(span: int) -> int:
+    """Steps back beyond which a weight is below double precision."""
+    return math.ceil(math.log(PRECISION) / math.log(1 - 2 / (span + 1)))
 
 
 def with_decayed_means(o: OrderedRows, values: dict[str, str], span: int = 5,
                        df: DataFrame | None = None) -> DataFrame:
     """Exponentially weighted mean of all earlier rows; ``values`` maps name -> column.
 
-    A run of NULLs leaves the mean unchanged, so it is computed at rows with a value and
-    carried forward.
+    Each step back weighs (1 - 2/(span+1)) as much and NULLs keep their age.  Rows are taken
+    in blocks so long that only the row's own block and the one before it can matter; inside
+    a block the weights are relative to its start, so plain running sums do.  A run of NULLs
+    leaves the mean unchanged, so it is computed at rows with a value and carried forward.
     """
     df = o.rows if df is None else df
-    frame = o.spec.rowsBetween(-DECAY_ROWS, 0)
-    at_value = df.select("*", *[
-        F.when(F.col(c).isNotNull(), decayed_mean(F.col(c), span, frame)).alias(f"_at_{n}")
-        for n, c in values.items()])
+    keep, size = 1 - 2 / (span + 1), decay_rows(span)
+    if o.hot is not None and o.halo < size:
+        raise ValueError(f"span {span} needs halo >= {size}")
+    inside = Window.partitionBy(*o.group, "_block").orderBy(*nulls_last(o.order)).rowsBetween(
+        Window.unboundedPreceding, 0)
+    previous = Window.partitionBy(*o.group).orderBy("_block").rangeBetween(-1, -1)
+    number = F.row_number().over(o.spec) - 1
+    blocks = df.select("*", number.alias("_rn")).withColumns({
+        "_block": F.floor(F.col("_rn") / size),
+        "_scale": F.pow(F.lit(1 / keep), F.pmod(F.col("_rn"), F.lit(size)))})
+
+    def total(term):
+        return F.coalesce(F.sum(term).over(inside), F.lit(0.0)) + F.lit(keep ** size) * \
+            F.coalesce(F.sum(term).over(previous), F.lit(0.0))
+
+    at_value = blocks.select(*df.columns, *[
+        F.when(known, total(F.col(c) * F.col("_scale")) / total(F.when(known, F.col("_scale"))))
+        .alias(f"_at_{n}") for n, c in values.items() for known in [F.col(c).isNotNull()]])
     return o.latest({n: F.col(f"_at_{n}") for n in values}, at_value).drop(
         *[f"_at_{n}" for n in values])
 

@@ -177,9 +177,14 @@ class OrderedRows:
             .withColumn(_HALO, F.col(_SLICE) != F.col("_own"))
         )
 
+    @property
+    def group(self) -> list[str]:
+        """Columns that hold the rows a window may see together."""
+        return [*self.keys, _SLICE]
+
     @cached_property
     def spec(self):
-        return Window.partitionBy(*self.keys, _SLICE).orderBy(*nulls_last(self.order))
+        return Window.partitionBy(*self.group).orderBy(*nulls_last(self.order))
 
     def last(self, rows: int):
         """Frame over the ``rows`` rows before the current one."""
@@ -205,7 +210,7 @@ class OrderedRows:
 
     def _carried(self, df: DataFrame, per_slice: dict[str, Column], across) -> DataFrame:
         """One row per slice of the hot keys: ``across`` over the earlier slices."""
-        group = [*self.keys, _SLICE]
+        group = self.group
         earlier = Window.partitionBy(*self.keys).orderBy(_SLICE).rowsBetween(
             Window.unboundedPreceding, -1)
         return (
@@ -232,7 +237,7 @@ class OrderedRows:
             return F.when(a.isNotNull() | b.isNotNull(),
                           F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
 
-        return local.join(carry, [*self.keys, _SLICE], "left").select(
+        return local.join(carry, self.group, "left").select(
             *kept, *[plus(n).alias(n) for n in values])
 
     def latest(self, values: dict[str, Column], df: DataFrame | None = None) -> DataFrame:
@@ -249,7 +254,7 @@ class OrderedRows:
         carry = self._carried(
             df, {n: F.max_by(v, F.when(v.isNotNull(), place)) for n, v in values.items()},
             lambda c: F.last(c, ignorenulls=True))
-        return local.join(carry, [*self.keys, _SLICE], "left").select(
+        return local.join(carry, self.group, "left").select(
             *kept, *[F.coalesce(F.col(n), F.col(f"_c_{n}")).alias(n) for n in values])
 
     def finish(self, df: DataFrame) -> DataFrame:

@@ -179,7 +179,7 @@ def test_decayed_mean_keeps_the_age_of_missing_values(spark):
     data = [("r", i, "h", dt.datetime(2024, 1, 1 + i), x, 1.0)
             for i, x in enumerate([None, 1, None, 3, 4, 4])]
     df = spark.createDataFrame(data, DDL)
-    o = history.entrant_rows(df, halo=90)
+    o = history.entrant_rows(df, halo=91)
     got = [r["m"] for r in o.finish(history.with_decayed_means(o, {"m": "rank"}))
            .orderBy("horse_num").collect()]
     # Entry i holds the mean of the rows before i.
@@ -192,7 +192,7 @@ def test_decayed_mean_survives_a_long_gap(spark):
              1.0) for i in range(400)]
     df = spark.createDataFrame(data, DDL)
     for skew in ({}, {"hot_rows": 50, "slice_rows": 100}):
-        o = history.entrant_rows(df, halo=90, **skew)
+        o = history.entrant_rows(df, halo=91, **skew)
         out = o.finish(history.with_decayed_means(o, {"m": "rank"}))
         assert out.where("horse_num > 0").select("m").distinct().collect()[0][0] == 4.0
         assert out.count() == 400
