@@ -36,7 +36,8 @@ def money(prob, price):
  FROM r WINDOW w AS ({ENT})), z AS (SELECT *, (rank_5_mean - avg(rank_5_mean) OVER c)
  / (stddev_samp(rank_5_mean) OVER c + 1e-6) AS z FROM f WINDOW c AS (PARTITION BY race_id)),
  scored AS (SELECT rank, odds, round(pred_prob * CASE WHEN rank_3_mean < prev_rank THEN 1.1
- ELSE 1.0 END * CASE WHEN z < -0.001 THEN 1.5 WHEN z >= -0.001 THEN 0.75 ELSE 1.0 END, 9) AS prob FROM z),
+ ELSE 1.0 END * CASE WHEN z < -0.001 THEN 1.5 WHEN z >= -0.001 THEN 0.75 ELSE 1.0 END, 9)
+ AS prob FROM z),
  b AS ({money('prob', 'odds')}), t AS (SELECT scenario, sum(stake) AS bet,
  sum(CASE WHEN rank = 1 THEN stake * price ELSE 0 END) AS ret,
  count(*) FILTER (rank = 1) AS hits, count(*) AS n FROM b GROUP BY 1)

@@ -8,7 +8,7 @@ from checks.history import KEY, selected
 from checks.registry import query
 from checks.tables import R, results
 from formline.functions import scalars as S
-from formline.operators import agents, evaluate, history
+from formline.operators import agents, encoders, evaluate, history
 from formline.plans import features as feat
 from formline.plans import training
 from formline.session import park
@@ -100,7 +100,9 @@ def walk_forward_without_history(spark, sf):
                  "rank", "prize", "odds", "surface", "weight_change", "time", "horse_weight",
                  "age", "weather", "gender")
     scored = training.walk_forward(df, 2024, period="period", folds=2,
-                                   build=feat.build_baseline_features, **SMALL)
+                                   build=feat.build_baseline_features,
+                                   keys=encoders.BASELINE_KEYS,
+                                   labels=encoders.BASELINE_LABELS, **SMALL)
     return evaluate.yearly_money(scored.withColumnRenamed("period", "year"), 0.5)
 
 

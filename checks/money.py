@@ -10,6 +10,7 @@ from checks.tables import R, results
 from formline.functions import scalars as S
 from formline.operators import evaluate, joins, policy, profile, tickets
 from formline.plans import daily
+from formline.skew import OrderedRows
 
 PRED = (*KEY, "pred_prob", "odds", "rank")
 SAFE = "odds <= 100 AND pred_prob >= 0.05"
@@ -181,7 +182,6 @@ PAIRS = f"""{R}, e AS (SELECT race_id, horse_num, pred_prob, lag(horse_num) OVER
 
 def listed_tickets(spark, sf, legs):
     """Every entrant with the one or two entered before it."""
-    from formline.skew import OrderedRows
     o = OrderedRows(results(spark, sf, *KEY), ["race_id"], ["horse_num"], halo=legs - 1)
     new = [o.over(F.lag("horse_num", k), o.spec).alias(f"h{k + 1}") for k in range(1, legs)]
     out = o.finish(o.rows.select("*", *new)).withColumnRenamed("horse_num", "h1")
@@ -332,8 +332,8 @@ TODAY = "CAST(date_dt AS DATE) = DATE '2024-01-30'"
  OR substr(race_id, 5, 2) <= '10'), h AS (SELECT *, coalesce(lag(CASE WHEN {TODAY} THEN NULL
  ELSE rank END) OVER (PARTITION BY horse_id ORDER BY date_dt, race_id, horse_num), 99)
  AS prev_rank FROM k), d AS (SELECT *, 1 / (1.0 + prev_rank) AS prob FROM h WHERE {TODAY})
- SELECT race_id, horse_num, prob, odds, prob * odds AS ev, {tier_sql(1).replace('pred_prob', 'prob')}
- AS rec, CAST(row_number() OVER (PARTITION BY race_id ORDER BY prob DESC, horse_num) AS INT)
+ SELECT race_id, horse_num, prob, odds, prob * odds AS ev,
+ {tier_sql(1).replace('pred_prob', 'prob')} AS rec, CAST(row_number() OVER (PARTITION BY race_id ORDER BY prob DESC, horse_num) AS INT)
  AS display_order FROM d""", ["prob", "odds", "ev"])
 def daily_scoring(spark, sf):
     """The whole daily pipeline: union with the past, features, the day's slice, table."""

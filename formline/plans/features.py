@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions import scalars as S
-from formline.operators import agents, contest, encoders, history, joins
+from formline.operators import agents, contest, history, joins
 from formline.schemas import existing, missing_columns, numeric_columns
 from formline.session import park
 from formline.skew import bounded

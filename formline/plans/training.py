@@ -169,7 +169,8 @@ def encoded_pair(train: DataFrame, test: DataFrame, label: str = "target",
 def walk_forward(features: DataFrame, first_test: int, *, period: str = "year",
                  label: str = "target", without: Sequence[str] = (),
                  build: Callable[[DataFrame], DataFrame] | None = None,
-                 **options) -> DataFrame:
+                 keys: Sequence[str] = encoders.TARGET_KEYS,
+                 labels: Sequence[str] = encoders.LABEL_COLUMNS, **options) -> DataFrame:
     """Score every period from ``first_test`` on with a model of all earlier periods.
 
     The rows are read once for the encoders of all periods.  With ``build``, the table holds
@@ -181,8 +182,8 @@ def walk_forward(features: DataFrame, first_test: int, *, period: str = "year",
     tested = [p for p in periods if p >= first_test and p > periods[0]]
     if not tested:
         raise ValueError(f"no period to test from {first_test} on")
-    keys = [k for k in encoders.TARGET_KEYS if k in features.columns]
-    sums = encoder_sums(features, keys, label, by=[period]) if keys and not build else None
+    known = [k for k in keys if k in features.columns]
+    sums = encoder_sums(features, known, label, by=[period]) if known and not build else None
     scored = []
     for test_period in tested:
         earlier = F.col(period) < test_period
@@ -190,7 +191,8 @@ def walk_forward(features: DataFrame, first_test: int, *, period: str = "year",
         if build:
             train, test = park(build(train), "train"), park(build(test), "test")
         train_x, test_x = encoded_pair(
-            train, test, label, sums=None if sums is None else sums.where(earlier))
+            train, test, label, keys=keys, labels=labels,
+            sums=None if sums is None else sums.where(earlier))
         columns = feat.model_columns(train_x, [period, *without])
         model = fit_calibrated(train_x, columns, label, **options)
         scored.append(park(model.transform(test_x), f"scored-{test_period}"))

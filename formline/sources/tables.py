@@ -24,8 +24,15 @@ def typed(df: DataFrame, ddl: str) -> DataFrame:
     """The declared columns the table has, in their declared types; bad values are NULL."""
     wanted = T._parse_datatype_string(ddl)
     present = set(df.columns)
-    return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
-                       for f in wanted if f.name in present])
+
+    def cast(f):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.IntegralType):
+            # Whole numbers with gaps are often written as 480.0.
+            return F.coalesce(c.try_cast(f.dataType), c.try_cast("double").try_cast(f.dataType))
+        return c.try_cast(f.dataType)
+
+    return df.select(*[cast(f).alias(f.name) for f in wanted if f.name in present])
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], ddl: str | None = None,

@@ -78,6 +78,13 @@ def test_legacy_files(spark, tmp_path):
     assert sorted(r[0] for r in df.where("PCI IS NOT NULL").select("PCI").collect()) == [45.5, 50]
 
 
+def test_whole_numbers_written_with_a_point(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("race_id,rank,odds,extra\n0123,3.0,1.5,x\n0124,,---,y\n")
+    got = tables.read_csv(spark, str(tmp_path / "a.csv"), "race_id string, rank int, odds double")
+    assert [tuple(r) for r in got.orderBy("race_id").collect()] == [
+        ("0123", 3, 1.5), ("0124", None, None)]
+
+
 def test_page_files_keep_bad_bytes(spark, tmp_path):
     (tmp_path / "race_202301.html").write_bytes(b"<p>\xff ok</p>")
     (tmp_path / "race_202302.html").write_text("<p>芝</p>")
