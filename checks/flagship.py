@@ -41,8 +41,8 @@ def money(prob, price):
  b AS ({money('prob', 'odds')}), t AS (SELECT scenario, sum(stake) AS bet,
  sum(CASE WHEN rank = 1 THEN stake * price ELSE 0 END) AS ret,
  count(*) FILTER (rank = 1) AS hits, count(*) AS n FROM b GROUP BY 1)
- SELECT scenario, CAST(bet AS BIGINT) AS total_bet, CAST(trunc(ret) AS BIGINT) AS total_return,
- CAST(trunc(ret - bet) AS BIGINT) AS profit, round_even(ret / bet * 100, 1) AS recovery_pct,
+ SELECT scenario, CAST(bet AS BIGINT) AS total_bet, CAST(trunc(round(ret, 6)) AS BIGINT) AS total_return,
+ CAST(trunc(round(ret - bet, 6)) AS BIGINT) AS profit, round_even(ret / bet * 100, 1) AS recovery_pct,
  round_even(hits / n * 100, 2) AS hit_rate_pct, n AS bets_placed FROM t""")
 def form_to_money(spark, sf):
     df = results(spark, sf, *KEY, "horse_id", "date_dt", "rank", "odds", "pred_prob")

@@ -46,6 +46,12 @@ def total_of(value: Column, condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, value)), F.lit(0.0))
 
 
+def whole(amount: Column) -> Column:
+    """Amount cut to whole units; a millionth is settled first, so that the order in which
+    tasks summed plays no role."""
+    return F.round(amount, 6).cast("long")
+
+
 # --- money ------------------------------------------------------------------------
 
 def scenario_summary(preds: DataFrame, scenarios: Sequence[Scenario] = SCENARIOS, *,
@@ -72,8 +78,8 @@ def scenario_summary(preds: DataFrame, scenarios: Sequence[Scenario] = SCENARIOS
     rows = preds.agg(*sums).select(F.explode(per).alias("_r")).select("_r.*")
     return rows.select(
         "scenario", F.col("bet").alias("total_bet"),
-        F.col("ret").cast("long").alias("total_return"),
-        (F.col("ret") - F.col("bet")).cast("long").alias("profit"),
+        whole(F.col("ret")).alias("total_return"),
+        whole(F.col("ret") - F.col("bet")).alias("profit"),
         F.bround(percent(F.col("ret"), F.col("bet")), 1).alias("recovery_pct"),
         F.bround(percent(F.col("hits"), F.col("n")), 2).alias("hit_rate_pct"),
         F.col("n").alias("bets_placed"))
