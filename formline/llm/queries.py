@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing the operators registers them."""
 
-from formline.llm import sharding  # noqa: F401
+from formline.llm import phrases, sharding  # noqa: F401
 from formline.llm.registry import ORACLES, QUERIES  # noqa: F401
