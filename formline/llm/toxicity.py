@@ -70,6 +70,28 @@ def _bags(offsets: np.ndarray, data: np.ndarray):
     return len(offsets) - 1, row, place, owner, number, len(starts)
 
 
+def _training_bags(texts: list[str]):
+    """(text, type) pairs in the order of the texts, features of all types, features per type."""
+    docs, kinds, numbers, sizes = [], [], [], []
+    known, order = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes, sorted; their types
+    for first, offsets, data in ragged.text_chunks(pa.array(texts, pa.string())):
+        low = subwords.lower(data)
+        spans, row, place, starts, ends = subwords.distinct_words(low, offsets)
+        hashes = spans.hashes(starts, ends)
+        new = np.flatnonzero(~np.isin(hashes, known))
+        owner, number = subwords.features(spans, starts[new], ends[new], BITS, AFFIXES, GRAMS)
+        numbers.append(number[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(new)))
+        known = np.concatenate([known, hashes[new]])
+        order = np.concatenate([order, np.arange(len(order), len(known), dtype=np.int32)])
+        by = np.argsort(known)
+        known, order = known[by], order[by]
+        pairs = np.unique(row * max(len(starts), 1) + place)
+        docs.append((pairs // max(len(starts), 1) + first).astype(np.int32))
+        kinds.append(order[np.searchsorted(known, hashes[pairs % max(len(starts), 1)])])
+    return tuple(map(np.concatenate, (docs, kinds, numbers, sizes)))
+
+
 def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, batch: int = BATCH,
         rate: float = RATE, seed: int = 7) -> Model:
     """Embeddings and softmax by stochastic gradients with per-weight step sizes.
@@ -84,16 +106,10 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, batch: int
     if not 0 < y.sum() < len(y):
         model.weights[:] = 0
         return model
-    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
-    rows, row, place, owner, number, types = _bags(offsets, data)
-    order = np.argsort(owner, kind="stable")
-    number = number[order]
-    bag = np.bincount(owner, minlength=types)
+    rows = len(texts)
+    doc, kind, number, bag = _training_bags(texts)
     head = np.cumsum(bag) - bag
-    pairs = np.unique(row * types + place)
-    kind = pairs % types
-    begin = np.searchsorted(pairs // types, np.arange(rows + 1))
+    begin = np.searchsorted(doc, np.arange(rows + 1))
     speed = [np.full(model.vectors.shape, 1e-6), np.full((WIDTH, 2), 1e-6), np.full(2, 1e-6)]
     for _ in range(max(epochs, -(-LEAST_BATCHES * batch // rows))):
         shuffled = rng.permutation(rows)
@@ -130,15 +146,21 @@ def held_out(key: str, remainder: int = HELD_OUT, folds: int = 4):
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id",
            text: str = "text", rows: int = SAMPLE) -> list:
-    """At most ``rows`` labelled rows to learn from, as (text, label)."""
+    """At most ``rows`` labelled rows to learn from, as (text, label).
+
+    Rows whose hash lies below the wished share are taken, so each task sends its share only.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(
         F.max(F.col(label).cast("int")).alias("_y"))
     usable = docs.where(F.col(text).isNotNull() & F.coalesce(~held_out(key), F.lit(False)) & (
         F.octet_length(text) <= SAMPLE_BYTES)).select(
-        F.col(key), F.col(text).alias("_text"))
-    return [(r["_text"], r["_y"]) for r in usable.join(known, key).orderBy(
-        F.xxhash64(F.col(key), F.lit("sample")), key, "_y", "_text").select(
-        "_text", "_y").limit(rows).collect()]
+        F.col(key), F.xxhash64(F.col(key), F.lit("sample")).alias("_h"),
+        F.col(text).alias("_text")).join(known, key)
+    share = rows / max(1, usable.count())
+    low = -(1 << 63) + int(min(1.0, share) * ((1 << 64) - 1))
+    found = sorted((r["_h"], r["_y"], r["_text"]) for r in usable.where(
+        F.col("_h") <= F.lit(low)).select("_h", "_y", "_text").toLocalIterator())
+    return [(t, y) for _, y, t in found[:rows]]
 
 
 def with_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
