@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing the operators registers them."""
 
-from formline.llm import language, neardup, phrases, secrets, sharding, tokenfiles, toxicity  # noqa: F401
+from formline.llm import language, neardup, phrases, pieces, secrets, sharding, tokenfiles, toxicity  # noqa: F401
 from formline.llm.registry import ORACLES, QUERIES  # noqa: F401
