@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from formline.llm import chain, ragged, subwords
 from formline.llm.registry import query, table
+from formline.llm.samples import hash_limit
 
 SAMPLE, SAMPLE_BYTES, LANGUAGES = 250, 30_000, 100
 BITS, AFFIXES, GRAMS = 16, (1, 2, 3), (2, 3)
@@ -117,10 +118,10 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", language: s
         F.col("n").desc(), "y").limit(LANGUAGES).collect()
     if not counts:
         return []
-    least = [(r["y"], -(1 << 63) + int(min(1.0, rows / r["n"]) * ((1 << 64) - 1))) for r in counts]
     wanted = F.lit(False)
-    for y, low in least:
-        wanted = wanted | ((F.col("y") == y) & (F.col("h") <= F.lit(low)))
+    for r in counts:
+        wanted = wanted | ((F.col("y") == r["y"]) & (
+            F.col("h") <= F.lit(hash_limit(rows, r["n"]))))
     found = sorted((r["h"], r["y"], r["t"]) for r in usable.where(wanted).toLocalIterator())
     taken: dict[str, int] = {}
     out = []

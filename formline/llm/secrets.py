@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from formline.llm import chain, ragged
 from formline.llm.registry import query, table
+from formline.llm.samples import hash_limit
 
 SAMPLE, SAMPLE_BYTES = 2000, 40_000
 BITS, STEPS, RATE, SHRINK = 15, 60, 0.1, 2e-3
@@ -277,8 +278,7 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int =
     usable = docs.where(F.col(f"`{text}`").isNotNull() & (
         F.octet_length(F.col(f"`{text}`")) <= SAMPLE_BYTES)).select(
         F.xxhash64(F.col(f"`{key}`"), F.lit("secrets")).alias("h"), F.col(f"`{text}`").alias("t"))
-    share = rows / max(1, usable.count())
-    low = -(1 << 63) + int(min(1.0, share) * ((1 << 64) - 1))
+    low = hash_limit(rows, usable.count())
     found = usable.where(F.col("h") <= F.lit(low)).toLocalIterator()
     return [t for _, t in sorted((r["h"], r["t"]) for r in found)[:rows]]
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from formline.llm import ragged, subwords
 from formline.llm.registry import query, table
+from formline.llm.samples import hash_limit
 
 SAMPLE, SAMPLE_BYTES = 8000, 40_000
 BITS, WIDTH, BATCH, RATE, DECAY = 18, 2, 128, 3.0, 3e-6
@@ -156,8 +157,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str =
         F.octet_length(text) <= SAMPLE_BYTES)).select(
         F.col(key), F.xxhash64(F.col(key), F.lit("sample")).alias("_h"),
         F.col(text).alias("_text")).join(known, key)
-    share = rows / max(1, usable.count())
-    low = -(1 << 63) + int(min(1.0, share) * ((1 << 64) - 1))
+    low = hash_limit(rows, usable.count())
     found = sorted((r["_h"], r["_y"], r["_text"]) for r in usable.where(
         F.col("_h") <= F.lit(low)).select("_h", "_y", "_text").toLocalIterator())
     return [(t, y) for _, y, t in found[:rows]]
