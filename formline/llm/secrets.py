@@ -328,7 +328,7 @@ def redacted(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> Dat
 
 
 def _joined(kinds=None):
-    spans = F.col("spans") if kinds is None else F.filter("spans", lambda s: s["kind"].isin(kinds))
+    spans = F.col("spans") if kinds is None else F.filter("spans", lambda s: s["kind"].isin(*kinds))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
