@@ -83,7 +83,7 @@ class Transducer:
         self.runs: dict[int, list[int]] = {}
         self._known = np.full(1 << 21, -1, np.int64)
         self._valid = np.zeros(1 << 21, dtype=bool)
-        self.cache = Cache(self._encode_units)
+        self.cache = Cache(self._encode_units, limit=300_000)
         text = [n.encode() if n in self.ids else b"" for n in self.names]
         for i in range(size):
             if self.value[i] >= 0:
@@ -348,15 +348,18 @@ def transducer(path: str) -> Transducer:
 
 
 def _with(df: DataFrame, column: str, kind: str, source, work) -> DataFrame:
-    """``df`` with ``column`` as its last, computed by ``work`` from the column ``source``."""
+    """``df`` with ``column`` as its last; ``work`` yields it part by part from ``source``."""
     kept = [c for c in df.columns if c != column]
     rows = df.select(*[F.col(f"`{c}`") for c in kept], source.alias("_source_"))
 
     def step(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], work(batch.column(batch.num_columns - 1))],
-                [*kept, column])
+            at = 0
+            for part in work(batch.column(batch.num_columns - 1)):
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(at, len(part)) for c in batch.columns[:-1]), part],
+                    [*kept, column])
+                at += len(part)
     schema = df.select(*[F.col(f"`{c}`") for c in kept],
                        F.lit(None).cast(kind).alias(column)).schema
     for item in schema:
@@ -374,12 +377,9 @@ def encoded(docs: DataFrame, text: str = "text", ids: str = "ids", model: str |
     path = model or model_file()
 
     def work(column):
-        values, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for _, offsets, data in ragged.text_chunks(column):
-            for part, found in zip((values, sizes), transducer(path).encode(offsets, data),
-                                   strict=True):
-                part.append(found)
-        return ragged.list_array(pa.array(np.concatenate(values)), np.concatenate(sizes))
+            values, sizes = transducer(path).encode(offsets, data)
+            yield ragged.list_array(pa.array(values), sizes)
     return _with(docs, ids, "array<int>", F.col(f"`{text}`"), work)
 
 
@@ -392,10 +392,15 @@ def decoded(rows: DataFrame, ids: str = "ids", text: str = "text", model: str |
     path = model or model_file()
 
     def work(column):
-        edge = np.asarray(column.offsets)
-        flat = column.values.to_numpy(zero_copy_only=False)[edge[0]:edge[-1]]
-        out = transducer(path).decode(flat, np.diff(edge).astype(np.int64))
-        return pa.array(out, pa.string())
+        edge = np.asarray(column.offsets).astype(np.int64)
+        flat = column.values.to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(column):
+            stop = int(np.searchsorted(edge, edge[at] + ragged.CHUNK_BYTES, "right")) - 1
+            stop = min(max(stop, at + 1), len(column))
+            out = transducer(path).decode(flat[edge[at]:edge[stop]], np.diff(edge[at:stop + 1]))
+            yield pa.array(out, pa.string())
+            at = stop
     return _with(rows, text, "string", F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")),
                  work)
 

@@ -55,7 +55,7 @@ class Cache:
     """Ids of units by the hash of their bytes; forgotten as a whole beyond ``limit`` units."""
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
-                 limit: int = 1_000_000):
+                 limit: int = 600_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
