@@ -25,7 +25,7 @@ def _starred(links: DataFrame, large: bool) -> DataFrame:
         moved = joined.where(F.col("v") != F.col("m")).select(
             F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return moved.where(F.col("a") != F.col("b")).distinct()
+    return moved.where(F.col("a") != F.col("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,12 +35,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     now = park(links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
-    while True:
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003),
-                        F.bit_xor(F.xxhash64("a", "b"))).first()
-        if found == state:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
-                now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        state = found
-        now = park(_starred(_starred(now, large=True), large=False), "stars")
+    while not _is_stars(now):
+        now = park(_starred(_starred(now, large=True), large=False).distinct(), "stars")
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(
+        now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def _is_stars(links: DataFrame) -> bool:
+    """Whether every node hangs on one node, and that one on none."""
+    sides = links.select(F.col("a").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("parent")
+                         ).unionByName(links.select("b", F.lit(0), F.lit(1)).toDF(
+                             "id", "child", "parent"))
+    odd = sides.groupBy("id").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where(
+        (F.col("c") > 1) | ((F.col("c") > 0) & (F.col("p") > 0)))
+    return odd.limit(1).count() == 0

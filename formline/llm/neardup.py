@@ -257,7 +257,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     first = park(verified(plausible(wanted, texts), body), "links-hub")
     near = park(components(first), "near")
     second = park(verified(plausible(_across(members, near, texts), texts), body), "links-across")
-    near = components(first.unionByName(second))
+    near = components(second.unionByName(
+        near.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     found = texts.select("d1", "d2", "id").join(near, "id", "left").select(
         "d1", "d2", F.coalesce("component", "id").alias("component"))
     return sketch.withColumn("d1", F.when(F.col("n") > 0, F.col("d1"))).join(
