@@ -83,7 +83,7 @@ class Transducer:
         self.runs: dict[int, list[int]] = {}
         self._known = np.full(1 << 21, -1, np.int64)
         self._valid = np.zeros(1 << 21, dtype=bool)
-        self.cache = Cache(self._encode_units, limit=300_000)
+        self.cache = Cache(self._encode_units, bits=21)
         text = [n.encode() if n in self.ids else b"" for n in self.names]
         for i in range(size):
             if self.value[i] >= 0:

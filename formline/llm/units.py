@@ -52,20 +52,55 @@ def cut(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Cache:
-    """Ids of units by the hash of their bytes; forgotten as a whole beyond ``limit`` units."""
+    """Ids of units by the hash of their bytes; forgotten as a whole when half full.
+
+    The hashes stand in an open-addressing table: many are looked up at once, slot by slot.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
-                 limit: int = 600_000):
-        self.encode, self.limit = encode, limit
+                 bits: int = 22):
+        self.encode, self.bits = encode, bits
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.place = np.zeros(1 << self.bits, np.int32)
         self.start = np.zeros(1024, np.int64)
         self.size = np.zeros(1024, np.int32)
         self.ids = np.zeros(4096, np.int32)
         self.units = self.used = 0
 
+    def _slot(self, hashes: np.ndarray, probe: int) -> np.ndarray:
+        return ((hashes + np.uint64(probe)) & np.uint64((1 << self.bits) - 1)).view(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each unit, or -1."""
+        slot = self._slot(hashes, 0)
+        there = self.keys[slot]
+        out = np.where(there == hashes, self.place[slot], -1).astype(np.int64)
+        todo = np.flatnonzero((there != hashes) & (there != 0))
+        probe = 1
+        while len(todo):
+            slot = self._slot(hashes[todo], probe)
+            there = self.keys[slot]
+            hit = there == hashes[todo]
+            out[todo[hit]] = self.place[slot[hit]]
+            todo = todo[~hit & (there != 0)]
+            probe += 1
+        return out
+
+    def _put(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Enter units that are not there yet; all hashes differ."""
+        todo, probe = np.arange(len(hashes)), 0
+        while len(todo):
+            slot = self._slot(hashes[todo], probe)
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[todo[free]]
+            own = self.keys[slot] == hashes[todo]
+            self.place[slot[own]] = numbers[todo[own]]
+            todo = todo[~own]
+            probe += 1
+
     def _add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         number = np.arange(self.units, self.units + len(sizes))
         while len(self.size) < self.units + len(sizes):
@@ -86,24 +121,27 @@ class Cache:
         row, starts, ends = cut(offsets, data)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
-        if self.units > self.limit:
+        if 2 * (self.units + len(starts)) > 1 << self.bits:
             self.clear()
-        hashes = ragged.Spans(data).hashes(starts, ends)
-        long = ends - starts > LONGEST
-        hashes[long] = ragged.mix(hashes[long] ^ np.flatnonzero(long).astype(np.uint64))
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        number = np.fromiter((self.place.get(h, -1) for h in distinct.tolist()), np.int64,
-                             len(distinct))
-        number[long[first]] = -1
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            raw = data.tobytes()
-            units = [raw[a:b] for a, b in zip(starts[first[new]].tolist(),
-                                              ends[first[new]].tolist(), strict=True)]
-            number[new] = self._add(*self.encode(units))
-            short = new[~long[first[new]]]
-            self.place.update(zip(distinct[short].tolist(), number[short].tolist(), strict=True))
-        number = number[inverse]
+            while 2 * len(starts) > 1 << self.bits:  # one very long text
+                self.bits += 1
+                self.clear()
+        hashes = ragged.Spans(data).hashes(starts, ends) | np.uint64(1)
+        long = np.flatnonzero(ends - starts > LONGEST)
+        hashes[long] = ragged.mix(hashes[long] ^ long.astype(np.uint64)) | np.uint64(1)
+        number = self._find(hashes)
+        number[long] = -1
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            distinct, first, inverse = np.unique(hashes[missing], return_index=True,
+                                                 return_inverse=True)
+            raw, first = data.tobytes(), missing[first]
+            units = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(),
+                                              strict=True)]
+            added = self._add(*self.encode(units))
+            number[missing] = added[inverse]
+            short = ends[first] - starts[first] <= LONGEST
+            self._put(distinct[short], added[short])
         sizes = self.size[number].astype(np.int64)
         return (self.ids[ragged.ranges(self.start[number], sizes)],
                 np.bincount(row, sizes, rows).astype(np.int64))

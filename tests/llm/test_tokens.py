@@ -49,7 +49,7 @@ def test_units_encode_like_whole_texts(spark):
 def test_forgetting_the_cache_changes_nothing():
     path = tokenfiles.vocabulary_file()
     cache, _ = tokenfiles.encoder(path)
-    small = tokenfiles.Cache(cache.encode, limit=3)
+    small = tokenfiles.Cache(cache.encode, bits=4)
     for _, offsets, data in ragged.text_chunks(pa.array(odd_texts()), 200):
         assert parts(*small.texts(offsets, data)) == parts(*cache.texts(offsets, data))
 
