@@ -256,14 +256,16 @@ VENDOR_LAG_SQL = ", ".join(
     f'lag(TRY_CAST("{c}" AS DOUBLE)) OVER w AS {n}' for c, n in history.VENDOR_LAGS.items())
 
 
+FIGURES = ", ".join(f'TRY_CAST("{c}" AS DOUBLE) NULLS LAST' for c in history.VENDOR_LAGS)
+
+
+# Rows of one date and number are ordered by their figures.
 @query("history_vendor", f"""WITH {VENDOR_SQL} SELECT event_id, {VENDOR_LAG_SQL} FROM vd
- WINDOW w AS (PARTITION BY horse_id_jv ORDER BY date_jv, "レース番号", event_id)""",
+ WINDOW w AS (PARTITION BY horse_id_jv ORDER BY date_jv, "レース番号", {FIGURES})""",
        list(history.VENDOR_LAGS.values()))
 def history_vendor(spark, sf):
     df = src.vendor_table(vendor(spark, sf))
-    # Two numbers of the same date are told apart by the event.
-    df = df.withColumn("_order", F.struct("レース番号", "event_id"))
-    return history.vendor_history(df, number="_order").select(
+    return history.vendor_history(df).select(
         "event_id", *history.VENDOR_LAGS.values())
 
 

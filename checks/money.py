@@ -389,11 +389,27 @@ def roc_auc(spark, sf):
     return evaluate.roc_auc(scored(spark, sf), piece_rows=50)
 
 
-@query("calibration_table", f"""WITH {T} SELECT
- CAST(least(floor(pred_prob * 10), 9) AS INT) AS bin, avg(pred_prob) AS mean_pred,
- avg(target) AS fraction_pos, count(*) AS n FROM t GROUP BY 1""", ["mean_pred", "fraction_pos"])
+EDGES = [k * 0.1 for k in range(1, 10)]
+
+
+def bin_sql(sign: str) -> str:
+    return "CAST(" + " + ".join(f"(pred_prob {sign} {e!r})::INT" for e in EDGES) + " AS INT)"
+
+
+# Scores on the edges of the bins are planted: means take the upper edge in, counts the lower.
+@query("calibration_table", f"""WITH {T}, e AS (SELECT pred_prob, target FROM t
+ UNION ALL SELECT x, CAST(y AS INT) FROM (VALUES {", ".join(
+     f"(CAST({e!r} AS DOUBLE), {k % 2})" for k, e in enumerate([0.0, *EDGES, 1.0]))}) v(x, y)),
+ m AS (SELECT {bin_sql(">")} AS bin, avg(pred_prob) AS mean_pred, avg(target) AS fraction_pos
+ FROM e WHERE pred_prob IS NOT NULL GROUP BY 1),
+ n AS (SELECT {bin_sql(">=")} AS bin, count(*) AS n FROM e WHERE pred_prob IS NOT NULL GROUP BY 1)
+ SELECT bin, mean_pred, fraction_pos, coalesce(n, 0) AS n FROM m FULL JOIN n USING (bin)""",
+       ["mean_pred", "fraction_pos"])
 def calibration_table(spark, sf):
-    return evaluate.calibration_table(scored(spark, sf))
+    df = scored(spark, sf).select("pred_prob", F.col("target").cast("int").alias("target"))
+    on_edges = spark.createDataFrame([(float(e), k % 2) for k, e in enumerate(
+        [0.0, *EDGES, 1.0])], "pred_prob double, target int")
+    return evaluate.calibration_table(df.unionByName(on_edges))
 
 
 WEIGHTS = ", ".join(f"({w})" for w in evaluate.BLEND_WEIGHTS)

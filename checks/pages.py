@@ -198,9 +198,18 @@ def page_links(spark, sf):
     return html.linked_ids(table(spark, sf, "pages"), r"(?s)^/(.+)$")
 
 
-@query("unreadable_pages", "SELECT page_id, CAST(NULL AS STRING) AS error FROM pages WHERE false")
+# Every fifth page ends in a mark that the reader refuses; the others keep their titles.
+@query("unreadable_pages", """SELECT page_id, page_id % 5 = 0 AS failed,
+ CASE WHEN page_id % 5 <> 0 THEN trim(replace(regexp_extract(html,
+ '<title>([^<]*)</title>', 1), '&amp;', '&')) END AS title FROM pages""")
 def unreadable_pages(spark, sf):
-    return html.page_errors(table(spark, sf, "pages"), "page_id")
+    html_of = F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("<![x[y]]>"))).otherwise(
+        F.col("html"))
+    pages = table(spark, sf, "pages").select("page_id", html_of.alias("html"))
+    errors = html.page_errors(pages, "page_id").select("page_id", F.lit(True).alias("failed"))
+    read = html.parsed_pages(pages, "page_id").select("page_id", F.col("p.title").alias("title"))
+    return read.join(errors, "page_id", "left").select(
+        "page_id", F.coalesce("failed", F.lit(False)).alias("failed"), "title")
 
 
 @query("page_headings", """SELECT page_id, trim(replace(regexp_extract(html,

@@ -138,14 +138,14 @@ def known_keys_only(spark, sf):
 
 
 @query("relevant_history", f"""WITH {R}, today AS (SELECT DISTINCT horse_id FROM r
- WHERE CAST(date_dt AS DATE) = DATE '2024-01-30' AND hour(date_dt) = 3),
+ WHERE CAST(date_dt AS DATE) = DATE '2024-01-30'),
  j AS (SELECT DISTINCT jockey_id FROM r
- WHERE CAST(date_dt AS DATE) = DATE '2024-01-30' AND hour(date_dt) = 3)
+ WHERE CAST(date_dt AS DATE) = DATE '2024-01-30')
  SELECT race_id, horse_num FROM r WHERE CAST(date_dt AS DATE) < DATE '2024-01-30'
  AND (horse_id IN (FROM today) OR jockey_id IN (FROM j))""")
 def relevant_history(spark, sf):
     df = results(spark, sf, *KEY, "horse_id", "jockey_id", "date_dt")
-    today = feat.on_date(df, "2024-01-30").where(F.hour("date_dt") == 3)
+    today = feat.on_date(df, "2024-01-30")
     past = df.where(F.col("date_dt").cast("date") < F.lit("2024-01-30").cast("date"))
     return feat.relevant_history(past, today, ["horse_id", "jockey_id"]).select(*KEY)
 

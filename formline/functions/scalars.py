@@ -110,12 +110,10 @@ def strict_japanese_date(c: str | Column) -> Column:
 
 def vendor_date(year: str | Column, month: str | Column, day: str | Column) -> Column:
     """Date from two-digit year parts; years below 50 belong to this century."""
-    y = col(year).cast("int")
+    y, m, d = (col(c).try_cast("int") for c in (year, month, day))
     full = F.when(y < 50, y + 2000).otherwise(y + 1900)
-    text = F.format_string("%04d-%02d-%02d", full, col(month).cast("int"),
-                           col(day).cast("int"))
-    return F.when(y.isNotNull() & col(month).isNotNull() & col(day).isNotNull(),
-                  text.try_cast("date"))
+    text = F.format_string("%04d-%02d-%02d", full, m, d)
+    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), text.try_cast("date"))
 
 
 def month_text(c: str | Column) -> Column:

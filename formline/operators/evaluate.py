@@ -247,12 +247,25 @@ def roc_auc(df: DataFrame, label: str = "target", prob: str = "pred_prob",
 
 def calibration_table(df: DataFrame, label: str = "target", prob: str = "pred_prob",
                       bins: int = 10) -> DataFrame:
-    """Uniform probability bins: mean score, fraction of positives, rows; no empty bins."""
+    """Uniform probability bins: mean score, fraction of positives, rows; no empty bins.
+
+    Means are over bins that hold their upper edge (the first holds 0, too), the count ``n`` is
+    over bins that hold their lower edge (the last holds 1, too).  A bin without means but with
+    a count, or the other way round, is kept.  NULL scores are left out.
+    """
     p = F.col(prob)
-    b = F.least(F.floor(p * bins), F.lit(bins - 1)).cast("int").alias("bin")
-    return df.groupBy(b).agg(
-        F.avg(p).alias("mean_pred"), F.avg(F.col(label).cast("double")).alias("fraction_pos"),
-        F.count("*").alias("n"))
+    edges = [k * (1 / bins) for k in range(1, bins)]
+    upper = sum((F.when(p > e, 1).otherwise(0) for e in edges), F.lit(0))
+    lower = sum((F.when(p >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    sides = df.where(p.isNotNull()).select(
+        p.alias("_p"), F.col(label).cast("double").alias("_y"), F.explode(F.array(
+            F.struct(upper.alias("bin"), F.lit(True).alias("mean")),
+            F.struct(lower.alias("bin"), F.lit(False).alias("mean")))).alias("_s"))
+    mean = F.col("_s.mean")
+    return sides.groupBy(F.col("_s.bin").alias("bin")).agg(
+        F.avg(F.when(mean, F.col("_p"))).alias("mean_pred"),
+        F.avg(F.when(mean, F.col("_y"))).alias("fraction_pos"),
+        F.count(F.when(~mean, 1)).alias("n"))
 
 
 def blend(first: str | Column, second: str | Column, weight: float | Column) -> Column:

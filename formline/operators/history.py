@@ -201,8 +201,13 @@ def with_history(df: DataFrame, *, agent: str | None = "jockey_id", date: str =
 
 def vendor_history(df: DataFrame, entrant: str = "horse_id_jv", date: str = "date_jv",
                    number: str = "レース番号", **skew) -> DataFrame:
-    """Vendor figures of the entrant's previous race."""
-    o = OrderedRows(df, [entrant], [date, number], halo=1, **skew)
+    """Vendor figures of the entrant's previous race.
+
+    Rows of one date and number are ordered by their figures, so the result is the same
+    whatever the order of the input.
+    """
+    figures = [c for c in VENDOR_LAGS if c in df.columns]
+    o = OrderedRows(df, [entrant], [date, number, *figures], halo=1, **skew)
     new = {name: o.over(F.lag(F.col(f"`{c}`"), 1), o.spec)
            for c, name in VENDOR_LAGS.items() if c in df.columns}
     return o.finish(o.rows.select("*", *[c.alias(n) for n, c in new.items()]))

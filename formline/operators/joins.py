@@ -12,6 +12,8 @@ from formline.functions import scalars as S
 PEDIGREE = ("horse_id", "sire_name", "sire_id", "dam_name", "dam_id", "bms_name", "bms_id",
             "owner_name", "owner_id", "breeder_name", "breeder_id", "production_area")
 
+SAME_NAME = "_jv_dup"  # fixed value: suffix of joined columns whose name is taken
+
 
 def place_of(order: Sequence[str]) -> Column:
     """Comparable struct; rows with a missing ordering value count as latest."""
@@ -51,10 +53,16 @@ def with_dimension(df: DataFrame, dimension: DataFrame | None, key: str = "horse
 
 
 def with_exact_match(df: DataFrame, other: DataFrame, pairs: dict[str, str],
-                     values: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Left equi-join on several keys (left name -> right name); NULL keys never match."""
+                     values: Sequence[str], order: Sequence[str],
+                     suffix: str = SAME_NAME) -> DataFrame:
+    """Left equi-join on several keys (left name -> right name); NULL keys never match.
+
+    A value column that the left table has, too, is added under its name plus ``suffix``.
+    """
     right = first_per_key(other, list(pairs.values()), order, values)
-    right = right.select(*[F.col(r).alias(f"_k_{r}") for r in pairs.values()], *values)
+    taken = set(df.columns)
+    right = right.select(*[F.col(r).alias(f"_k_{r}") for r in pairs.values()], *[
+        F.col(v).alias(v + suffix if v in taken else v) for v in values])
     match = S.all_of(*[F.col(a) == F.col(f"_k_{b}") for a, b in pairs.items()])
     return df.join(right, match, "left").drop(*[f"_k_{b}" for b in pairs.values()])
 
@@ -73,8 +81,9 @@ def with_two_tier_match(df: DataFrame, other: DataFrame, exact: dict[str, str],
     best = F.coalesce(hit, near)
     tier = (F.when(F.col(hit).isNotNull(), "exact")
             .when(F.col(near).isNotNull(), "coarse").otherwise("none"))
-    return out.select(*df.columns, *[best[v].alias(v) for v in values],
-                      tier.alias("match_tier"))
+    taken = set(df.columns)
+    return out.select(*df.columns, *[best[v].alias(v + SAME_NAME if v in taken else v)
+                                     for v in values], tier.alias("match_tier"))
 
 
 def match_rate(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:

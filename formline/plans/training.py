@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from formline.operators import encoders, evaluate
 from formline.plans import features as feat
 from formline.session import park
+from formline.skew import global_running
 
 FOLDS = 5
 RAW = "_raw"
@@ -29,9 +30,22 @@ def row_fold(*key: str, folds: int = FOLDS) -> Column:
 
 def stratified_split(df: DataFrame, label: str, key: Sequence[str], share: float = 0.8
                      ) -> DataFrame:
-    """``is_train`` for about ``share`` of the rows of every label, by hash of the key."""
-    place = F.pmod(F.xxhash64(F.col(label), *key), F.lit(1_000_000)) / 1_000_000
-    return df.withColumn("is_train", place < share)
+    """``is_train`` for ``share`` of the rows of every label, rounded, in the order of a hash.
+
+    Rows are numbered by ranges of (label, hash, key), so no label is sorted in one task.
+    """
+    label_text = F.coalesce(F.col(label).cast("string"), F.lit(""))
+    narrow = df.select(*key, label_text.alias("_label"),
+                       F.xxhash64(label_text, *key).alias("_place"))
+    ranked = global_running(narrow, ["_label", "_place", *key], {"_before": F.lit(1)})
+    sizes = narrow.groupBy("_label").agg(F.count("*").alias("_n"))
+    starts = ranked.groupBy("_label").agg(F.min("_before").alias("_first"))
+    marked = ranked.join(sizes, "_label").join(starts, "_label").select(
+        *[F.col(k).alias(f"_k_{k}") for k in key],
+        (F.col("_before") - F.col("_first") < F.round(F.col("_n") * share)).alias("is_train"))
+    # Rows of one key share a place; a key names one row.
+    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
+    return df.join(marked, match, "left").drop(*[f"_k_{k}" for k in key])
 
 
 def time_folds(df: DataFrame, date: str = "date_dt", folds: int = FOLDS) -> DataFrame:

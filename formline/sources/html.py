@@ -255,22 +255,33 @@ def more_contest_columns(p: Column, contest: str = "race_id") -> dict[str, Colum
     }
 
 
+def first_summary(rows: Column, summary: str) -> Column:
+    """Rows of the first table with a summary text."""
+    mine = F.filter(rows, lambda r: r["summary"] == summary)
+    return F.filter(mine, lambda r: r["table_no"] == F.try_element_at(mine, F.lit(1))["table_no"])
+
+
 def corner_map(rows: Column) -> Column:
-    """Corner label -> passing text."""
-    mine = F.filter(rows, lambda r: r["summary"] == "コーナー通過順位")
+    """Corner label -> passing text of the first corner table; a repeated label's last one."""
+    mine = first_summary(rows, "コーナー通過順位")
 
     def cell(r, tag):
         return F.try_element_at(F.filter(r["cells"], lambda c: c["tag"] == tag), F.lit(1))
 
     both = F.filter(mine, lambda r: cell(r, "th").isNotNull() & cell(r, "td").isNotNull())
-    pairs = F.transform(both, lambda r: F.struct(
-        F.concat(F.lit("corner_"), cell(r, "th")["text"]).alias("key"),
-        cell(r, "td")["text"].alias("value")))
-    return F.map_from_entries(pairs)
+    pairs = F.transform(both, lambda r: F.named_struct(
+        F.lit("key"), F.concat(F.lit("corner_"), cell(r, "th")["text"]),
+        F.lit("value"), cell(r, "td")["text"]))
+    named = F.filter(pairs, lambda r: r["key"].isNotNull())
+    # The position of a label's last row is that of its first one in the reversed list.
+    back = F.reverse(named)
+    labels = F.transform(back, lambda r: r.getField("key"))
+    return F.map_from_entries(F.filter(back, lambda r, i: F.array_position(
+        labels, r.getField("key")) == i + 1))
 
 
 def lap_text(rows: Column) -> Column:
-    mine = F.filter(rows, lambda r: r["summary"] == "ラップタイム")
+    mine = first_summary(rows, "ラップタイム")
     times = F.try_element_at(mine, F.lit(2))["cells"]
     return F.array_join(F.transform(data_cells(times), lambda c: c["text"]), "-")
 
@@ -284,7 +295,7 @@ def result_rows(pages: DataFrame, older: bool = False) -> DataFrame:
     rows = parsed_pages(pages).select(
         "race_id", *[c.alias(n) for n, c in info.items()],
         corner_map(p["rows"]).alias("corners"), lap_text(p["rows"]).alias("race_laps"),
-        F.size(table).alias("_size"), F.explode(F.slice(table, 2, 1_000_000)).alias("_r"))
+        F.size(table).alias("_size"), F.explode(F.slice(table, F.lit(2), F.size(table))).alias("_r"))
     cells = data_cells(F.col("_r.cells"))
     rows = rows.withColumn("_c", cells).where(
         (F.size("_c") >= (19 if older else 20)) & at(F.col("_c"), 0)["text"].rlike(r"^\d+$"))

@@ -6,10 +6,12 @@ import csv
 import json
 import sys
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +20,7 @@ from formline.functions import scalars as S
 from formline.operators.history import vendor_history
 
 JAVA_CHARSETS = "spark.sql.legacy.javaCharsets"
+HEADERS_AT_ONCE = 16
 
 
 def typed(df: DataFrame, ddl: str) -> DataFrame:
@@ -35,30 +38,81 @@ def typed(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*[cast(f).alias(f.name) for f in wanted if f.name in present])
 
 
+def files_by_header(spark: SparkSession, path: str | Sequence[str]
+                    ) -> dict[bytes, list[str]]:
+    """Raw header line -> files that start with it, in the order of their paths.
+
+    Files are listed by name and size; of each, one small job reads the first line.
+    """
+    paths = path if isinstance(path, str) else list(path)
+    listed = spark.read.format("binaryFile").load(paths).where("length > 0").select(
+        "path").orderBy("path").toLocalIterator()
+
+    groups: dict[bytes, list[str]] = {}
+    files = [r["path"] for r in listed]
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        for line, file in zip(pool.map(lambda f: _first_line(spark, f), files), files,
+                              strict=True):
+            groups.setdefault(line.rstrip(b"\r"), []).append(file)
+    return groups
+
+
+def _first_line(spark: SparkSession, file: str) -> bytes:
+    line = spark.read.text(file).select(F.col("value").cast("binary")).first()
+    return bytes(line[0] or b"") if line else b""
+
+
+def _same_header(spark: SparkSession, path: str | Sequence[str]
+                 ) -> Iterator[tuple[str | list[str], DataFrameReader]]:
+    """Files that share a header, with a reader that still sees the folders' partition columns."""
+    groups = files_by_header(spark, path)
+    if not groups:
+        raise ValueError(f"no data in {path}")
+    plain = path if isinstance(path, str) else list(path)
+    if len(groups) == 1 and isinstance(plain, str):
+        yield plain, spark.read
+        return
+    for files in groups.values():
+        whole = isinstance(plain, str) and not set("*?[{") & set(plain)
+        yield files, spark.read.option("basePath", plain) if whole else spark.read
+
+
+def _stacked(tables: list[DataFrame]) -> DataFrame:
+    """Rows of all tables, columns by name; a column that a table lacks is NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], ddl: str | None = None,
              columns: Sequence[str] | None = None, rows: int | None = None) -> DataFrame:
-    """CSV with a header; ``path`` may hold globs.
+    """CSV files with a header each; ``path`` may hold globs.
 
-    Columns are found by name and typed as declared, nothing is inferred; only the
-    selected columns are parsed.
+    Columns are found by name, also if the files order them differently or lack some, and
+    typed as declared; nothing is inferred, and only the selected columns are parsed.
     """
-    df = spark.read.option("header", True).csv(path if isinstance(path, str) else list(path))
-    df = typed(df, ddl) if ddl else df
+    tables = []
+    for files, reader in _same_header(spark, path):
+        df = reader.option("header", True).csv(files)
+        tables.append(typed(df, ddl) if ddl else df)
+    df = _stacked(tables)
+    if ddl:  # in the declared order, whatever the first file's
+        df = df.select(*[f"`{f.name}`" for f in T._parse_datatype_string(ddl)
+                         if f.name in df.columns])
     df = df.select(*columns) if columns else df
     return df.limit(rows) if rows is not None else df
 
 
-def _decode_batches(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    def decoded(b):
-        if b is None:
-            return None
-        try:
-            return bytes(b).decode("cp932")
-        except UnicodeDecodeError:
-            return bytes(b).decode("shift_jis", errors="replace")
+def _decoded(line: bytes | None) -> str | None:
+    if line is None:
+        return None
+    try:
+        return bytes(line).decode("cp932")
+    except UnicodeDecodeError:
+        return bytes(line).decode("shift_jis", errors="replace")
 
+
+def _decode_batches(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in raw:
-        yield batch.map(decoded)
+        yield batch.map(_decoded)
 
 
 def legacy_text(raw: str | Column) -> Column:
@@ -70,30 +124,27 @@ def legacy_text(raw: str | Column) -> Column:
 
 def read_legacy_csv(spark: SparkSession, path: str | Sequence[str],
                     ddl: str | None = None) -> DataFrame:
-    """CSV files in the legacy Japanese encoding, sharing one header line.
+    """CSV files in the legacy Japanese encoding, with a header each; columns go by name.
 
     Where the session allows Java charsets the CSV reader decodes by itself.  Otherwise
     lines are read as bytes (no character of the encoding contains a line end, so large
     files still split into many tasks) and decoded in Arrow batches.
     """
-    paths = path if isinstance(path, str) else list(path)
-    if spark.conf.get(JAVA_CHARSETS, "false") == "true":
-        df = spark.read.option("header", True).option("encoding", "windows-31j").csv(paths)
-        return typed(df, ddl) if ddl else df
-    # The text reader hands on the bytes of a line unchanged.
-    lines = spark.read.text(paths).select(
-        legacy_text(F.col("value").cast("binary")).alias("line"))
-    # Only names and sizes of the files are listed, their content is not read.
-    one = spark.read.format("binaryFile").load(paths).where("length > 0").agg(
-        F.min("path")).first()[0]
-    if one is None:
-        raise ValueError(f"no data in {path}")
-    head = spark.read.text(one).select(
-        legacy_text(F.col("value").cast("binary")).alias("line")).first()["line"]
-    fields = ", ".join(f"`{n}` string" for n in next(csv.reader([head])))
-    body = lines.where(F.col("line") != F.lit(head))
-    df = body.select(F.from_csv("line", fields).alias("r")).select("r.*")
-    return typed(df, ddl) if ddl else df
+    tables = []
+    for files, reader in _same_header(spark, path):
+        if spark.conf.get(JAVA_CHARSETS, "false") == "true":
+            df = reader.option("header", True).option("encoding", "windows-31j").csv(files)
+        else:
+            one = files[0] if isinstance(files, list) else files
+            head = _decoded(_first_line(spark, one))
+            # The text reader hands on the bytes of a line unchanged.
+            lines = reader.text(files).select(
+                legacy_text(F.col("value").cast("binary")).alias("line"))
+            fields = ", ".join(f"`{n}` string" for n in next(csv.reader([head])))
+            df = lines.where(F.col("line") != F.lit(head)).select(
+                F.from_csv("line", fields).alias("r")).select("r.*")
+        tables.append(typed(df, ddl) if ddl else df)
+    return _stacked(tables)
 
 
 def vendor_table(raw: DataFrame) -> DataFrame:
