@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.history import KEY, selected
@@ -10,8 +12,8 @@ from checks.tables import R, results
 from formline.functions import scalars as S
 from formline.operators import agents, encoders, evaluate, history
 from formline.plans import features as feat
-from formline.plans import training
-from formline.session import park
+from formline.plans import bundle, training
+from formline.session import park, scratch_folder
 
 SMALL = {"maxIter": 3, "maxDepth": 3}
 TRAITS = ("horse_weight", "age", "weight", "distance", "prev_rank", "rank_5_mean",
@@ -108,10 +110,27 @@ def walk_forward_without_history(spark, sf):
 
 @query("train_and_refit")
 def train_and_refit(spark, sf):
-    scored, final = training.train_and_refit(features(spark, sf).drop("event_id"), 2023,
-                                             period="period", folds=3, **SMALL)
+    scored, final = bundle.train_and_refit(features(spark, sf).drop("event_id"), 2023,
+                                           period="period", folds=3, **SMALL)
     figures = evaluate.score_quality(scored)
-    return figures.withColumn("columns", F.lit(len(final.columns)))
+    return figures.withColumn("columns", F.lit(len(final.model.columns)))
+
+
+# Scores of the saved and loaded bundle are those of the one in memory, for every row.
+@query("saved_scoring", f"""WITH {R} SELECT count(*) AS n, CAST(0 AS BIGINT) AS different,
+ CAST(0 AS BIGINT) AS outside FROM r WHERE period >= 2023""")
+def saved_scoring(spark, sf):
+    wide = features(spark, sf).drop("event_id")
+    _, final = bundle.train_and_refit(wide, 2023, period="period", folds=2, **SMALL)
+    folder = f"{scratch_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    final.save(spark, folder)
+    again = bundle.ScoringBundle.load(spark, folder)
+    rows = wide.where("period >= 2023")
+    one = final.score(rows).select(*KEY, F.col("pred_prob").alias("p"))
+    two = again.score(rows).select(*KEY, F.col("pred_prob").alias("q"))
+    return one.join(two, list(KEY)).agg(
+        F.count("*").alias("n"), F.count_if(F.col("p") != F.col("q")).alias("different"),
+        F.count_if(~F.col("p").between(0, 1)).alias("outside"))
 
 
 @query("stratified_split", f"""WITH {R}, t AS (SELECT CASE WHEN rank = 1 THEN 1 ELSE 0 END AS target

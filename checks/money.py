@@ -10,6 +10,7 @@ from checks.tables import R, results
 from formline.functions import scalars as S
 from formline.operators import evaluate, joins, policy, profile, tickets
 from formline.plans import daily
+from formline.plans import features as feat
 from formline.skew import OrderedRows
 
 PRED = (*KEY, "pred_prob", "odds", "rank")
@@ -344,12 +345,33 @@ def daily_scoring(spark, sf):
     def score(wide):
         return wide.withColumn("pred_prob", 1 / (1.0 + F.col("prev_rank")))
 
-    scored = daily.score_day(df.where(~day), entries, "2024-01-30", score)
+    # The means of the rates play no role for this score.
+    scored = daily.score_day(df.where(~day), entries, "2024-01-30", score, means={})
     return daily.recommendations(scored).select(
         "race_id", F.col("horse_num").cast("int").alias("horse_num"), "prob", "odds", "ev",
         "rec", "display_order")
 
 
+# Fills and rates of the day are the same from the narrowed past as from the whole past.
+@query("daily_fills", f"""WITH {R} SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM r
+ WHERE {TODAY} AND substr(race_id, 5, 2) <= '10'""")
+def daily_fills(spark, sf):
+    df = results(spark, sf).drop("event_id", "day", "period", "pred_prob", "pred_b")
+    day = F.col("date_dt").cast("date") == F.lit("2024-01-30").cast("date")
+    past = df.where(~day)
+    entries = df.where(day).drop("rank", "prize", "agari_3f", "passing_order", "time", "margin")
+    means = feat.rate_means(feat.build_features(past))
+    rates = [c for c in feat.RATE_COLUMNS if c in means]
+
+    def rows(name, only_relevant):
+        scored = daily.score_day(past, entries, "2024-01-30", lambda w: w, means=means,
+                                 only_relevant=only_relevant)
+        return scored.select(*KEY, F.struct(*[F.round(c, 9).alias(c) for c in rates]).alias(name))
+    both = rows("narrow", True).join(rows("whole", False), list(KEY))
+    return both.agg(F.count("*").alias("n"),
+                    F.count_if(~F.col("narrow").eqNullSafe(F.col("whole"))).alias("different"))
+
+
 @query("bets_with_results", f"""WITH {R} SELECT race_id, horse_num, CAST(100 AS INT) AS amount,
  rank, CASE WHEN rank = 1 THEN 100 * odds ELSE 0 END AS payout FROM r
  WHERE pred_prob * odds > 2.0 AND {SAFE}""", ["payout"])

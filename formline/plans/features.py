@@ -153,9 +153,12 @@ def filled(df: DataFrame, means: dict[str, float] | None = None) -> DataFrame:
 
 def build_features(results: DataFrame, horses: DataFrame | None = None,
                    vendor: DataFrame | None = None, *, park_between: bool = True,
-                   **skew) -> DataFrame:
+                   means: dict[str, float] | None = None, **skew) -> DataFrame:
     """Results to features.
 
+    ``means`` are the fills of the rate columns; without them those of this table are taken.
+    Rows that are scored later must be filled with the means kept with the model.
+
     The agents' shuffles come first, while rows are narrow; derived texts come after the last
     shuffle that does not need them; one shuffle by contest serves all contest columns.
     The wide table is parked twice: after the entrant windows (a lost executor does not
@@ -171,7 +174,7 @@ def build_features(results: DataFrame, horses: DataFrame | None = None,
     if vendor is not None:
         df = with_vendor(df, vendor)
     df = step(with_interactions(with_ratios(df)), "history")
-    return filled(step(contest.with_contest_columns(df, **skew), "features"))
+    return filled(step(contest.with_contest_columns(df, **skew), "features"), means)
 
 
 BASELINE_ZSCORES = {"horse_weight": "weight_zscore", "age": "age_zscore", "odds": "odds_zscore",

@@ -160,16 +160,19 @@ def encoder_sums(df: DataFrame, keys: Sequence[str], label: str = "target",
     return encoders.key_sums(df.withColumn(FOLD, row_fold(*row_key)), keys, label, [FOLD, *by])
 
 
-def encoded_pair(train: DataFrame, test: DataFrame, label: str = "target",
-                 row_key: Sequence[str] = ROW_KEY,
-                 keys: Sequence[str] = encoders.TARGET_KEYS,
-                 labels: Sequence[str] = encoders.LABEL_COLUMNS, out_of_fold: bool = True,
-                 sums: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Encoders of the training rows, applied to both; training rows are encoded out of fold."""
+def fitted_encoders(train: DataFrame, label: str = "target", row_key: Sequence[str] = ROW_KEY,
+                    keys: Sequence[str] = encoders.TARGET_KEYS,
+                    labels: Sequence[str] = encoders.LABEL_COLUMNS, out_of_fold: bool = True,
+                    sums: DataFrame | None = None
+                    ) -> tuple[DataFrame, encoders.TargetEncoder | None, encoders.LabelEncoder]:
+    """(encoded training rows, target encoder or None without keys, label encoder).
+
+    The training rows are encoded out of fold, new rows by the encoders.
+    """
     keys = [k for k in keys if k in train.columns]
     classes = encoders.fit_label_encoder(train, labels)
     if not keys:
-        return classes.transform(train), classes.transform(test)
+        return classes.transform(train), None, classes
     sums = encoder_sums(train, keys, label, row_key) if sums is None else sums
     target = encoders.encoder_from_sums(sums, keys)
     if out_of_fold:
@@ -177,7 +180,14 @@ def encoded_pair(train: DataFrame, test: DataFrame, label: str = "target",
         seen = encoders.with_out_of_fold_encoding(inner, keys, label, FOLD, sums=sums).drop(FOLD)
     else:
         seen = target.transform(train)
-    return classes.transform(seen), classes.transform(target.transform(test))
+    return classes.transform(seen), target, classes
+
+
+def encoded_pair(train: DataFrame, test: DataFrame, label: str = "target", **options
+                 ) -> tuple[DataFrame, DataFrame]:
+    """Encoders of the training rows, applied to both; training rows are encoded out of fold."""
+    train_x, target, classes = fitted_encoders(train, label, **options)
+    return train_x, classes.transform(target.transform(test) if target else test)
 
 
 def walk_forward(features: DataFrame, first_test: int, *, period: str = "year",
@@ -247,11 +257,11 @@ def holdout_sweep(train: DataFrame, columns: Sequence[str], grid: dict[str, Sequ
 
 def train_and_refit(features: DataFrame, test_from: int, *, period: str = "year",
                     label: str = "target", fit: Callable = fit_calibrated, **options):
-    """(scored test rows, model refitted on all rows with the same columns)."""
+    """(scored test rows, model refitted on all rows with the same columns, its encoders)."""
     train = features.where(F.col(period) < test_from)
     test = features.where(F.col(period) >= test_from)
     train_x, test_x = encoded_pair(train, test, label)
     columns = feat.model_columns(train_x, [period])
     scored = fit(train_x, columns, label, **options).transform(test_x)
-    everything, _ = encoded_pair(features, features.limit(0), label)
-    return scored, fit(everything, columns, label, **options)
+    everything, target, classes = fitted_encoders(features, label)
+    return scored, fit(everything, columns, label, **options), target, classes
