@@ -54,7 +54,7 @@ VENDOR_LAGS = {
 
 ENTRANT, DATE = "horse_id", "date_dt"
 TIEBREAK = ("race_id", "horse_num")
-PRECISION = 1e-16
+BLOCK_WEIGHT = 1e-150  # weight of a whole block of decayed rows; its square is still a double
 LONGEST = max(WINDOWS)
 
 
@@ -137,9 +137,14 @@ def with_suitability(o: OrderedRows, conditions: dict[str, Column] | None = None
         .alias(f"avg_{value}_{n}") for n in conditions])
 
 
+def decay_block(span: int) -> int:
+    """Rows whose weight falls from 1 to ``BLOCK_WEIGHT``."""
+    return math.ceil(math.log(BLOCK_WEIGHT) / math.log(1 - 2 / (span + 1)))
+
+
 def decay_rows(span: int) -> int:
-    """Steps back beyond which a weight is below double precision."""
-    return math.ceil(math.log(PRECISION) / math.log(1 - 2 / (span + 1)))
+    """Steps back beyond which a weight is below the smallest double."""
+    return 2 * decay_block(span)
 
 
 def with_decayed_means(o: OrderedRows, values: dict[str, str], span: int = 5,
@@ -147,25 +152,29 @@ def with_decayed_means(o: OrderedRows, values: dict[str, str], span: int = 5,
     """Exponentially weighted mean of all earlier rows; ``values`` maps name -> column.
 
     Each step back weighs (1 - 2/(span+1)) as much and NULLs keep their age.  Rows are taken
-    in blocks so long that only the row's own block and the one before it can matter; inside
-    a block the weights are relative to its start, so plain running sums do.  A run of NULLs
-    leaves the mean unchanged, so it is computed at rows with a value and carried forward.
+    in blocks; inside a block the weights are relative to its start, so plain running sums
+    do, and the sums of the two blocks before are added with the weight of the distance.
+    Older blocks weigh less than a double can tell from nothing.  A run of NULLs leaves the
+    mean unchanged, so it is computed at rows with a value and carried forward.
     """
     df = o.rows if df is None else df
-    keep, size = 1 - 2 / (span + 1), decay_rows(span)
-    if o.hot is not None and o.halo < size:
-        raise ValueError(f"span {span} needs halo >= {size}")
+    keep, size = 1 - 2 / (span + 1), decay_block(span)
+    if o.hot is not None and o.halo < decay_rows(span):
+        raise ValueError(f"span {span} needs halo >= {decay_rows(span)}")
     inside = Window.partitionBy(*o.group, "_block").orderBy(*nulls_last(o.order)).rowsBetween(
         Window.unboundedPreceding, 0)
-    previous = Window.partitionBy(*o.group).orderBy("_block").rangeBetween(-1, -1)
+    by_block = Window.partitionBy(*o.group).orderBy("_block")
     number = F.row_number().over(o.spec) - 1
     blocks = df.select("*", number.alias("_rn")).withColumns({
         "_block": F.floor(F.col("_rn") / size),
         "_scale": F.pow(F.lit(1 / keep), F.pmod(F.col("_rn"), F.lit(size)))})
 
     def total(term):
-        return F.coalesce(F.sum(term).over(inside), F.lit(0.0)) + F.lit(keep ** size) * \
-            F.coalesce(F.sum(term).over(previous), F.lit(0.0))
+        earlier = [F.coalesce(F.sum(term).over(by_block.rangeBetween(-k, -k)), F.lit(0.0))
+                   for k in (1, 2)]
+        # The nearer block first: no product leaves the range of a double.
+        return F.coalesce(F.sum(term).over(inside), F.lit(0.0)) + F.lit(keep ** size) * (
+            earlier[0] + F.lit(keep ** size) * earlier[1])
 
     at_value = blocks.select(*df.columns, *[
         F.when(known, total(F.col(c) * F.col("_scale")) / total(F.when(known, F.col("_scale"))))
@@ -215,7 +224,7 @@ def vendor_history(df: DataFrame, entrant: str = "horse_id_jv", date: str = "dat
 
 def with_baseline_history(df: DataFrame, **skew) -> DataFrame:
     """The smaller first-generation history: means over 5, decayed means, previous values."""
-    o = entrant_rows(df, **skew)
+    o = entrant_rows(df, halo=max(LONGEST, decay_rows(5)), **skew)
 
     def mean5(c):
         return o.over(F.avg(c), o.last(5))

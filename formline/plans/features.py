@@ -172,7 +172,10 @@ def build_features(results: DataFrame, horses: DataFrame | None = None,
     df = agents.with_all_agent_rates(df, **skew)
     df = history.with_history(df, **skew)
     if vendor is not None:
-        df = with_vendor(df, vendor)
+        # Stops at the first readable date of the input.
+        dated = "date_dt" in results.columns and results.where(
+            F.col("date_dt").isNotNull()).limit(1).count() > 0
+        df = with_vendor(df, vendor, by_id_only=not dated)
     df = step(with_interactions(with_ratios(df)), "history")
     return filled(step(contest.with_contest_columns(df, **skew), "features"), means)
 
@@ -195,9 +198,18 @@ def build_baseline_features(results: DataFrame, **skew) -> DataFrame:
 VENDOR_VALUES = (*history.VENDOR_LAGS.values(), "sire_type", "bms_type", "weight_change_jv")
 
 
-def with_vendor(df: DataFrame, vendor: DataFrame) -> DataFrame:
+def with_vendor(df: DataFrame, vendor: DataFrame, by_id_only: bool = False) -> DataFrame:
     """Vendor columns by (entrant, date, place, number); the year stands in for a date that
-    does not match."""
+    does not match.
+
+    ``by_id_only`` takes the entrant's last known values instead, for tables in which no date
+    can be read; a table without ``date_dt`` or ``race_id`` is always joined that way.
+    """
+    values = existing(vendor, VENDOR_VALUES)
+    if by_id_only or not {"date_dt", "race_id"} <= set(df.columns):
+        latest = joins.latest_known(vendor, ["horse_id_jv"], ["date_jv"], values)
+        return joins.with_exact_match(df.withColumn("_id", S.canonical_id("horse_id")), latest,
+                                      {"_id": "horse_id_jv"}, values, ["horse_id_jv"]).drop("_id")
     keyed = df.withColumns({
         "_id": S.canonical_id("horse_id"), "_day": F.col("date_dt").cast("date"),
         "_place": S.place_code("race_id"),
@@ -205,7 +217,6 @@ def with_vendor(df: DataFrame, vendor: DataFrame) -> DataFrame:
         "_year": F.substring("race_id", 1, 4).try_cast("int")})
     other = vendor.withColumn("_year_jv", F.year("date_jv"))
     same = {"_id": "horse_id_jv", "_place": "place_code_jv", "_no": "レース番号"}
-    values = existing(vendor, VENDOR_VALUES)
     out = joins.with_two_tier_match(keyed, other, {**same, "_day": "date_jv"},
                                     {**same, "_year": "_year_jv"}, values,
                                     ["date_jv", *values])

@@ -46,7 +46,7 @@ _MARKS_AT = {}  # tag of the innermost element -> marks ending there
 for _name, _chain in MARKS.items():
     _MARKS_AT.setdefault(_chain[-1].partition(".")[0], []).append((_name, _chain))
 _EMPTY = {"br", "img", "meta", "input", "link", "hr", "col", "wbr", "area", "base"}
-_TEXT_OF = {"td", "th", "a", "p", "dl", "span", "h1", "title", "div"}
+_SILENT = {"script", "style"}
 _CLOSES = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 
 
@@ -54,6 +54,7 @@ class _PageReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = []  # (tag, classes, opened row/cell/mark)
+        self.takers, self.quiet = [], 0  # open elements whose text is wanted; scripts and styles
         self.rows, self.texts, self.tables = [], {}, 0
 
     def handle_starttag(self, tag, attrs):
@@ -65,6 +66,10 @@ class _PageReader(HTMLParser):
         classes = (given.get("class") or "").split()
         entry = {"tag": tag, "classes": classes, "given": given, "got": []}
         self.open.append(entry)
+        self.quiet += tag in _SILENT
+        # What stands around an element does not change while it is open.
+        entry["marks"] = [name for name, chain in _MARKS_AT.get(tag, ())
+                          if name not in self.texts and self._matches(chain)]
         if tag == "table":
             entry["no"], entry["rows"] = self.tables, 0
             self.tables += 1
@@ -80,6 +85,8 @@ class _PageReader(HTMLParser):
             cell = next((e["cell"] for e in reversed(self.open) if "cell" in e), None)
             if cell is not None and cell["href"] is None:
                 cell["href"], entry["link_of"] = given["href"], cell
+        if entry["marks"] or "cell" in entry or "link_of" in entry:
+            self.takers.append(entry)
 
     def _start_row(self, entry):
         table = next((e for e in reversed(self.open) if e["tag"] == "table"), None)
@@ -116,10 +123,12 @@ class _PageReader(HTMLParser):
             self._finish()
 
     def _finish(self):
-        for name, chain in _MARKS_AT.get(self.open[-1]["tag"], ()):
-            if name not in self.texts and self._matches(chain):
-                self.texts[name] = "".join(self.open[-1]["got"])
         entry = self.open.pop()
+        self.quiet -= entry["tag"] in _SILENT
+        if self.takers and self.takers[-1] is entry:
+            self.takers.pop()
+        for name in entry["marks"]:
+            self.texts.setdefault(name, "".join(entry["got"]))
         if "cell" in entry:
             entry["cell"] |= {"text": "".join(entry["got"]), "lines": entry["got"]}
         if "link_of" in entry:
@@ -139,11 +148,9 @@ class _PageReader(HTMLParser):
         return False
 
     def handle_data(self, data):
-        text = data.strip()
-        if text and not any(e["tag"] in ("script", "style") for e in self.open):
-            for e in self.open:
-                if e["tag"] in _TEXT_OF:
-                    e["got"].append(text)
+        if self.takers and not self.quiet and (text := data.strip()):
+            for e in self.takers:
+                e["got"].append(text)
 
     def page(self):
         while self.open:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formline.functions import scalars as S
-from formline.operators import encoders, evaluate, joins
+from formline.operators import encoders, evaluate, history, joins
 from formline.plans import training
 from formline.sources import html, tables
 
@@ -95,3 +95,28 @@ def test_stratified_split_is_exact(spark):
     got = {r.y: (r.n, r.t) for r in training.stratified_split(df, "y", ["k"]).groupBy("y").agg(
         F.count("*").alias("n"), F.count_if("is_train").alias("t")).collect()}
     assert got == {True: (143, 114), False: (857, 686)}
+
+
+def test_decayed_means_use_rows_of_any_age(spark):
+    """A huge value 400 rows back still moves the mean; with its weight cut it would not."""
+    values = [1e80, *[None] * 400, 1.0, 2.0, None, 5.0]
+    df = spark.createDataFrame([("h", i, v) for i, v in enumerate(values)],
+                               "k string, t long, x double")
+    o = history.OrderedRows(df, ["k"], ["t"], halo=history.decay_rows(5))
+    got = [r.m for r in o.finish(history.with_decayed_means(o, {"m": "x"})).orderBy("t").collect()]
+    for i in range(1, len(values)):
+        known = [(v, (2 / 3) ** (i - j)) for j, v in enumerate(values[:i]) if v is not None]
+        plain = sum(v * w for v, w in known) / sum(w for _, w in known)
+        assert got[i] == pytest.approx(plain, rel=1e-9)
+
+
+def test_vendor_values_without_dates(spark):
+    from formline.plans import features
+    vendor = spark.createDataFrame(
+        [("7", "2024-01-01", "05", 1, 1.0, "a"), ("7", "2024-02-01", "05", 2, None, "b")],
+        "horse_id_jv string, date_jv string, place_code_jv string, `レース番号` int, "
+        "prev_pci double, sire_type string").withColumn("date_jv", F.col("date_jv").cast("date"))
+    df = spark.createDataFrame([("7.0", 3), ("8", 4)], "horse_id string, horse_num int")
+    got = sorted(features.with_vendor(df, vendor).select(
+        "horse_num", "prev_pci", "sire_type").collect())
+    assert list(map(tuple, got)) == [(3, 1.0, "b"), (4, None, None)]
