@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_parked: list[str] = []  # folders this driver has written and not yet cleared
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -33,8 +34,19 @@ def park(df: DataFrame, label: str, partition_by: list[str] | None = None) -> Da
     """
     spark = df.sparkSession
     folder = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _parked.append(folder)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def clear_parked(spark: SparkSession) -> int:
+    """Delete the tables this driver has parked; to be called when no result needs them."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    cleared = 0
+    while _parked:
+        path = jvm.org.apache.hadoop.fs.Path(_parked.pop())
+        cleared += bool(path.getFileSystem(hadoop).delete(path, True))
+    return cleared
