@@ -84,7 +84,6 @@ def computed(spark, data, **skew):
     new["gap"] = history.day_gap(o)
     base = o.rows.select("*", *[c.alias(n) for n, c in new.items()])
     base = history.with_suitability(o, {"low": F.col("odds") < 25}, df=base)
-    base = history.with_decayed_means(o, {"decayed": "rank"}, df=base)
     out = o.finish(base)
     names = sorted(c for c in out.columns)
     return {r["horse_num"]: [r[c] for c in names] for r in out.collect()}, names
@@ -179,7 +178,7 @@ def test_decayed_mean_keeps_the_age_of_missing_values(spark):
     data = [("r", i, "h", dt.datetime(2024, 1, 1 + i), x, 1.0)
             for i, x in enumerate([None, 1, None, 3, 4, 4])]
     df = spark.createDataFrame(data, DDL)
-    o = history.entrant_rows(df, halo=91)
+    o = history.entrant_rows(df, halo=history.decay_rows(5))
     got = [r["m"] for r in o.finish(history.with_decayed_means(o, {"m": "rank"}))
            .orderBy("horse_num").collect()]
     # Entry i holds the mean of the rows before i.
@@ -192,12 +191,29 @@ def test_decayed_mean_survives_a_long_gap(spark):
              1.0) for i in range(400)]
     df = spark.createDataFrame(data, DDL)
     for skew in ({}, {"hot_rows": 50, "slice_rows": 100}):
-        o = history.entrant_rows(df, halo=91, **skew)
+        o = history.entrant_rows(df, halo=history.decay_rows(5), **skew)
         out = o.finish(history.with_decayed_means(o, {"m": "rank"}))
         assert out.where("horse_num > 0").select("m").distinct().collect()[0][0] == 4.0
         assert out.count() == 400
 
 
+def test_decayed_mean_over_slices(spark):
+    """A hot entrant of several slices has the means of the plain path."""
+    rng = random.Random(5)
+    data = [("r", i, "h" if i % 50 else "cold", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i),
+             rng.choice([None, 1, 2, 9]), 1.0) for i in range(6000)]
+    df = spark.createDataFrame(data, DDL)
+
+    def means(**skew):
+        o = history.entrant_rows(df, halo=history.decay_rows(5), **skew)
+        found = o.finish(history.with_decayed_means(o, {"m": "rank"}))
+        return {r["horse_num"]: r["m"] for r in found.collect()}
+    plain, sliced = means(), means(hot_rows=500, slice_rows=history.decay_rows(5))
+    assert plain.keys() == sliced.keys() and len(plain) == 6000
+    assert all(plain[k] == sliced[k] or plain[k] == pytest.approx(sliced[k], rel=1e-12)
+               for k in plain)
+
+
 def test_global_running(spark):
     rng = random.Random(2)
     xs = [rng.choice([1.0, 2.0, rng.random() * 9]) for _ in range(900)]
