@@ -55,7 +55,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece ids, their number, and whether decoding them gives the text."""
-    both = pieces.decoded(pieces.encoded(docs.select("doc_id", "text")), text="back")
+    both = pieces.encoded_and_decoded(docs.select("doc_id", "text"))
     expected = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.MARK), F.lit(" "))
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"),
                        (F.col("back") == expected).alias("same_text"))

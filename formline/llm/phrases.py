@@ -60,7 +60,7 @@ def term_counts(docs: DataFrame, flags, text: str = "text") -> DataFrame:
     """(term, n): occurrences in the whole corpus of the terms whose bit is set."""
     def count(batches):
         for batch in batches:
-            for _, offsets, data in ragged.text_chunks(batch.column(0), 4 * ragged.CHUNK_BYTES):
+            for _, offsets, data in ragged.text_chunks(batch.column(0), 2 * ragged.CHUNK_BYTES):
                 hashes = ragged.words(offsets, data)[0]
                 hashes = hashes[flags.value[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]]
                 terms, n = np.unique(hashes, return_counts=True)

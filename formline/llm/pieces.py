@@ -347,26 +347,32 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def _with(df: DataFrame, column: str, kind: str, source, work) -> DataFrame:
-    """``df`` with ``column`` as its last; ``work`` yields it part by part from ``source``."""
-    kept = [c for c in df.columns if c != column]
+def _with(df: DataFrame, columns: dict[str, str], source, work) -> DataFrame:
+    """``df`` with new last columns (name -> type); ``work`` yields them part by part."""
+    kept = [c for c in df.columns if c not in columns]
     rows = df.select(*[F.col(f"`{c}`") for c in kept], source.alias("_source_"))
 
     def step(batches):
         for batch in batches:
             at = 0
             for part in work(batch.column(batch.num_columns - 1)):
+                size = len(part[0])
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(at, len(part)) for c in batch.columns[:-1]), part],
-                    [*kept, column])
-                at += len(part)
-    schema = df.select(*[F.col(f"`{c}`") for c in kept],
-                       F.lit(None).cast(kind).alias(column)).schema
+                    [*(c.slice(at, size) for c in batch.columns[:-1]), *part],
+                    [*kept, *columns])
+                at += size
+    schema = df.select(*[F.col(f"`{c}`") for c in kept], *[
+        F.lit(None).cast(kind).alias(c) for c, kind in columns.items()]).schema
     for item in schema:
         item.nullable = True
     return rows.mapInArrow(step, schema)
 
 
+def _encode_parts(column: pa.Array, path: str):
+    for _, offsets, data in ragged.text_chunks(column):
+        yield transducer(path).encode(offsets, data)
+
+
 def encoded(docs: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None
             ) -> DataFrame:
     """``docs`` with the piece ids of whole texts in ``ids`` (an old column of this name goes).
@@ -377,10 +383,24 @@ def encoded(docs: DataFrame, text: str = "text", ids: str = "ids", model: str |
     path = model or model_file()
 
     def work(column):
-        for _, offsets, data in ragged.text_chunks(column):
-            values, sizes = transducer(path).encode(offsets, data)
-            yield ragged.list_array(pa.array(values), sizes)
-    return _with(docs, ids, "array<int>", F.col(f"`{text}`"), work)
+        for values, sizes in _encode_parts(column, path):
+            yield [ragged.list_array(pa.array(values), sizes)]
+    return _with(docs, {ids: "array<int>"}, F.col(f"`{text}`"), work)
+
+
+def encoded_and_decoded(docs: DataFrame, text: str = "text", ids: str = "ids",
+                        back: str = "back", model: str | None = None) -> DataFrame:
+    """``docs`` with the ids of whole texts and the texts decoded from these ids, in one pass.
+
+    Odd rows are treated as by ``encoded`` and ``decoded``.
+    """
+    path = model or model_file()
+
+    def work(column):
+        for values, sizes in _encode_parts(column, path):
+            yield [ragged.list_array(pa.array(values), sizes),
+                   pa.array(transducer(path).decode(values, sizes), pa.string())]
+    return _with(docs, {ids: "array<int>", back: "string"}, F.col(f"`{text}`"), work)
 
 
 def decoded(rows: DataFrame, ids: str = "ids", text: str = "text", model: str | None = None
@@ -399,15 +419,15 @@ def decoded(rows: DataFrame, ids: str = "ids", text: str = "text", model: str |
             stop = int(np.searchsorted(edge, edge[at] + ragged.CHUNK_BYTES, "right")) - 1
             stop = min(max(stop, at + 1), len(column))
             out = transducer(path).decode(flat[edge[at]:edge[stop]], np.diff(edge[at:stop + 1]))
-            yield pa.array(out, pa.string())
+            yield [pa.array(out, pa.string())]
             at = stop
-    return _with(rows, text, "string", F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")),
-                 work)
+    return _with(rows, {text: "string"}, F.coalesce(
+        F.col(f"`{ids}`"), F.array().cast("array<int>")), work)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_ids, hash of the ids, crc32 of the decoded text, and whether it is the text."""
-    both = decoded(encoded(docs.select("doc_id", "text")), text="back")
+    both = encoded_and_decoded(docs.select("doc_id", "text"))
     back = F.coalesce("text", F.lit(""))
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
 
@@ -32,7 +32,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = max(n, CHUNK_BYTES + CHUNK_BYTES // 4)
         for name, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 2**64))):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

@@ -136,6 +136,9 @@ def test_pieces_of_odd_rows(documents):
         r[1] or "" for r in sorted(rows, key=lambda r: str(r[0]))]
     assert {len(r.ids) for r in both if r.doc_id in (1, 2)} == {0}
     assert pieces.decoded(pieces.encoded(documents([]))).count() == 0
+    one_pass = pieces.encoded_and_decoded(df).collect()
+    assert sorted((str(r.doc_id), list(r.ids), r.back) for r in one_pass) == sorted(
+        (str(r.doc_id), list(r.ids), r.back) for r in both)
 
 
 def test_run_of_marks_like_the_library():
