@@ -274,9 +274,13 @@ def _across(members: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
         F.min("component").alias("lo"), F.max("component").alias("hi"),
         F.count("*").alias("size")).where("lo < hi")
     still = placed.join(mixed.select("band", "value", "size"), ["band", "value"])
-    all_bands = texts.select("id", F.transform(
-        "bands", lambda x: F.shiftright(x, 32).cast("int")).alias("all"))
-    small = park(still.where(F.col("size") <= SMALL).join(all_bands, "id"), "open")
+    small = still.where(F.col("size") <= SMALL)
+    # A pair meets in the first of the bands whose bucket is a small one; the others are NULL.
+    open_bands = small.groupBy("id").agg(F.collect_set("band").alias("open"))
+    all_bands = texts.join(open_bands, "id").select("id", F.transform(
+        "bands", lambda x, k: F.when(F.array_contains("open", k), F.shiftright(x, 32).cast("int"))
+    ).alias("all"))
+    small = park(small.join(all_bands, "id"), "open")
     other = small.select("band", "value", F.col("id").alias("b"), F.col("n").alias("m"),
                          F.col("component").alias("c"), F.col("all").alias("all2"))
     shared = F.array_position(F.zip_with("all", "all2", lambda x, y: x == y), True)

@@ -90,3 +90,21 @@ def test_crowded_buckets_use_hubs(documents, monkeypatch):
         rows.append((i, " ".join(copy)))
     monkeypatch.setattr(neardup, "SMALL", 4)
     assert {r.class_id for r in neardup.classes(documents(rows)).collect()} == {0}
+
+
+def test_pairs_meet_in_a_small_bucket_after_a_crowded_one(spark, monkeypatch):
+    # 1 and 2 share band 0 with 66 others, and band 9 only with each other.
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    bands = {i: [100 * k + i << 32 for k in range(neardup.BANDS)] for i in range(1, 68)}
+    for i in bands:
+        bands[i][0] = 7 << 32
+    bands[1][9] = bands[2][9] = 5 << 32
+    # The fullest members, thus the hubs, are others.
+    members = [(i, 50, 0, 7 << 32, 0 if i < 3 else i) for i in bands]
+    members += [(i, 50, 9, 5 << 32, 0) for i in (1, 2)]
+    texts = spark.createDataFrame([(i, b, bytes([i]) * neardup.K) for i, b in bands.items()],
+                                  "id long, bands array<long>, mini binary")
+    found = neardup._across(
+        spark.createDataFrame(members, "id long, n long, band int, value long, full long"),
+        spark.createDataFrame([], "id long, component long"), texts)
+    assert (1, 2) in {(r.a, r.b) for r in found.select("a", "b").collect()}
