@@ -18,12 +18,14 @@ with probability above 0.9998.
 *Links.*  Documents with equal word sequences are one text.  A band's bucket links its members
 to its hub, the member with the fullest buckets.  Where members of a bucket are then still in
 different classes, they are compared with each other across the classes, each pair in the first
-band it shares.  A bucket of more than ``SMALL`` members compares them with ``HUBS`` further hubs
-instead, the fullest members of as many random parts of it: within one crowd of texts that are
-all about as similar as the threshold, pairs grow with the square of the crowd, and hubs do not.
-Compared pairs whose signatures, cut to a byte a coordinate, agree so little
-that a similarity of 0.8 has odds below 1 : 10**6 are dropped; all others are verified on the
-whole texts.
+small bucket it shares.  Pairs of hubs and of small buckets whose signatures, cut to a byte a
+coordinate, agree so little that a similarity of 0.8 has odds below 1 : 10**6 are dropped; all
+others are verified on the whole texts.
+
+*Crowds.*  In a bucket of more than ``SMALL`` members all that are outside its most frequent class
+meet all members, block by block: matrix products over the shingles give the exact similarity of
+every pair, and a block pair sends on, per member, its smallest relative in the block pair, never
+the links themselves.  The work grows with the members times those outside that class.
 """
 
 from __future__ import annotations
@@ -43,8 +45,10 @@ BANDS, ROWS = 28, 6
 K = BANDS * ROWS
 #: Least share of equal signature bytes; at similarity 0.8 it is missed by 4.8 deviations.
 AGREE = 0.65
-#: Buckets up to this size compare all members of different classes; larger ones use hubs.
-SMALL, HUBS = 64, 8
+#: Buckets up to this size compare their members by a join, larger ones by blocks.
+SMALL = 64
+#: Members and shingles of a block, and columns of one dense product.
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1000, 1 << 18, 2048
 _U = np.uint64
 _ODD = ragged.mix(np.arange(11, 11 + SHINGLE, dtype=_U)) | _U(1)
 _POISSON = np.cumsum([1 / np.e / np.prod(range(1, n + 1), initial=1.0) for n in range(20)])
@@ -257,7 +261,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     first = park(verified(plausible(wanted, texts), body), "links-hub")
     near = park(components(first), "near")
     second = park(verified(plausible(_across(members, near, texts), texts), body), "links-across")
-    near = components(second.unionByName(
+    crowded = park(_crowd_links(members, near, body), "links-crowds")
+    near = components(second.unionByName(crowded).unionByName(
         near.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     found = texts.select("d1", "d2", "id").join(near, "id", "left").select(
         "d1", "d2", F.coalesce("component", "id").alias("component"))
@@ -266,15 +271,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         "id", F.coalesce("component", "id").alias("class_id"))
 
 
-def _across(members: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket that are in different classes so far, each pair once."""
-    placed = members.select("id", "n", "band", "value", "full").join(near, "id", "left").withColumn(
+def _unsettled(members: DataFrame, near: DataFrame) -> DataFrame:
+    """Members, with class and bucket size, of the buckets that hold several classes so far."""
+    placed = members.select("id", "n", "band", "value").join(near, "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     mixed = placed.groupBy("band", "value").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"),
         F.count("*").alias("size")).where("lo < hi")
-    still = placed.join(mixed.select("band", "value", "size"), ["band", "value"])
-    small = still.where(F.col("size") <= SMALL)
+    return placed.join(mixed.select("band", "value", "size"), ["band", "value"])
+
+
+def _across(members: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one small bucket that are in different classes so far, each pair once."""
+    small = _unsettled(members, near).where(F.col("size") <= SMALL)
     # A pair meets in the first of the bands whose bucket is a small one; the others are NULL.
     open_bands = small.groupBy("id").agg(F.collect_set("band").alias("open"))
     all_bands = texts.join(open_bands, "id").select("id", F.transform(
@@ -285,17 +294,112 @@ def _across(members: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
                          F.col("component").alias("c"), F.col("all").alias("all2"))
     shared = F.array_position(F.zip_with("all", "all2", lambda x, y: x == y), True)
     different = (F.col("component") != F.col("c")) & _fits("n", "m")
-    pairs = small.join(other, ["band", "value"]).where(
+    return small.join(other, ["band", "value"]).where(
         (F.col("id") < F.col("b")) & different & (shared == F.col("band") + 1)).select(
-        F.col("id").alias("a"), "b")
-    large = park(still.where(F.col("size") > SMALL), "crowds")
-    part = F.pmod(F.xxhash64("id", "band"), F.lit(HUBS))
-    hubs = large.groupBy("band", "value", part.alias("part")).agg(F.max(F.struct(
-        "full", (-F.col("id")).alias("minus"), F.col("n").alias("m"),
-        F.col("component").alias("c"))).alias("h")).select(
-        "band", "value", (-F.col("h.minus")).alias("b"), "h.m", "h.c")
-    return pairs.unionByName(large.join(hubs, ["band", "value"]).where(different).select(
-        F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))).distinct()
+        F.col("id").alias("a"), "b").distinct()
+
+
+def _crowd_links(members: DataFrame, near: DataFrame, body: DataFrame) -> DataFrame:
+    """(a, b) that joins what is linked across the classes of the buckets that are not small.
+
+    Residents are the members outside a bucket's most frequent class, visitors all members;
+    every block of residents meets every block of visitors.  ``body`` has id and text.
+    """
+    where = ["band", "value"]
+    large = park(_unsettled(members, near).where(F.col("size") > SMALL), "crowds")
+    crowds = large.groupBy(*where, "component").agg(
+        F.count("*").alias("c"), F.sum("n").alias("s")).groupBy(*where).agg(
+        F.max(F.struct("c", "component", "s")).alias("most"), F.sum("c").alias("c"),
+        F.sum("s").alias("s"))
+
+    def blocks(rows, size):
+        return F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_SHINGLES)).cast("int")
+    crowds = crowds.select(
+        *where, F.col("most.component").alias("main"),
+        blocks(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s")).alias("n_res"),
+        blocks(F.col("c"), F.col("s")).alias("n_vis"))
+    texts = park(body.join(large.select("id").distinct().hint("merge"), "id", "left_semi"
+                           ).dropDuplicates(["id"]), "crowd-texts")
+    rows = large.join(crowds, where)
+
+    def spread(side, own, other, mine, theirs):
+        """Every row goes to its block and meets all blocks of the other side."""
+        return side.withColumn(own, F.pmod(F.xxhash64("id", F.lit(5)), F.col(mine)).cast("int")
+                               ).withColumn(other, F.explode(F.sequence(
+                                   F.lit(0), F.col(theirs) - 1)))
+    names = ["id", "component", *where, "i", "j"]
+    both = spread(rows.where("component != main"), "i", "j", "n_res", "n_vis").select(
+        *names, F.lit(True).alias("resident")).unionByName(
+        spread(rows, "j", "i", "n_vis", "n_res").select(
+            *names, F.lit(False).alias("resident")))
+    return both.join(texts, "id").groupBy(*where, "i", "j").applyInArrow(
+        _meet, "a long, b long")
+
+
+def _common(a, b, rows_a: int, rows_b: int) -> np.ndarray:
+    """Sums of minima of the (owner, element, weight) of two sides, (rows_a, rows_b)."""
+    shared = np.intersect1d(a[1], b[1])
+    sides, most = [], []
+    for owner, element, weight in (a, b):
+        at = np.minimum(np.searchsorted(shared, element), max(len(shared) - 1, 0))
+        kept = np.flatnonzero(shared[at] == element) if len(shared) else np.zeros(0, np.int64)
+        sides.append((owner[kept], at[kept], weight[kept]))
+        top = np.zeros(len(shared), np.int64)
+        np.maximum.at(top, at[kept], weight[kept])
+        most.append(top)
+    # An element of weight w is a one in each of its first w columns.
+    width = np.minimum(*most)
+    begin = np.cumsum(width) - width
+    ones = []
+    for owner, at, weight in sides:
+        times = np.minimum(weight, width[at])
+        column = ragged.ranges(begin[at], times)
+        order = np.argsort(column, kind="stable")
+        ones.append((np.repeat(owner, times)[order], column[order]))
+    out = np.zeros((rows_a, rows_b))
+    for lo in range(0, int(width.sum()), COLUMNS):
+        dense = []
+        for rows, (owner, column) in zip((rows_a, rows_b), ones, strict=True):
+            part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+            dense.append(np.zeros((rows, COLUMNS), np.float32))
+            dense[-1][owner[part], column[part] - lo] = 1
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _meet(group: pa.Table) -> pa.Table:
+    """Links across classes between the residents and the visitors of one block pair."""
+    flag = group["resident"].to_numpy()
+    if flag.all() or not flag.any():
+        return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
+    ids, component = (group[c].to_numpy() for c in ("id", "component"))
+    sides, totals, names, classes_ = [], [], [], []
+    for own in (np.flatnonzero(flag), np.flatnonzero(~flag)):
+        text = group["text"].take(pa.array(own)).combine_chunks()
+        parts = []
+        for first, offsets, data in ragged.text_chunks(text):
+            owner, element, weight, _, _ = shingles(offsets, data)
+            parts.append((owner + first, element, weight))
+        sides.append([np.concatenate(x) for x in zip(*parts, strict=True)])
+        totals.append(np.bincount(sides[-1][0], sides[-1][2], len(own)))
+        names.append(ids[own])
+        classes_.append(component[own])
+    common = _common(*sides, *map(len, totals))
+    linked = 9 * common >= 4 * (totals[0][:, None] + totals[1])
+    linked &= classes_[0][:, None] != classes_[1]
+    some = linked.any(axis=1), linked.any(axis=0)
+    linked = linked[some[0]][:, some[1]]
+    names = [x[s] for x, s in zip(names, some, strict=True)]
+    # Roots are kept per side; a member of both sides is joined by its id later.
+    root = [x.copy() for x in names]
+    none = np.iinfo(np.int64).max
+    while linked.size:
+        up = np.minimum(root[0], np.where(linked, root[1], none).min(axis=1))
+        down = np.minimum(root[1], np.where(linked, up[:, None], none).min(axis=0))
+        if (up == root[0]).all() and (down == root[1]).all():
+            break
+        root = [up, down]
+    return pa.table([pa.array(np.concatenate(x)) for x in (names, root)], ["a", "b"])
 
 
 @query("op1_minhash_near_dedup")

@@ -108,3 +108,35 @@ def test_pairs_meet_in_a_small_bucket_after_a_crowded_one(spark, monkeypatch):
         spark.createDataFrame(members, "id long, n long, band int, value long, full long"),
         spark.createDataFrame([], "id long, component long"), texts)
     assert (1, 2) in {(r.a, r.b) for r in found.select("a", "b").collect()}
+
+
+def test_crowd_without_a_central_text_against_brute_force(documents, monkeypatch):
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(200)]
+
+    def changed(text, places, name):
+        copy = list(text)
+        for k in rng.sample(range(200), places):
+            copy[k] = f"{name}x{k}"
+        return copy
+    rows = []
+    for i in range(200):  # unlike each other, but for one near relative each
+        one = changed(base, 4, f"n{i}")
+        rows += [one, changed(one, 4, f"m{i}")]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 50, raising=False)
+    found = {r.id: r.class_id for r in neardup.classes(documents(rows)).collect()}
+    assert found == brute(rows)
+
+
+def test_common_shingles_of_two_sides_are_sums_of_minima():
+    texts = ["a b c d e " * 9 + "x y z", "a b c d e " * 4 + "q r s t u v", "k l m n o", "...",
+             "a b c d e " * 700]
+    (_, offsets, data), = ragged.text_chunks(pa.array(texts))
+    owner, element, weight, _, _ = neardup.shingles(offsets, data)
+    side = owner, element, weight
+    found = neardup._common(side, side, len(texts), len(texts))
+    have = [shingles(t) for t in texts]
+    assert found.tolist() == [[sum(min(x, b.get(s, 0)) for s, x in a.items()) if b else 0
+                               for b in have] for a in have]
