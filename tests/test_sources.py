@@ -114,3 +114,19 @@ def test_scratch_folder_is_the_one_named(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         assert session.scratch_folder(spark) == named.rstrip("/")
+
+
+def test_first_rows_are_read_from_the_whole_table(spark, monkeypatch):
+    from checks import QUERIES, files
+    from checks.tables import results as contests
+    folder, written = "/root/testdata/sf0.001", []
+
+    def spy(df, path, *args, write=tables.write_table):
+        write(df, path, *args)
+        written.append(spark.read.option("header", True).csv(path).count())
+    monkeypatch.setattr(tables, "write_table", spy)
+    monkeypatch.setattr(files, "RANGE_ROWS", 300, raising=False)
+    rows = contests(spark, folder, *files.KEY)
+    got = [tuple(r) for r in QUERIES["csv_scan_first_rows"](spark, folder).collect()]
+    assert got == [tuple(r) for r in rows.orderBy(*files.KEY).limit(25).collect()]
+    assert written == [rows.count()] and written[0] > 500
