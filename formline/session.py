@@ -26,6 +26,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """Name of a new folder in the scratch folder; ``discard`` or ``clear_parked`` deletes it."""
+    folder = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _parked.append(folder)
+    return folder
+
+
 def park(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -33,8 +40,7 @@ def park(df: DataFrame, label: str, partition_by: list[str] | None = None) -> Da
     size of the table, so that it picks a broadcast or a shuffled join by that size.
     """
     spark = df.sparkSession
-    folder = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    _parked.append(folder)
+    folder = own_folder(spark, label)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -42,11 +48,15 @@ def park(df: DataFrame, label: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def discard(spark: SparkSession, folder: str) -> bool:
+    """Delete one folder of ``own_folder`` that later steps have replaced."""
+    if folder not in _parked:
+        return False
+    _parked.remove(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_parked(spark: SparkSession) -> int:
     """Delete the tables this driver has parked; to be called when no result needs them."""
-    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-    cleared = 0
-    while _parked:
-        path = jvm.org.apache.hadoop.fs.Path(_parked.pop())
-        cleared += bool(path.getFileSystem(hadoop).delete(path, True))
-    return cleared
+    return sum(discard(spark, folder) for folder in list(_parked))
