@@ -1,10 +1,11 @@
 """How five document filters act on each other, in every order, by a sparse document-term matrix.
 
 The words of all texts are dictionary-encoded: tasks cut their documents into shards, compressed
-sparse rows over the shard's own words; the distinct words of all shards get dense global numbers;
-and each shard meets the numbers of its own words, which makes its columns global.  Only words
-that differ within a shard are shuffled for that, so a word that every document holds costs a row
-per shard.  Row sums are numbers of words, nonzero counts numbers of distinct words.
+sparse rows over the shard's own words.  A word's number is its 63-bit hash.  All words meet once,
+as number and check sum, to find numbers that two words share; those words get numbers of their
+own (negative ones).  With the numbers the columns of a shard are global, and no row or cell of
+the matrix is ever shuffled.  Row sums are numbers of words, nonzero counts numbers of distinct
+words.
 
 A document's failures are five bits.  Counts per part and set of failures say everything about all
 orders: what is kept after any filters is the number of documents that fail none of them.
@@ -19,8 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.llm import ragged
@@ -31,12 +31,14 @@ from formline.session import own_folder, park
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS = 200, 50, 2
 SIGNS = "#$%&*|"
 FILTERS = "ABCDE"
-#: Text bytes of a shard (or one longer text), words per task when numbering, bytes that a reader
-#: of shards holds at once.
-SHARD_BYTES, NUMBERED_ROWS, ROW_GROUP = 1 << 22, 250_000, 16 << 20
+#: Text bytes of a shard (or one longer text), bytes that a reader of shards holds at once.
+SHARD_BYTES, ROW_GROUP = 1 << 20, 16 << 20
+#: Bits of a word's number.
+BITS = 63
 
 _SIGN = np.zeros(256, dtype=bool)
 _SIGN[list(SIGNS.encode())] = True
+_CHECK = ragged.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -72,9 +74,20 @@ def sparse_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa
     return indptr, cells % max(len(words), 1), data, words
 
 
+def _packed(values: np.ndarray) -> pa.Array:
+    """Whole numbers as bytes of the smallest fitting size."""
+    kind = next(k for k in ("<u2", "<u4", "<i8") if not len(values)
+                or values.max() <= np.iinfo(k).max)
+    return pa.array([values.astype(kind).tobytes()], pa.binary())
+
+
+def _unpacked(data: bytes, count: int) -> np.ndarray:
+    kind = {0: "<u2", 2: "<u2", 4: "<u4", 8: "<i8"}[len(data) // max(count, 1)]
+    return np.frombuffer(data, kind).astype(np.int64)
+
+
 def _cut(batches):
     """One row per shard of the documents (id, part, digest, text) of a task."""
-    number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for first, offsets, data in ragged.text_chunks(batch.column(3), SHARD_BYTES):
             part = batch.slice(first, len(offsets) - 1)
@@ -82,19 +95,16 @@ def _cut(batches):
             capitals = _per_row((data >= 65) & (data <= 90), offsets)
             points = _per_row((data & 0xC0) != 0x80, offsets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), *(_one(part.column(k)) for k in range(3)),
+                [*(_one(part.column(k)) for k in range(3)),
                  _one(pa.array(100 * capitals > MOST_CAPITALS * points)),
                  _one(pa.array(_per_row(_SIGN[data], offsets) > 0)),
-                 _one(pa.array(indptr.astype(np.int64))),
-                 _one(pa.array(indices.astype(np.int32))),
-                 _one(pa.array(counts.astype(np.int32))), _one(words)],
-                ["shard", "ids", "parts", "digests", "c", "d", "indptr", "indices", "data",
-                 "words"])
-            number += 1
+                 _one(pa.array(indptr.astype(np.int64))), _packed(indices), _packed(counts),
+                 pc.binary_join(_one(words), " ")],
+                ["ids", "parts", "digests", "c", "d", "indptr", "indices", "data", "words"])
 
 
 def local_shards(docs: DataFrame, key: str, text: str, part: str) -> DataFrame:
-    """Shards over their own words, written once."""
+    """Shards over their own words, written once; indices and data are packed whole numbers."""
     spark = docs.sparkSession
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(
@@ -102,79 +112,126 @@ def local_shards(docs: DataFrame, key: str, text: str, part: str) -> DataFrame:
         F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"),
         F.unhex(F.sha2(whole.cast("binary"), 256)).alias("digest"), whole.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    cut = rows.mapInArrow(_cut, f"""shard long, ids array<{kind}>, parts array<string>,
+    cut = rows.mapInArrow(_cut, f"""ids array<{kind}>, parts array<string>,
         digests array<binary>, c array<boolean>, d array<boolean>, indptr array<long>,
-        indices array<int>, data array<int>, words array<string>""")
+        indices binary, data binary, words string""")
     folder = own_folder(spark, "shards")
     cut.write.option("parquet.block.size", ROW_GROUP).parquet(folder)
     return spark.read.schema(cut.schema).parquet(folder)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """(word, number): dense numbers of all distinct words, in order of a hash and the word."""
-    words = park(shards.select(F.explode("words").alias("word")).distinct(), "words")
-    buckets = -(-words.count() // NUMBERED_ROWS) or 1
-    placed = words.withColumn("_b", F.pmod(F.xxhash64("word"), F.lit(buckets)))
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # A row per bucket; each has about NUMBERED_ROWS words, which are distinct.
-    before = placed.groupBy("_b").agg(F.count("*").alias("_n")).select(
-        "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_b").orderBy("word")
-    return placed.withColumn("_r", F.row_number().over(inside) - 1).join(
-        F.broadcast(before), "_b").select("word", (F.col("_before") + F.col("_r")).alias("number"))
-
-
-def _flat(shard: pa.Table, name: str) -> pa.Array:
-    return shard.column(name).combine_chunks().flatten()
-
-
-def _cells(shard: pa.Table, numbers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, global column, occurrences) of the stored cells of a shard, in this order."""
-    ptr, index, data = (_flat(shard, n).to_numpy(zero_copy_only=False)
-                        for n in ("indptr", "indices", "data"))
-    known = np.empty(numbers.num_rows, np.int64)
-    known[numbers.column("pos").to_numpy()] = numbers.column("number").to_numpy()
-    row, column = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), known[index]
-    by = np.lexsort((column, row))
-    return row, column[by], data[by]  # rows are in order already
+def numbers_of(words: bytes, bits: int = BITS
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number, check sum, start, end) of words that single spaces part."""
+    data = np.frombuffer(words, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), *np.zeros((2, 0), np.int64)
+    gaps = np.flatnonzero(data == 32)
+    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(data))
+    number = ragged.Spans(data).hashes(starts, ends) >> np.uint64(64 - bits)
+    other = ragged.Spans(data, _CHECK).hashes(starts, ends)
+    return number.view(np.int64), (other >> np.uint64(32)).astype(np.uint32).view(
+        np.int32), starts, ends
 
 
-def _matrix(shard: pa.Table, numbers: pa.Table) -> pa.Table:
-    _, column, data = _cells(shard, numbers)
-    return pa.table({"shard": shard.column("shard"), "ids": shard.column("ids"),
-                     "indptr": shard.column("indptr"), "columns": _one(pa.array(column)),
-                     "data": _one(pa.array(data))})
+def shared_numbers(shards: DataFrame, bits: int = BITS) -> dict[bytes, int]:
+    """New numbers of the words whose hash another word has, too.
 
-
-def _figures(shard: pa.Table, numbers: pa.Table) -> pa.Table:
-    """Row sums and nonzero counts of a shard of the encoded matrix, a row per document."""
-    row, column, data = _cells(shard, numbers)
-    ids = _flat(shard, "ids")
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (column[1:] != column[:-1])
-    total = np.bincount(row, data, len(ids)).astype(np.int64)  # far below 2**53
-    return pa.table({
-        "id": ids, "part": _flat(shard, "parts"), "digest": _flat(shard, "digests"),
-        "n_words": pa.array(total),
-        "n_distinct": pa.array(np.bincount(row[new], minlength=len(ids))),
-        "c": _flat(shard, "c"), "d": _flat(shard, "d")})
-
-
-def _encoded(shards: DataFrame, function, schema: str) -> DataFrame:
-    own = shards.select(F.col("shard").alias("owner"), F.posexplode("words").alias("pos", "word"))
-    numbers = own.join(dictionary(shards), "word").select("owner", "pos", "number")
-    return shards.drop("words").groupBy("shard").cogroup(numbers.groupBy("owner")).applyInArrow(
-        function, schema)
+    There are hardly any: about half a pair among four billion words.
+    """
+    def pairs(batches):
+        for batch in batches:
+            for words in batch.column(0):
+                number, check, *_ = numbers_of(words.as_buffer().to_pybytes(), bits)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(check)],
+                                                 ["number", "check"])
+    twice = {r["number"] for r in shards.select("words").mapInArrow(
+        pairs, "number long, check int").groupBy("number").agg(
+        F.min("check").alias("low"), F.max("check").alias("high")).where(
+        "low <> high").select("number").toLocalIterator()}
+    if not twice:
+        return {}
+    known = np.array(sorted(twice))
+
+    def sharing(batches):
+        for batch in batches:
+            for words in batch.column(0):
+                text = words.as_buffer().to_pybytes()
+                number, _, starts, ends = numbers_of(text, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(
+                    [text[starts[i]:ends[i]] for i in np.flatnonzero(np.isin(number, known))],
+                    pa.binary())], ["word"])
+    words = shards.select("words").mapInArrow(sharing, "word binary").distinct()
+    return {bytes(r["word"]): -1 - k for k, r in enumerate(words.orderBy("word").collect())}
+
+
+def _columns(words: bytes, shared: dict[bytes, int], bits: int = BITS) -> np.ndarray:
+    """Global number of each of a shard's words."""
+    number, _, starts, ends = numbers_of(words, bits)
+    if shared:
+        known = np.isin(number, [int(numbers_of(w, bits)[0][0]) for w in shared])
+        for i in np.flatnonzero(known):
+            number[i] = shared[words[starts[i]:ends[i]]]
+    return number
+
+
+def _cells(shard: pa.RecordBatch, at: int, shared: dict[bytes, int], bits: int = BITS
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place of the column, occurrences) of a shard's cells in this order, and the columns."""
+    def blob(name):
+        return shard.column(name)[at].as_buffer().to_pybytes()
+
+    ptr = shard.column("indptr")[at].values.to_numpy()
+    index, data = _unpacked(blob("indices"), ptr[-1]), _unpacked(blob("data"), ptr[-1])
+    columns, place = np.unique(_columns(blob("words"), shared, bits), return_inverse=True)
+    cell = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)) * max(len(columns), 1)
+    if len(index):
+        cell += place[index]
+    by = np.argsort(cell)
+    return cell[by] // max(len(columns), 1), cell[by] % max(len(columns), 1), data[by], columns
 
 
 def term_matrix(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source"
                 ) -> DataFrame:
-    """Document-term matrix as compressed sparse row shards: shard, ids (of its rows), indptr,
-    columns (numbers of words over the whole table) and data (occurrences)."""
+    """Document-term matrix as compressed sparse row shards: ids (of its rows), indptr, columns
+    (numbers of words, the same in all shards) and data (occurrences)."""
     shards = local_shards(docs, key, text, part)
+    shared = shared_numbers(shards)
+
+    def matrix(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                _, place, data, columns = _cells(batch, at, shared)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("ids").slice(at, 1), batch.column("indptr").slice(at, 1),
+                     _one(pa.array(columns[place])), _one(pa.array(data))],
+                    ["ids", "indptr", "columns", "data"])
     kind = shards.schema["ids"].dataType.simpleString()
-    return _encoded(shards, _matrix, f"shard long, ids {kind}, indptr array<long>, "
-                                     "columns array<long>, data array<int>")
+    return shards.mapInArrow(matrix, f"ids {kind}, indptr array<long>, columns array<long>, "
+                                     "data array<long>")
+
+
+def row_figures(shards: DataFrame, bits: int = BITS) -> DataFrame:
+    """Row sums and nonzero counts of the matrix, a row per document."""
+    shared = shared_numbers(shards, bits)
+
+    def figures(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row, place, data, _ = _cells(batch, at, shared, bits)
+                ids = batch.column("ids")[at].values
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+                total = np.bincount(row, data, len(ids)).astype(np.int64)  # far below 2**53
+                distinct = np.bincount(row[new], minlength=len(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, *(batch.column(n)[at].values for n in ("parts", "digests")),
+                     pa.array(total), pa.array(distinct),
+                     *(batch.column(n)[at].values for n in ("c", "d"))],
+                    ["id", "part", "digest", "n_words", "n_distinct", "c", "d"])
+    kind = shards.schema["ids"].dataType.elementType.simpleString()
+    return shards.mapInArrow(figures, f"""id {kind}, part string, digest binary, n_words long,
+        n_distinct long, c boolean, d boolean""")
 
 
 def failures(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
@@ -185,10 +242,8 @@ def failures(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     smaller one and have no label; rows that share a key repeat only keys smaller than theirs.  A
     key with several label rows is good (toxic) if any says 1.  Other columns play no role.
     """
-    shards = local_shards(docs, key, text, part)
-    kind = shards.schema["ids"].dataType.elementType.simpleString()
-    rows = park(_encoded(shards, _figures, f"""id {kind}, part string, digest binary,
-        n_words long, n_distinct long, c boolean, d boolean"""), "figures")
+    rows = park(row_figures(local_shards(docs, key, text, part)), "figures")
+    kind = rows.schema["id"].dataType.simpleString()
     # The least key of every text; joined by key, so the rows of one text do not meet.
     first = rows.where(F.col("id").isNotNull()).groupBy("digest").agg(
         F.min("id").alias("id")).withColumn("first", F.lit(True))

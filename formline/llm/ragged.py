@@ -43,10 +43,11 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Spans:
     """64-bit hashes of any byte ranges of ``data``, equal for equal bytes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, numbers: np.ndarray = _BYTE):
+        """``numbers`` of the 256 bytes; other ones give other, independent hashes."""
         up, self._down = _power(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * up[:-1], out=self._sums[1:])
+        np.cumsum(numbers[data] * up[:-1], out=self._sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self._sums[ends] - self._sums[starts]) * self._down[starts]

@@ -88,9 +88,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "p", 1, "m") for r in rows], schema).repartition(3)
 
 
-def test_all_orders_against_plain_evaluation(spark, monkeypatch):
+def test_all_orders_against_plain_evaluation(spark):
     rows, labels = sample()
-    monkeypatch.setattr(audit, "NUMBERED_ROWS", 100)  # many buckets of words
     assert found(spark, frame(spark, rows), labels) == plain(rows, labels)
 
 
@@ -101,18 +100,41 @@ def test_empty_tables_and_one_long_text(spark):
     assert found(spark, frame(spark, rows), []) == plain(rows, [])
 
 
-def test_matrix_holds_the_words(spark):
-    rows, _ = sample(3, 60)
-    docs = frame(spark, rows)
-    shards = audit.local_shards(docs, "doc_id", "text", "source")
-    numbers = {r.number: r.word for r in audit.dictionary(shards).collect()}
-    assert sorted(numbers) == list(range(len(numbers)))
-    counts = []
+def matrix_rows(docs):
+    """(key, words of a row as numbers with their counts) of every document."""
+    out = []
     for r in audit.term_matrix(docs).collect():
         for i, key in enumerate(r.ids):
             low, high = r.indptr[i], r.indptr[i + 1]
             assert r.columns[low:high] == sorted(set(r.columns[low:high]))
-            counts.append((key is None, key or 0, high - low, sum(r.data[low:high])))
-    texts = [(k is None, k or 0, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t, _ in rows]
-    assert sorted(counts) == sorted((a, b, len(set(w)), len(w)) for a, b, w in texts)
-    assert set(numbers.values()) == {w for *_, ws in texts for w in ws}
+            out.append((key, dict(zip(r.columns[low:high], r.data[low:high], strict=True))))
+    return out
+
+
+def test_matrix_holds_the_words(spark):
+    rows, _ = sample(3, 60)
+    rows = [r for r in rows if r[0] is not None]
+    number = {}
+
+    def of(word):
+        if word not in number:
+            number[word] = int(audit.numbers_of(word.encode())[0][0])
+        return number[word]
+    expected = [(k, {of(w): n for w, n in Counter(re.findall(r"[^\x20\x09-\x0D]+", t or "")
+                                                  ).items()}) for k, t, _ in rows]
+    assert len(set(number.values())) == len(number)
+    order = lambda x: (x[0], sorted(x[1].items()))
+    assert sorted(matrix_rows(frame(spark, rows)), key=order) == sorted(expected, key=order)
+
+
+def test_words_of_one_hash_get_numbers_of_their_own(spark):
+    rows, _ = sample(5, 60)
+    shards = audit.local_shards(frame(spark, rows), "doc_id", "text", "source")
+    words = {w for _, t, _ in rows for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")}
+    shared = audit.shared_numbers(shards, 8)
+    # Eight bits hold 256 numbers, so nearly all words share theirs.
+    assert len(shared) > len(words) // 2 and len(set(shared.values())) == len(shared)
+    figures = sorted((r.n_words, r.n_distinct) for r in audit.row_figures(shards, 8).collect())
+    assert figures == sorted((len(w), len(set(w))) for _, t, _ in rows
+                             for w in [re.findall(r"[^\x20\x09-\x0D]+", t or "")])
+    assert audit.shared_numbers(shards) == {}
