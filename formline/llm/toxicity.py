@@ -4,7 +4,10 @@ A word is the bag of its own vector and those of its affixes and byte n-grams, a
 one table of embeddings; a text is the mean over its distinct words, and ``NEUTRAL`` words of
 zeros, of the means of their bags.  A linear softmax reads the mean.  The neutral words keep a
 text of a few words from being judged by chance.  Table and softmax are trained together in numpy, so a misspelling that
-the training never saw shares most vectors with the word it bends.
+the training never saw shares most vectors with the word it bends.  A mean over many words thins
+out what a few of them say, so the log odds are stretched and shifted (Platt's scaling) by learnt
+rows that the vectors were not trained on: ``PARTS`` models are each trained without one part of the
+rows and scaled on it, and their log odds are averaged.
 
 Training takes at most ``SAMPLE`` labelled rows (in the order of a hash of the key, each text at
 most ``SAMPLE_BYTES`` long); everything is scored.
@@ -24,9 +27,10 @@ from formline.llm.registry import query, table
 from formline.llm.samples import hash_limit
 
 SAMPLE, SAMPLE_BYTES = 8000, 40_000
-BITS, WIDTH, BATCH, RATE, DECAY = 18, 2, 128, 3.0, 3e-6
+BITS, WIDTH, BATCH, RATE, DECAY = 18, 4, 128, 1.0, 3e-6
 #: Passes over the sample; a small sample is passed so often that this many batches are seen.
-EPOCHS, LEAST_BATCHES = 12, 600
+EPOCHS, LEAST_BATCHES = 8, 300
+PARTS = 3
 NEUTRAL = 60
 AFFIXES, GRAMS = (3, 4, 5), (4,)
 #: Rows with this remainder of crc32(key as text) by 4 are never learnt from.
@@ -42,25 +46,35 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
 
-    def scalars(self) -> np.ndarray:
-        """What a feature adds to the log odds of the label 1."""
-        return self.vectors.astype(float) @ (self.weights[:, 1] - self.weights[:, 0])
+    def scorer(self, factor: float = 1.0, offset: float = 0.0) -> Scorer:
+        """Log odds of the label 1, times ``factor`` plus ``offset``."""
+        one = self.weights[:, 1] - self.weights[:, 0]
+        return Scorer(factor * (self.vectors.astype(float) @ one),
+                      factor * float(self.bias[1] - self.bias[0]) + offset)
 
-    def scores(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Probability of the label 1 of every text of a chunk."""
+
+@dataclass
+class Scorer:
+    """What a feature adds to the log odds of the label 1, and the log odds without words.
+
+    The mean of embeddings and the softmax are linear, so this is all that scoring needs of them."""
+
+    odds: np.ndarray
+    blank: float
+
+    def log_odds(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Log odds of the label 1 of every text of a chunk."""
         rows, words, place, owner, number, size = _bags(offsets, data)
-        means = np.bincount(owner, self.scalars_[number], size) / np.maximum(
+        means = np.bincount(owner, self.odds[number], size) / np.maximum(
             np.bincount(owner, minlength=size), 1)
         pairs = np.unique(words * size + place) if size else np.zeros(0, np.int64)
         text, kind = pairs // max(size, 1), pairs % max(size, 1)
-        z = np.bincount(text, means[kind], rows) / (np.bincount(text, minlength=rows) + NEUTRAL)
-        return 1 / (1 + np.exp(-np.clip(z + self.bias[1] - self.bias[0], -30, 30)))
+        return self.blank + np.bincount(text, means[kind], rows) / (
+            np.bincount(text, minlength=rows) + NEUTRAL)
 
-    @property
-    def scalars_(self) -> np.ndarray:
-        if not hasattr(self, "_scalars"):
-            self._scalars = self.scalars()
-        return self._scalars
+    def scores(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Probability of the label 1 of every text of a chunk."""
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(offsets, data), -30, 30)))
 
 
 def _bags(offsets: np.ndarray, data: np.ndarray):
@@ -93,14 +107,24 @@ def _training_bags(texts: list[str]):
     return tuple(map(np.concatenate, (docs, kinds, numbers, sizes)))
 
 
-def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, batch: int = BATCH,
-        rate: float = RATE, seed: int = 7) -> Model:
+def _places(numbers: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct numbers, place of each number among them); ``mark`` is zero before and after."""
+    mark[numbers] = 1
+    distinct = np.flatnonzero(mark)
+    mark[distinct] = np.arange(len(distinct))
+    places = mark[numbers]
+    mark[distinct] = 0
+    return distinct, places
+
+
+def train(texts: list[str], y: np.ndarray, *, epochs: int = EPOCHS, batch: int = BATCH,
+          rate: float = RATE, seed: int = 7) -> Model:
     """Embeddings and softmax by stochastic gradients with per-weight step sizes.
 
-    Without rows of both labels the model is the share of the label 1 alone.
+    A batch's words are embedded once each, however many of its texts hold them.  Without rows of
+    both labels the model is the share of the label 1 alone.
     """
     rng = np.random.default_rng(seed)
-    y = np.asarray(labels, dtype=float)
     share = (y.sum() + 0.5) / (len(y) + 1.0)
     model = Model(np.zeros((1 << BITS, WIDTH), dtype=np.float32),
                   rng.normal(0, 0.5, (WIDTH, 2)), np.log([1 - share, share]))
@@ -112,34 +136,80 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, batch: int
     head = np.cumsum(bag) - bag
     begin = np.searchsorted(doc, np.arange(rows + 1))
     speed = [np.full(model.vectors.shape, 1e-6), np.full((WIDTH, 2), 1e-6), np.full(2, 1e-6)]
+    marks = np.zeros(len(bag), np.int64), np.zeros(1 << BITS, np.int64)
     for _ in range(max(epochs, -(-LEAST_BATCHES * batch // rows))):
         shuffled = rng.permutation(rows)
         for at in range(0, rows, batch):
             docs = shuffled[at:at + batch]
             count = begin[docs + 1] - begin[docs]
-            kinds, doc = kind[ragged.ranges(begin[docs], count)], np.repeat(
-                np.arange(len(docs)), count)
-            weight = 1.0 / (count + NEUTRAL)[doc]
-            features = number[ragged.ranges(head[kinds], bag[kinds])]
-            doc = np.repeat(doc, bag[kinds])
-            weight = np.repeat(weight / bag[kinds], bag[kinds])
-            hidden = subwords.sums(doc, model.vectors[features] * weight[:, None], len(docs))
+            own = np.repeat(np.arange(len(docs)), count)
+            weight = (1.0 / (count + NEUTRAL))[own]
+            kinds, word = _places(kind[ragged.ranges(begin[docs], count)], marks[0])
+            size = bag[kinds]
+            used, feature = _places(number[ragged.ranges(head[kinds], size)], marks[1])
+            owner, table = np.repeat(np.arange(len(kinds)), size), model.vectors[used]
+            words = subwords.sums(owner, table[feature], len(kinds)) / size[:, None]
+            hidden = subwords.sums(own, words[word] * weight[:, None], len(docs))
             z = hidden @ model.weights + model.bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             error = (np.stack([1 - y[docs], y[docs]], axis=1) - p) / len(docs)
-            back = (error @ model.weights.T)[doc] * weight[:, None]
-            seen = np.bincount(features, minlength=1 << BITS) > 0
-            steps = [subwords.sums(features, back, 1 << BITS)
-                     - DECAY * model.vectors * seen[:, None], hidden.T @ error,
-                     error.sum(axis=0)]
-            for value, step, total in zip(
-                    (model.vectors, model.weights, model.bias), steps, speed, strict=True):
+            back = subwords.sums(word, (error @ model.weights.T)[own] * weight[:, None],
+                                 len(kinds)) / size[:, None]
+            step = subwords.sums(feature, back[owner], len(used)) - DECAY * table
+            speed[0][used] += step * step
+            model.vectors[used] += (rate * step / np.sqrt(speed[0][used])).astype(np.float32)
+            for value, step, total in zip((model.weights, model.bias), (
+                    hidden.T @ error, error.sum(axis=0)), speed[1:], strict=True):
                 total += step * step
-                value += (rate * step / np.sqrt(total)).astype(value.dtype)
+                value += rate * step / np.sqrt(total)
     return model
 
 
+def scaling(z: np.ndarray, y: np.ndarray, blank: float, steps: int = 100) -> tuple[float, float]:
+    """Factor and offset of log odds ``z`` by Platt's scaling: logistic regression whose targets
+    are drawn a little towards each other.
+
+    ``blank``, the log odds of a text without words, gets no more than the share of the label 1.
+    A factor is never negative.
+    """
+    ones = y.sum()
+    target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+    x, found = np.stack([z, np.ones(len(z))], axis=1), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ found, -30, 30)))
+        curve = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(curve, x.T @ (target - p))
+        found += step * min(1.0, 2 / np.abs(step).max())
+        if np.abs(step).max() < 1e-8:
+            break
+    base = np.log(target.mean() / (1 - target.mean()))
+    factor = max(0.0, float(found[0]))
+    return factor, float(min(found[1] if factor else base, base - factor * blank))
+
+
+def fit(texts: list[str], labels: list[int], **options) -> Scorer:
+    """Mean of ``PARTS`` models, each trained without one part of the rows and scaled on it.
+
+    Without rows of both labels inside and outside of every part, one model of all rows is left as
+    it is.
+    """
+    y, part = np.asarray(labels, dtype=float), np.arange(len(labels)) % PARTS
+    sides = [y[side] for k in range(PARTS) for side in (part == k, part != k)]
+    if not all(0 < side.sum() < len(side) for side in sides):
+        return train(texts, y, **options).scorer()
+    found = []
+    for k in range(PARTS):
+        model = train([t for t, p in zip(texts, part, strict=True) if p != k], y[part != k],
+                      **options)
+        plain = model.scorer()
+        z = [plain.log_odds(offsets, data) for _, offsets, data in ragged.text_chunks(
+            pa.array([t for t, p in zip(texts, part, strict=True) if p == k], pa.string()))]
+        found.append(model.scorer(*scaling(np.concatenate(z), y[part == k], plain.blank)))
+    return Scorer(np.mean([s.odds for s in found], axis=0),
+                  float(np.mean([s.blank for s in found])))
+
+
 def held_out(key: str, remainder: int = HELD_OUT, folds: int = 4):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")),
                   F.lit(folds)) == remainder
@@ -163,11 +233,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str =
     return [(t, y) for _, y, t in found[:rows]]
 
 
-def with_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
+def with_toxicity(docs: DataFrame, model: Scorer, key: str = "doc_id", text: str = "text",
                   threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with score and predicted as last columns (of their names, the old are replaced).
 
-    NULL, empty and wordless texts get the score of the softmax's bias.  Repeated rows are
+    NULL, empty and wordless texts get at most the share of the label 1.  Repeated rows are
     scored alike; an empty table stays empty.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
@@ -189,7 +259,7 @@ def with_toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str
     return rows.mapInArrow(score, schema)
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+def fitted(docs: DataFrame, labels: DataFrame) -> Scorer:
     rows = sample(docs, labels)
     return fit([t for t, _ in rows], [y for _, y in rows])
 
