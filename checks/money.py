@@ -9,8 +9,10 @@ from checks.registry import query
 from checks.tables import R, results
 from formline.functions import scalars as S
 from formline.operators import evaluate, joins, policy, profile, tickets
-from formline.plans import daily
+from formline.plans import bundle, daily, training
 from formline.plans import features as feat
+from formline.plans.state import DayState
+from formline.session import own_folder
 from formline.skew import OrderedRows
 
 PRED = (*KEY, "pred_prob", "odds", "rank")
@@ -337,7 +339,7 @@ TODAY = "CAST(date_dt AS DATE) = DATE '2024-01-30'"
  {tier_sql(1).replace('pred_prob', 'prob')} AS rec, CAST(row_number() OVER (PARTITION BY race_id ORDER BY prob DESC, horse_num) AS INT)
  AS display_order FROM d""", ["prob", "odds", "ev"])
 def daily_scoring(spark, sf):
-    """The whole daily pipeline: union with the past, features, the day's slice, table."""
+    """The whole daily pipeline: state after the past, the day's features from it, table."""
     df = results(spark, sf).drop("event_id", "day", "period", "pred_prob", "pred_b")
     day = F.col("date_dt").cast("date") == F.lit("2024-01-30").cast("date")
     entries = df.where(day).drop("rank", "prize", "agari_3f", "passing_order", "time", "margin")
@@ -346,12 +348,46 @@ def daily_scoring(spark, sf):
         return wide.withColumn("pred_prob", 1 / (1.0 + F.col("prev_rank")))
 
     # The means of the rates play no role for this score.
-    scored = daily.score_day(df.where(~day), entries, "2024-01-30", score, means={})
+    before = DayState.of(df.where(F.col("date_dt").cast("date") < F.lit("2024-01-30")))
+    scored = daily.score_day(before, entries, "2024-01-30", score, means={})
     return daily.recommendations(scored).select(
         "race_id", F.col("horse_num").cast("int").alias("horse_num"), "prob", "odds", "ev",
         "rec", "display_order")
 
 
+# A saved model on a saved state scores the day as the model in memory does over the whole past.
+@query("daily_state_scores", f"""WITH {R} SELECT count(*) AS n, CAST(0 AS BIGINT) AS different,
+ CAST(0 AS BIGINT) AS outside, true AS varied FROM r
+ WHERE {TODAY} AND substr(race_id, 5, 2) <= '10'""")
+def daily_state_scores(spark, sf):
+    df = results(spark, sf).drop("event_id", "day", "pred_prob", "pred_b")
+    date = F.col("date_dt").cast("date")
+    past = df.where(date < F.lit("2024-01-30"))
+    entries = df.where(date == F.lit("2024-01-30")).drop(
+        "rank", "prize", "agari_3f", "passing_order", "time", "margin")
+    wide = feat.build_features(past)
+    # Every feature is compared in the tests; the model reads some of each family.
+    known = feat.model_columns(wide, ["period"])
+    rows, target, classes = training.fitted_encoders(wide.select(*dict.fromkeys([
+        *KEY, "target", "jockey_id", "trainer_id", "weather", *known[::12]])), "target")
+    model = training.fit_calibrated(rows, feat.model_columns(rows), "target", maxIter=3,
+                                    maxDepth=3, folds=2)
+    final = bundle.ScoringBundle(model, target, classes, feat.rate_means(wide))
+    folder = own_folder(spark, "daily")
+    final.save(spark, f"{folder}/bundle")
+    DayState.of(past).save(spark, f"{folder}/state")
+    one = daily.score_day(past, entries, "2024-01-30", final, only_relevant=False)
+    two = daily.score_day(DayState.load(spark, f"{folder}/state"), entries, "2024-01-30",
+                          bundle.ScoringBundle.load(spark, f"{folder}/bundle"))
+    p, q = F.col("p"), F.col("q")
+    return one.select(*KEY, F.col("pred_prob").alias("p")).join(
+        two.select(*KEY, F.col("pred_prob").alias("q")), list(KEY), "full").agg(
+        F.count("*").alias("n"),
+        F.count_if(~(F.abs(p - q) < 1e-9) | p.isNull() | q.isNull()).alias("different"),
+        F.count_if(~q.between(0, 1)).alias("outside"),
+        (F.count_distinct("q") > 1).alias("varied"))
+
+
 # Fills and rates of the day are the same from the narrowed past as from the whole past.
 @query("daily_fills", f"""WITH {R} SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM r
  WHERE {TODAY} AND substr(race_id, 5, 2) <= '10'""")

@@ -124,16 +124,34 @@ def suitability_conditions(columns: Sequence[str]) -> dict[str, Column]:
     return out
 
 
+def suitability_terms(conditions: dict[str, Column], value: str = "rank") -> dict[str, Column]:
+    """What each row adds to the sum (``_s_``) and the count (``_n_``) of each context."""
+    return {f"_s_{n}": F.when(c, F.col(value)).cast("double") for n, c in conditions.items()} | {
+        f"_n_{n}": F.when(c & F.col(value).isNotNull(), 1) for n, c in conditions.items()}
+
+
 def with_suitability(o: OrderedRows, conditions: dict[str, Column] | None = None,
-                     value: str = "rank", df: DataFrame | None = None) -> DataFrame:
-    """``avg_rank_{context}``: mean of all earlier values in the context, 99 without."""
+                     value: str = "rank", df: DataFrame | None = None,
+                     before: DataFrame | None = None) -> DataFrame:
+    """``avg_rank_{context}``: mean of all earlier values in the context, 99 without.
+
+    ``before`` has, per entrant, the totals of ``suitability_terms`` over rows that came before all
+    of these and are not among them.
+    """
     df = o.rows if df is None else df
-    conditions = conditions or suitability_conditions(df.columns)
-    sums = {f"_s_{n}": F.when(c, F.col(value)).cast("double") for n, c in conditions.items()}
-    counts = {f"_n_{n}": F.when(c & F.col(value).isNotNull(), 1)
-              for n, c in conditions.items()}
-    return o.running(sums | counts, df).select(*df.columns, *[
-        F.coalesce(F.col(f"_s_{n}") / F.col(f"_n_{n}"), F.lit(float(NO_RANK)))
+    kept = df.columns
+    conditions = conditions or suitability_conditions(kept)
+    terms = suitability_terms(conditions, value)
+    rows = o.running(terms, df)
+    total = {t: F.col(t) for t in terms}
+    if before is not None:
+        rows = rows.join(before.select(*[F.col(k).alias(f"_k_{k}") for k in o.keys],
+                                       *[F.col(t).alias(f"_b{t}") for t in terms]),
+                         [F.col(k) == F.col(f"_k_{k}") for k in o.keys], "left")
+        total = {t: F.coalesce(F.col(t), F.lit(0)) + F.coalesce(F.col(f"_b{t}"), F.lit(0))
+                 for t in terms}
+    return rows.select(*kept, *[
+        F.coalesce(F.try_divide(total[f"_s_{n}"], total[f"_n_{n}"]), F.lit(float(NO_RANK)))
         .alias(f"avg_{value}_{n}") for n in conditions])
 
 
@@ -191,8 +209,11 @@ def position_columns(order: str = "passing_order") -> dict[str, Column]:
 
 def with_history(df: DataFrame, *, agent: str | None = "jockey_id", date: str = DATE,
                  entrant: str = ENTRANT, tiebreak: Sequence[str] = TIEBREAK,
-                 **skew) -> DataFrame:
-    """All entrant history columns.  One shuffle by entrant serves every window."""
+                 before: DataFrame | None = None, **skew) -> DataFrame:
+    """All entrant history columns.  One shuffle by entrant serves every window.
+
+    ``before``: totals of older rows that are not here, as in ``with_suitability``.
+    """
     if "passing_order" in df.columns:
         df = df.withColumns(position_columns())
     o = entrant_rows(df, entrant, date, tiebreak, **skew)
@@ -205,7 +226,7 @@ def with_history(df: DataFrame, *, agent: str | None = "jockey_id", date: str =
         new |= category_rates(o)
     wide = o.rows.select("*", *[c.alias(n) for n, c in new.items()])
     wide = wide.withColumn("rank_momentum_5", F.col("rank_5_mean") - F.col("prev_rank"))
-    return o.finish(with_suitability(o, df=wide))
+    return o.finish(with_suitability(o, df=wide, before=before))
 
 
 def vendor_history(df: DataFrame, entrant: str = "horse_id_jv", date: str = "date_jv",

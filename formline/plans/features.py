@@ -167,8 +167,7 @@ def build_features(results: DataFrame, horses: DataFrame | None = None,
     def step(df, label):
         return park(df, label) if park_between else df
 
-    df = results if "sire_id" in results.columns else joins.with_dimension(results, horses)
-    df = with_unknown_filled(with_basic_columns(df))
+    df = prepared_rows(results, horses)
     df = agents.with_all_agent_rates(df, **skew)
     df = history.with_history(df, **skew)
     if vendor is not None:
@@ -180,6 +179,12 @@ def build_features(results: DataFrame, horses: DataFrame | None = None,
     return filled(step(contest.with_contest_columns(df, **skew), "features"), means)
 
 
+def prepared_rows(results: DataFrame, horses: DataFrame | None = None) -> DataFrame:
+    """Rows with dimension, derived columns and unknowns filled: what the windows read."""
+    df = results if "sire_id" in results.columns else joins.with_dimension(results, horses)
+    return with_unknown_filled(with_basic_columns(df))
+
+
 BASELINE_ZSCORES = {"horse_weight": "weight_zscore", "age": "age_zscore", "odds": "odds_zscore",
                     "ewma_prize_5": "ewma_prize_zscore"}
 
