@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -13,11 +14,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formline.operators import encoders, evaluate
 from formline.plans import features as feat
 from formline.session import park
-from formline.skew import global_running
 
 FOLDS = 5
 RAW = "_raw"
@@ -28,24 +29,34 @@ def row_fold(*key: str, folds: int = FOLDS) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(folds)).cast("int")
 
 
-def stratified_split(df: DataFrame, label: str, key: Sequence[str], share: float = 0.8
-                     ) -> DataFrame:
+def stratified_split(df: DataFrame, label: str, key: Sequence[str], share: float = 0.8,
+                     piece_rows: int = 250_000) -> DataFrame:
     """``is_train`` for ``share`` of the rows of every label, rounded, in the order of a hash.
 
-    Rows are numbered by ranges of (label, hash, key), so no label is sorted in one task.
+    The hash is of the key and all other columns that can be hashed, so rows that share a key, or
+    have none, are told apart; equal rows are as good as each other.  Each label's rows are
+    numbered within ranges of the hash, of about ``piece_rows`` rows, and the ranges by their
+    counts.  Every row is marked where it is: repeated and NULL keys are never joined.
+    NULL labels count as empty ones.
     """
-    label_text = F.coalesce(F.col(label).cast("string"), F.lit(""))
-    narrow = df.select(*key, label_text.alias("_label"),
-                       F.xxhash64(label_text, *key).alias("_place"))
-    ranked = global_running(narrow, ["_label", "_place", *key], {"_before": F.lit(1)})
-    sizes = narrow.groupBy("_label").agg(F.count("*").alias("_n"))
-    starts = ranked.groupBy("_label").agg(F.min("_before").alias("_first"))
-    marked = ranked.join(sizes, "_label").join(starts, "_label").select(
-        *[F.col(k).alias(f"_k_{k}") for k in key],
-        (F.col("_before") - F.col("_first") < F.round(F.col("_n") * share)).alias("is_train"))
-    # Rows of one key share a place; a key names one row.
-    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key]
-    return df.join(marked, match, "left").drop(*[f"_k_{k}" for k in key])
+    hashed = [c for c, kind in ((f.name, f.dataType) for f in df.schema)
+              if c not in key and not isinstance(kind, T.MapType)]
+    text = F.coalesce(F.col(label).cast("string"), F.lit(""))
+    pieces = max(1, math.ceil(df.count() / piece_rows))
+    place = F.xxhash64(text, *key, *hashed)
+    piece = F.least(F.floor((place / F.lit(2.0**64) + 0.5) * pieces), F.lit(pieces - 1))
+    rows = df.select("*", text.alias("_label"), place.alias("_place"),
+                     piece.cast("long").alias("_piece"))
+    label_rows = Window.partitionBy("_label")
+    earlier = label_rows.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    # A row per label and range.
+    starts = rows.groupBy("_label", "_piece").agg(F.count("*").alias("_m")).select(
+        "_label", "_piece", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_start"),
+        F.sum("_m").over(label_rows).alias("_n"))
+    inside = Window.partitionBy("_label", "_piece").orderBy("_place")
+    numbered = rows.withColumn("_rn", F.row_number().over(inside) - 1)
+    return numbered.join(starts, ["_label", "_piece"]).select(*df.columns, (
+        F.col("_start") + F.col("_rn") < F.round(F.col("_n") * share)).alias("is_train"))
 
 
 def time_folds(df: DataFrame, date: str = "date_dt", folds: int = FOLDS) -> DataFrame:

@@ -97,6 +97,30 @@ def test_stratified_split_is_exact(spark):
     assert got == {True: (143, 114), False: (857, 686)}
 
 
+def test_stratified_split_of_repeated_and_missing_keys(spark):
+    rows = [(1, 0, "a"), (1, 0, "b"), (None, 0, "a"), (None, 1, "b"), (None, 1, "b"),
+            (2, None, "x")] * 50
+    df = spark.createDataFrame(rows, "k int, y int, is_other string")
+    for piece_rows in (250_000, 20):
+        found = training.stratified_split(df, "y", ["k"], piece_rows=piece_rows)
+        assert found.columns == ["k", "y", "is_other", "is_train"] and found.count() == len(rows)
+        got = {r.y: (r.n, r.t) for r in found.groupBy("y").agg(
+            F.count("*").alias("n"), F.count_if("is_train").alias("t")).collect()}
+        assert got == {0: (150, 120), 1: (100, 80), None: (50, 40)}
+    none = training.stratified_split(df.limit(0), "y", ["k"])
+    assert none.count() == 0
+
+
+def test_stratified_split_spreads_the_rows_of_a_label(spark):
+    df = spark.range(4000).select(F.lit("p" * 100).alias("prefix"), "id", F.lit(1).alias("y"))
+    found = training.stratified_split(df, "y", ["prefix", "id"], piece_rows=250)
+    assert found.where("is_train").count() == 3200
+    # The split is the same whatever the order and the partitions of the rows.
+    again = training.stratified_split(df.orderBy(F.desc("id")).repartition(3), "y",
+                                      ["prefix", "id"], piece_rows=900)
+    assert found.exceptAll(again).count() == 0
+
+
 def test_decayed_means_use_rows_of_any_age(spark):
     """A huge value 400 rows back still moves the mean; with its weight cut it would not."""
     values = [1e80, *[None] * 400, 1.0, 2.0, None, 5.0]
