@@ -183,7 +183,7 @@ def scaling(z: np.ndarray, y: np.ndarray, blank: float, steps: int = 100) -> tup
         found += step * min(1.0, 2 / np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break
-    base = np.log(target.mean() / (1 - target.mean()))
+    base = np.log(ones / (len(y) - ones))
     factor = max(0.0, float(found[0]))
     return factor, float(min(found[1] if factor else base, base - factor * blank))
 
