@@ -52,6 +52,30 @@ def test_own_label_never_changes_own_encoding(spark):
     assert one == two
 
 
+@pytest.mark.parametrize("limits", [{"room": 0}, {"room": 0, "heavy_rows": 20}, {"room": 6}])
+def test_long_lookup_equals_broadcasts(spark, limits):
+    """All columns in long format, heavy keys apart, and a mix; repeated rows stay."""
+    rng = random.Random(9)
+    data = [(i // 2, rng.choice(["hot", "hot", "b", f"r{i}", None]), rng.choice("xyz"), None,
+             rng.choice([0, 1, 2, 3, 4, None]), int(rng.random() < .4)) for i in range(200)]
+    df = spark.createDataFrame(
+        data, "i int, k string, l string, empty string, fold int, target int")
+    keys = ["k", "l", "empty"]
+    rows = df.select("i", "fold", *keys)
+
+    def exact(got):
+        return sorted(map(str, got.collect()))
+
+    encoder, labels = encoders.fit_target_encoder(df, keys), encoders.fit_label_encoder(df, keys)
+    assert exact(encoder.transform(rows, **limits)) == exact(encoder.transform(rows))
+    assert exact(labels.transform(rows, **limits)) == exact(labels.transform(rows))
+    assert labels.transform(rows, **limits).columns == rows.columns
+    assert exact(encoders.with_out_of_fold_encoding(df, keys, **limits)) == \
+        exact(encoders.with_out_of_fold_encoding(df, keys))
+    none = rows.where("i < 0")
+    assert encoder.transform(none, **limits).count() == 0
+
+
 def test_label_codes_are_ranks(spark):
     texts = ["芝", "ダ", "a", "ab", "abc", "", None, "b"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, c string")
