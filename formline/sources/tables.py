@@ -6,10 +6,11 @@ import csv
 import json
 import sys
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from formline.functions import scalars as S
 from formline.operators.history import vendor_history
 
 JAVA_CHARSETS = "spark.sql.legacy.javaCharsets"
-HEADERS_AT_ONCE = 16
+WHOLE_FILES = 1 << 50  # no file is cut, and none shares a task
 
 
 def typed(df: DataFrame, ddl: str) -> DataFrame:
@@ -38,43 +39,48 @@ def typed(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*[cast(f).alias(f.name) for f in wanted if f.name in present])
 
 
-def files_by_header(spark: SparkSession, path: str | Sequence[str]
-                    ) -> dict[bytes, list[str]]:
-    """Raw header line -> files that start with it, in the order of their paths.
-
-    Files are listed by name and size; of each, one small job reads the first line.
-    """
-    paths = path if isinstance(path, str) else list(path)
-    listed = spark.read.format("binaryFile").load(paths).where("length > 0").select(
-        "path").orderBy("path").toLocalIterator()
+def _first_of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.slice(0, 1)
+        return
 
-    groups: dict[bytes, list[str]] = {}
-    files = [r["path"] for r in listed]
-    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
-        for line, file in zip(pool.map(lambda f: _first_line(spark, f), files), files,
-                              strict=True):
-            groups.setdefault(line.rstrip(b"\r"), []).append(file)
-    return groups
 
+def first_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(header, file): the raw first line of every file that has one, found in one job.
 
-def _first_line(spark: SparkSession, file: str) -> bytes:
-    line = spark.read.text(file).select(F.col("value").cast("binary")).first()
-    return bytes(line[0] or b"") if line else b""
+    A task reads one record of one file and stops, however long the file is.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    own = spark.newSession()  # these settings are for this one scan
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        own.conf.set(f"spark.sql.files.{name}", WHOLE_FILES)
+    lines = own.read.text(path if isinstance(path, str) else list(path)).select(
+        F.col("value").cast("binary").alias("header"), F.col("_metadata.file_path").alias("file"))
+    return lines.mapInArrow(_first_of_partition, "header binary, file string")
 
 
 def _same_header(spark: SparkSession, path: str | Sequence[str]
-                 ) -> Iterator[tuple[str | list[str], DataFrameReader]]:
-    """Files that share a header, with a reader that still sees the folders' partition columns."""
-    groups = files_by_header(spark, path)
-    if not groups:
+                 ) -> Iterator[tuple[bytes, str | list[str], DataFrameReader]]:
+    """Each header, its files, and a reader that still sees the folders' partition columns.
+
+    If all files share a header, the driver holds that line alone; else the paths, as Spark's
+    own file listing does.
+    """
+    first = first_lines(spark, path)
+    headers = first.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").collect()
+    if not headers:
         raise ValueError(f"no data in {path}")
     plain = path if isinstance(path, str) else list(path)
-    if len(groups) == 1 and isinstance(plain, str):
-        yield plain, spark.read
+    if len(headers) == 1 and isinstance(plain, str):
+        yield bytes(headers[0]["header"]), plain, spark.read
         return
-    for files in groups.values():
+    files: dict[bytes, list[str]] = {bytes(r["header"]): [] for r in headers}
+    for r in first.orderBy("file").toLocalIterator():
+        files[bytes(r["header"])].append(unquote(r["file"]))
+    for header, own in files.items():
         whole = isinstance(plain, str) and not set("*?[{") & set(plain)
-        yield files, spark.read.option("basePath", plain) if whole else spark.read
+        yield header, own, spark.read.option("basePath", plain) if whole else spark.read
 
 
 def _stacked(tables: list[DataFrame]) -> DataFrame:
@@ -90,7 +96,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], ddl: str | None = N
     typed as declared; nothing is inferred, and only the selected columns are parsed.
     """
     tables = []
-    for files, reader in _same_header(spark, path):
+    for _, files, reader in _same_header(spark, path):
         df = reader.option("header", True).csv(files)
         tables.append(typed(df, ddl) if ddl else df)
     df = _stacked(tables)
@@ -131,12 +137,11 @@ def read_legacy_csv(spark: SparkSession, path: str | Sequence[str],
     files still split into many tasks) and decoded in Arrow batches.
     """
     tables = []
-    for files, reader in _same_header(spark, path):
+    for header, files, reader in _same_header(spark, path):
         if spark.conf.get(JAVA_CHARSETS, "false") == "true":
             df = reader.option("header", True).option("encoding", "windows-31j").csv(files)
         else:
-            one = files[0] if isinstance(files, list) else files
-            head = _decoded(_first_line(spark, one))
+            head = _decoded(header)
             # The text reader hands on the bytes of a line unchanged.
             lines = reader.text(files).select(
                 legacy_text(F.col("value").cast("binary")).alias("line"))

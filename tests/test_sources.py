@@ -78,6 +78,20 @@ def test_legacy_files(spark, tmp_path):
     assert sorted(r[0] for r in df.where("PCI IS NOT NULL").select("PCI").collect()) == [45.5, 50]
 
 
+def test_first_lines_of_many_files(spark, tmp_path):
+    """One line a file, also of long files, odd names and both line ends; empty ones have none."""
+    names = ["a b%20.csv", "c+d.csv", "long.csv", "名.csv"]
+    for i, name in enumerate(names):
+        (tmp_path / name).write_bytes(
+            b"x,y\r\n1,2\r\n" if i % 2 else b"y,x\n" + b"2,1\n" * (50_000 if i == 2 else 1))
+    (tmp_path / "empty.csv").write_bytes(b"")
+    got = [(bytes(r.header), r.file) for r in tables.first_lines(spark, str(tmp_path)).collect()]
+    assert sorted(h for h, _ in got) == [b"x,y", b"x,y", b"y,x", b"y,x"]
+    assert len({f for _, f in got}) == 4
+    df = tables.read_csv(spark, str(tmp_path), "x int, y int")
+    assert df.where("x = 1 AND y = 2").count() == df.count() == 50_003
+
+
 def test_whole_numbers_written_with_a_point(spark, tmp_path):
     (tmp_path / "a.csv").write_text("race_id,rank,odds,extra\n0123,3.0,1.5,x\n0124,,---,y\n")
     got = tables.read_csv(spark, str(tmp_path / "a.csv"), "race_id string, rank int, odds double")
