@@ -298,6 +298,22 @@ def date_slice(spark, sf):
     return feat.on_date(df, "2024-01-15").select(*KEY)
 
 
+# The numeric columns of the contest table that are known before a contest.
+KNOWN = ("age", "distance", "horse_num", "horse_weight", "weight", "weight_change")
+
+
+@query("model_columns", f"WITH {R} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count({c}) AS n, sum(CAST({c} AS DOUBLE)) AS total FROM r"
+    for c in KNOWN), ["total"])
+def model_columns(spark, sf):
+    """Count and sum of every column a model may learn from."""
+    df = results(spark, sf)
+    names = feat.model_columns(df, ["event_id", "day", "period", "pred_prob", "pred_b"])
+    sums = df.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in names])).alias("p"))
+    return sums.groupBy("p.name").agg(F.count("p.v").alias("n"), F.sum("p.v").alias("total"))
+
+
 @query("build_features", f"""WITH {P} SELECT race_id, horse_num,
  CAST(coalesce(lag(rank) OVER w, 99) AS DOUBLE) AS prev_rank,
  coalesce(avg(CASE WHEN running_style = 'Senko' THEN 1 ELSE 0 END)

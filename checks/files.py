@@ -141,7 +141,8 @@ def card_sink(spark, sf):
                                         " day date")
 
 
-@query("page_files", "SELECT CAST(page_id AS STRING) AS page_id, length(html) AS size FROM pages")
+@query("page_files", "SELECT CAST(page_id AS STRING) AS page_id, length(html) AS size,"
+                     " md5(html) AS digest FROM pages")
 def page_files(spark, sf):
     """One file per page, the id in its folder name, read back whole."""
     path = folder(spark, "pages")
@@ -149,6 +150,38 @@ def page_files(spark, sf):
     pages.withColumnRenamed("html", "value").write.partitionBy("page_id").text(path)
     read = tables.read_pages(spark, f"{path}/*/*.txt", r"page_id=(\d+)/", "page_id")
     # The text writer ends every file with a line end.
-    return read.select("page_id", (F.length("html") - 1).cast("bigint").alias("size"))
+    page = F.expr("substring(html, 1, length(html) - 1)")
+    return read.select("page_id", F.length(page).cast("bigint").alias("size"),
+                       F.md5(page).alias("digest"))
 
 
+@query("page_archive", "SELECT CAST(page_id AS STRING) AS page_id, length(html) AS size,"
+                       " md5(html) AS digest FROM pages")
+def page_archive(spark, sf):
+    """Many pages per file, one record each."""
+    path = folder(spark, "archive")
+    tables.write_page_archive(spark.read.parquet(f"{sf}/pages.parquet"), path, "page_id")
+    return tables.read_page_archive(spark, path, "page_id").select(
+        "page_id", F.length("html").cast("bigint").alias("size"), F.md5("html").alias("digest"))
+
+
+WANTED = ("odds", "not_there", "race_id", "horse_num")
+
+
+@query("existing_columns", f"WITH {R} SELECT odds, race_id, horse_num FROM r")
+def existing_columns(spark, sf):
+    """Of the wanted columns those the table has, in the wanted order."""
+    df = results(spark, sf)
+    return df.select(*schemas.existing(df, WANTED))
+
+
+@query("missing_columns", f"""WITH {R} SELECT c AS missing, year, rows FROM
+ (SELECT substr(race_id, 1, 4) AS year, count(*) AS rows FROM r GROUP BY 1),
+ (SELECT unnest(['pred_prob', 'rank']) AS c)""")
+def missing_columns(spark, sf):
+    """Rows a year of a predictions table that lacks two required columns, per column."""
+    df = results(spark, sf, *[c for c in schemas.REQUIRED_PREDICTIONS
+                              if c not in ("rank", "pred_prob")])
+    lacking = schemas.missing_columns(df, schemas.REQUIRED_PREDICTIONS)
+    years = df.groupBy(F.substring("race_id", 1, 4).alias("year")).agg(F.count("*").alias("rows"))
+    return years.select(F.explode(F.array(*map(F.lit, lacking))).alias("missing"), "year", "rows")

@@ -21,6 +21,7 @@ from formline.functions import scalars as S
 from formline.operators.history import vendor_history
 
 JAVA_CHARSETS = "spark.sql.legacy.javaCharsets"
+PAGES_PER_FILE = 10_000
 WHOLE_FILES = 1 << 50  # no file is cut, and none shares a task
 
 
@@ -187,6 +188,26 @@ def read_pages(spark: SparkSession, path: str | Sequence[str],
                         F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
+def write_page_archive(pages: DataFrame, path: str, key: str = "race_id",
+                       content: str = "html", pages_per_file: int = PAGES_PER_FILE) -> None:
+    """Many pages per file, one record each: the id and the bytes as they are.
+
+    ``pages`` may come from ``read_pages`` or be any table with the two columns; files are
+    written by the tasks that hold the pages, without a shuffle.
+    """
+    pages.select(F.col(key).cast("string").alias(key),
+                 F.col(content).cast("binary").alias("content")).write.option(
+        "maxRecordsPerFile", pages_per_file).parquet(path)
+
+
+def read_page_archive(spark: SparkSession, path: str | Sequence[str],
+                      key: str = "race_id") -> DataFrame:
+    """(id, html) of archived pages, as ``read_pages`` gives them; a page without bytes is NULL."""
+    paths = [path] if isinstance(path, str) else list(path)
+    archived = spark.read.schema(f"`{key}` string, content binary").parquet(*paths)
+    return archived.select(key, F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return schemas.require_columns(spark.read.parquet(path), schemas.REQUIRED_PREDICTIONS)
 

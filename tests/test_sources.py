@@ -106,6 +106,23 @@ def test_page_files_keep_bad_bytes(spark, tmp_path):
     assert got["202302"] == "<p>芝</p>" and got["202301"].endswith(" ok</p>")
 
 
+def test_page_archive_gives_what_the_files_give(spark, tmp_path):
+    (tmp_path / "race_202301.html").write_bytes(b"<p>\xff ok</p>")
+    (tmp_path / "race_202302.html").write_text("")
+    pages = spark.createDataFrame([("a", b"<p>\xff</p>", 1), (None, b"", 2), ("b", None, 3),
+                                   ("a", b"<p>\xff</p>", 1)], "race_id string, html binary, x int")
+    tables.write_page_archive(pages.coalesce(1), str(tmp_path / "one"), pages_per_file=3)
+    assert len(list((tmp_path / "one").glob("*.parquet"))) == 2
+    got = sorted(map(str, tables.read_page_archive(spark, str(tmp_path / "one")).collect()))
+    assert len(got) == 4 and len(set(got)) == 3
+    files = tables.read_pages(spark, f"{tmp_path}/race_*.html")
+    tables.write_page_archive(files, str(tmp_path / "two"))
+    back = tables.read_page_archive(spark, str(tmp_path / "two"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, files.collect()))
+    tables.write_page_archive(pages.where("x > 9"), str(tmp_path / "none"))
+    assert tables.read_page_archive(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_settings(spark, tmp_path):
     tables.write_settings(spark, str(tmp_path / "s"), {"weight": 0.4, "名": ["a"]})
     assert tables.read_settings(spark, str(tmp_path / "s")) == {"weight": 0.4, "名": ["a"]}
