@@ -22,7 +22,9 @@ from formline.llm import chain, ragged, subwords
 from formline.llm.registry import query, table
 from formline.llm.samples import hash_limit
 
-SAMPLE, SAMPLE_BYTES, LANGUAGES = 250, 30_000, 100
+SAMPLE, SAMPLE_BYTES = 250, 30_000
+#: Beyond ``SAMPLE_ALL / SAMPLE`` languages each gets fewer rows, but at least ``SAMPLE_LEAST``.
+SAMPLE_ALL, SAMPLE_LEAST = 25_000, 20
 BITS, AFFIXES, GRAMS = 16, (1, 2, 3), (2, 3)
 STEPS, RATE, SHRINK = 25, 0.1, 1e-2
 #: Rows with this remainder of crc32(key as text) by 3 are never learnt from.
@@ -105,8 +107,8 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", language: s
            rows: int = SAMPLE) -> list[tuple[str, str]]:
     """(text, language) of about ``rows`` and at most twice as many rows of each language.
 
-    Every language is thinned by its own share of hashes; the ``LANGUAGES`` most frequent ones
-    are learnt.
+    Every language is learnt, however rare, and is thinned by its own share of hashes.  The rows
+    a language fall with the number of languages (``SAMPLE_ALL``); the weights grow with it.
     """
     usable = docs.where(
         F.col(f"`{text}`").isNotNull() & F.col(f"`{language}`").isNotNull()
@@ -114,15 +116,15 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", language: s
         & (F.octet_length(F.col(f"`{text}`")) <= SAMPLE_BYTES)).select(
         F.xxhash64(F.col(f"`{key}`"), F.lit("language")).alias("h"),
         F.col(f"`{language}`").alias("y"), F.col(f"`{text}`").alias("t"))
-    counts = usable.groupBy("y").agg(F.count("*").alias("n")).orderBy(
-        F.col("n").desc(), "y").limit(LANGUAGES).collect()
+    counts = usable.groupBy("y").agg(F.count("*").alias("n")).collect()  # a row per language
     if not counts:
         return []
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col("y") == r["y"]) & (
-            F.col("h") <= F.lit(hash_limit(rows, r["n"]))))
-    found = sorted((r["h"], r["y"], r["t"]) for r in usable.where(wanted).toLocalIterator())
+    rows = min(rows, max(SAMPLE_LEAST, SAMPLE_ALL // len(counts)))
+    limits = docs.sparkSession.createDataFrame(
+        [(str(r["y"]), hash_limit(rows, r["n"])) for r in counts], "y string, least bigint")
+    wanted = usable.withColumn("y", F.col("y").cast("string")).join(
+        F.broadcast(limits), "y").where("h <= least").select("h", "y", "t")
+    found = sorted((r["h"], r["y"], r["t"]) for r in wanted.toLocalIterator())
     taken: dict[str, int] = {}
     out = []
     for _, y, t in found:

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -252,3 +253,16 @@ def test_sample_sizes(documents, spark, rows):
     got = toxicity.sample(docs, labels, rows=rows)
     learnt = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(400))
     assert len(got) <= min(rows, learnt) and (rows < 400 or len(got) == learnt)
+
+
+def test_every_language_is_learnt(documents, monkeypatch):
+    """130 languages, all rows; beyond the bound each gives fewer rows."""
+    rows = [(i, f"text {i}", f"l{i % 130}") for i in range(900)]
+    free = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != language.HELD_OUT]
+    got = language.sample(documents(rows), rows=1000)
+    assert sorted(got) == sorted((t, y) for _, t, y in free)
+    monkeypatch.setattr(language, "SAMPLE_ALL", 130)
+    monkeypatch.setattr(language, "SAMPLE_LEAST", 2)
+    thinned = language.sample(documents(rows))
+    assert len(thinned) < len(free) and set(thinned) <= set(got)
+    assert max(Counter(y for _, y in thinned).values()) <= 4
