@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions import scalars as S
+from formline.skew import bounded, hot_keys
 
 PEDIGREE = ("horse_id", "sire_name", "sire_id", "dam_name", "dam_id", "bms_name", "bms_id",
             "owner_name", "owner_id", "breeder_name", "breeder_id", "production_area")
 
 SAME_NAME = "_jv_dup"  # fixed value: suffix of joined columns whose name is taken
+GROUP_ROWS = 2000  # right rows of a key that may meet in one array
 
 
 def place_of(order: Sequence[str]) -> Column:
@@ -68,19 +70,74 @@ def with_exact_match(df: DataFrame, other: DataFrame, pairs: dict[str, str],
 
 
 def with_two_tier_match(df: DataFrame, other: DataFrame, exact: dict[str, str],
-                        coarse: dict[str, str], values: Sequence[str],
-                        order: Sequence[str]) -> DataFrame:
+                        coarse: dict[str, str], values: Sequence[str], order: Sequence[str],
+                        group_rows: int = GROUP_ROWS) -> DataFrame:
     """Exact match first; rows without one fall back to the coarse keys.
 
     ``match_tier`` tells how: exact, coarse or none.  Neither tier can multiply rows.
+
+    Both sides move once, by the key pairs that the two tiers share: the right rows of such a key
+    are one array, in which each left row looks up its exact and its coarse match.  Keys
+    with more than ``group_rows`` right rows are counted first; they, and tiers without a
+    shared pair, take a join per tier.  Rows with a NULL key match nothing.
     """
+    shared = {a: b for a, b in exact.items() if coarse.get(a) == b}
+    if not shared:
+        return _tier_by_tier(df, other, exact, coarse, values, order)
+    rights = list(shared.values())
+    hot = hot_keys(other, rights, group_rows)
+    if hot is None:
+        return _tiers_at_once(df, other, shared, exact, coarse, values, order)
+    names = bounded(hot.select(*[F.col(b).alias(f"_h_{b}") for b in rights]), hot.count())
+
+    def at(keys):
+        return S.all_of(*[F.col(k) == F.col(f"_h_{b}") for k, b in zip(keys, rights, strict=True)])
+
+    large = _tier_by_tier(df.join(names, at(shared), "left_semi"),
+                          other.join(names, at(rights), "left_semi"), exact, coarse, values, order)
+    return _tiers_at_once(df.join(names, at(shared), "left_anti"),
+                          other.join(names, at(rights), "left_anti"), shared, exact, coarse,
+                          values, order).unionByName(large)
+
+
+def _tiers_at_once(df, other, shared, exact, coarse, values, order) -> DataFrame:
+    own = {tier: {a: b for a, b in keys.items() if a not in shared}
+           for tier, keys in (("exact", exact), ("coarse", coarse))}
+    rows, rights = "_tier_rows", list(shared.values())
+    entry = F.struct(*[F.struct(*[F.col(b).alias(f"k{i}") for i, b in enumerate(keys.values())],
+                                F.lit(True).alias("known")).alias(tier)
+                       for tier, keys in own.items()],
+                     place_of(order).alias("place"), F.struct(*values).alias("row"))
+    grouped = other.where(S.all_of(*[F.col(b).isNotNull() for b in rights])).groupBy(
+        *[F.col(b).alias(f"_k_{b}") for b in rights]).agg(F.collect_list(entry).alias(rows))
+    joined = df.join(grouped, S.all_of(*[F.col(a) == F.col(f"_k_{b}")
+                                         for a, b in shared.items()]), "left")
+
+    def first(tier):
+        """The row of the first place among those that match the tier's own keys."""
+        def fits(x):
+            return S.all_of(x[tier]["known"], *[x[tier][f"k{i}"] == F.col(a)
+                                                for i, a in enumerate(own[tier])])
+        found = F.filter(rows, fits)
+        best = F.array_min(F.transform(found, lambda x, i: F.struct(
+            x["place"].alias("place"), i.alias("i"))))
+        return F.try_element_at(found, best["i"] + 1)["row"]
+
+    return _best_tier(joined.select(*df.columns, first("exact").alias("_exact"),
+                                    first("coarse").alias("_coarse")), df, values)
+
+
+def _tier_by_tier(df, other, exact, coarse, values, order) -> DataFrame:
     packed = F.struct(*values)
-    hit, near = "_exact", "_coarse"
-    out = with_exact_match(df, other.withColumn(hit, packed), exact, [hit], order)
-    out = with_exact_match(out, other.withColumn(near, packed), coarse, [near], order)
-    best = F.coalesce(hit, near)
-    tier = (F.when(F.col(hit).isNotNull(), "exact")
-            .when(F.col(near).isNotNull(), "coarse").otherwise("none"))
+    out = with_exact_match(df, other.withColumn("_exact", packed), exact, ["_exact"], order)
+    out = with_exact_match(out, other.withColumn("_coarse", packed), coarse, ["_coarse"], order)
+    return _best_tier(out, df, values)
+
+
+def _best_tier(out: DataFrame, df: DataFrame, values: Sequence[str]) -> DataFrame:
+    best = F.coalesce("_exact", "_coarse")
+    tier = (F.when(F.col("_exact").isNotNull(), "exact")
+            .when(F.col("_coarse").isNotNull(), "coarse").otherwise("none"))
     taken = set(df.columns)
     return out.select(*df.columns, *[best[v].alias(v + SAME_NAME if v in taken else v)
                                      for v in values], tier.alias("match_tier"))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,9 +20,11 @@ from pyspark.sql import types as T
 from formline.operators import encoders, evaluate
 from formline.plans import features as feat
 from formline.session import park
+from formline.skew import pieces
 
 FOLDS = 5
 RAW = "_raw"
+BLOCK = ["low", "high", "total", "weight"]
 
 
 def row_fold(*key: str, folds: int = FOLDS) -> Column:
@@ -42,9 +45,9 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], share: float
     hashed = [c for c, kind in ((f.name, f.dataType) for f in df.schema)
               if c not in key and not isinstance(kind, T.MapType)]
     text = F.coalesce(F.col(label).cast("string"), F.lit(""))
-    pieces = max(1, math.ceil(df.count() / piece_rows))
+    ranges = max(1, math.ceil(df.count() / piece_rows))
     place = F.xxhash64(text, *key, *hashed)
-    piece = F.least(F.floor((place / F.lit(2.0**64) + 0.5) * pieces), F.lit(pieces - 1))
+    piece = F.least(F.floor((place / F.lit(2.0**64) + 0.5) * ranges), F.lit(ranges - 1))
     rows = df.select("*", text.alias("_label"), place.alias("_place"),
                      piece.cast("long").alias("_piece"))
     label_rows = Window.partitionBy("_label")
@@ -91,12 +94,64 @@ def raw_score(model: GBTClassificationModel, rows: DataFrame, name: str = RAW) -
         "rawPrediction", "probability", "prediction")
 
 
-def fit_calibration(scored: DataFrame, label: str, score: str = RAW
-                    ) -> IsotonicRegressionModel:
-    """Isotonic fit on rows reduced to one weighted point per distinct score."""
-    points = scored.groupBy(score).agg(F.avg(F.col(label).cast("double")).alias("y"),
-                                       F.count("*").cast("double").alias("w"))
-    return IsotonicRegression(featuresCol=score, labelCol="y", weightCol="w").fit(points)
+def pool_violators(low, high, total, weight) -> list[tuple]:
+    """Blocks (low, high, total, weight) of rising means from blocks in the order of the score."""
+    out: list[tuple] = []
+    for block in zip(low, high, total, weight, strict=True):
+        while out and out[-1][2] * block[3] >= block[2] * out[-1][3]:
+            before = out.pop()
+            block = (before[0], block[1], before[2] + block[2], before[3] + block[3])
+        out.append(block)
+    return out
+
+
+def isotonic_blocks(points: DataFrame, score: str, count: int, fan_in: int = 16) -> DataFrame:
+    """``low``, ``high``, ``total``, ``weight`` of the blocks of equal fit, of points with one row
+    per score and their ``total`` and ``weight``.
+
+    Violators are pooled within ``count`` score ranges, then within ``fan_in`` neighbouring
+    ranges at a time, until one is left.  Pooling blocks of a part first does not change the fit.
+    With labels of 0 and 1, n rows leave no more than some n ** (2/3) blocks, since the blocks
+    have different fractions as their means: that bounds what a later round brings together.
+    """
+    def pooled(rows):
+        rows = rows.sort_values("low")
+        blocks = pool_violators(*(rows[c].to_list() for c in BLOCK))
+        found = pd.DataFrame(blocks, columns=BLOCK)
+        found["_piece"] = rows["_piece"].iloc[0]
+        return found
+
+    s = F.col(score).cast("double")
+    rows = pieces(points.select(s.alias("low"), s.alias("high"), "total", "weight"), ["low"], count)
+    schema = "low double, high double, total double, weight double, _piece long"
+    left = count + 1  # the cuts may make one range more
+    rows = rows.groupBy("_piece").applyInPandas(pooled, schema)
+    while left > 1:
+        left = math.ceil(left / fan_in)
+        rows = rows.withColumn("_piece", F.floor(F.col("_piece") / fan_in)).groupBy(
+            "_piece").applyInPandas(pooled, schema)
+    return rows.select(*BLOCK)
+
+
+def fit_calibration(scored: DataFrame, label: str, score: str = RAW,
+                    piece_points: int = 250_000) -> IsotonicRegressionModel:
+    """Isotonic fit on rows reduced to one weighted point per distinct score.
+
+    More than ``piece_points`` points are pooled range by range in Spark jobs first; only the
+    ends of the blocks that are left reach the fit on the driver.  Rows without score or label
+    are left out.
+    """
+    y = F.col(label).cast("double")
+    points = park(scored.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(score).agg(
+        F.sum(y).alias("total"), F.count("*").cast("double").alias("weight")), "points")
+    count = math.ceil(points.count() / piece_points)
+    if count > 1:
+        blocks = park(isotonic_blocks(points, score, count), "blocks")
+        ends = F.when(F.col("low") < F.col("high"), F.array("low", "high")).otherwise(
+            F.array("low"))
+        points = blocks.select(F.explode(ends).alias(score), "total", "weight")
+    return IsotonicRegression(featuresCol=score, labelCol="y", weightCol="weight").fit(
+        points.select(score, (F.col("total") / F.col("weight")).alias("y"), "weight"))
 
 
 @dataclass

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from formline import schemas
@@ -240,6 +241,62 @@ def test_two_tier_join_never_multiplies(spark):
         (10, "exact"), (10, "coarse"), (None, "none"), (None, "none")]
 
 
+def test_two_tier_join_takes_first_rows_also_of_large_keys(spark):
+    left = spark.createDataFrame(
+        [(i, [None, "a", "b", "c"][i % 4], i % 5 or None, i % 3) for i in range(60)],
+        "i int, id string, day int, year int")
+    right = spark.createDataFrame(
+        [("abd"[i % 3] if i % 7 else None, i % 11 or None, i % 4, None if i % 9 == 1 else i, i)
+         for i in range(40)], "rid string, rday int, ryear int, t int, v int")
+    exact, coarse = {"id": "rid", "day": "rday"}, {"id": "rid", "year": "ryear"}
+    have = [tuple(r) for r in right.collect()]
+
+    def first(**same):
+        fits = [r for r in have if all(x is not None and r[k] == x for k, x in
+                                       zip((0, 1 if "day" in same else 2), same.values(),
+                                           strict=True))]
+        return min(fits, key=lambda r: (r[3] is None, r[3] or 0))[4] if fits else None
+
+    expected = {}
+    for i, key, day, year in map(tuple, left.collect()):
+        one, two = first(id=key, day=day), first(id=key, year=year)
+        expected[i] = (one, "exact") if one is not None else (two, "coarse") \
+            if two is not None else (None, "none")
+    for limit in (1, 10, 100):  # all keys, some keys, no key by a join per tier
+        out = joins.with_two_tier_match(left, right, exact, coarse, ["v"], ["t", "v"], limit)
+        assert {r["i"]: (r["v"], r["match_tier"]) for r in out.collect()} == expected
+        assert out.count() == 60
+
+
+def test_two_tier_join_moves_each_side_once(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(100).selectExpr("id AS k", "id AS d", "id AS y")
+        right = spark.range(100).selectExpr("id AS k2", "id AS d2", "id AS y2", "id AS v")
+        out = joins.with_two_tier_match(left, right, {"k": "k2", "d": "d2"},
+                                        {"k": "k2", "y": "y2"}, ["v"], ["v"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_isotonic_fit_over_ranges_equals_the_plain_fit(spark):
+    rows = [(float((i * 7919) % 3001), int((i * 104729) % 3001 < (i * 7919) % 3001))
+            for i in range(6000)] + [(None, 1), (5.0, None)]
+    known = [r for r in rows if None not in r]
+    falling = [(float(i), int(i < 300)) for i in range(600)]
+    rising = [(float(i), int(i > 300)) for i in range(600)]
+    for sample, given in ((known, rows), (falling, falling), (rising, rising)):
+        df = spark.createDataFrame(given, "_raw double, target int")
+        plain = IsotonicRegression(featuresCol="_raw", labelCol="y").fit(
+            spark.createDataFrame([(x, float(y)) for x, y in sample], "_raw double, y double"))
+        found = training.fit_calibration(df, "target", piece_points=150)
+        assert list(found.boundaries) == list(plain.boundaries)
+        assert list(found.predictions) == pytest.approx(list(plain.predictions))
+
+
 def test_schema_helpers(spark):
     df = spark.createDataFrame([(1, "a", 2.0)], "rank int, horse_id string, age double")
     assert feat.model_columns(df) == ["age"]
