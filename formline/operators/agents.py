@@ -33,8 +33,10 @@ def with_agent_rates(df: DataFrame, agent: str, prefix: str, *, position: str =
 
 
 def with_all_agent_rates(df: DataFrame, agents: dict[str, str] | None = None,
-                         **options) -> DataFrame:
+                         hot: dict[str, DataFrame | None] | None = None, **options) -> DataFrame:
+    """Rates of every agent the table has; ``hot`` holds each agent column's hot keys, if known."""
     for prefix, column in (agents or AGENTS).items():
         if column in df.columns:
-            df = with_agent_rates(df, column, prefix, **options)
+            df = with_agent_rates(df, column, prefix,
+                                  hot="check" if hot is None else hot[column], **options)
     return df

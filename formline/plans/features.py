@@ -12,7 +12,7 @@ from formline.functions import scalars as S
 from formline.operators import agents, contest, history, joins
 from formline.schemas import existing, missing_columns, numeric_columns
 from formline.session import park
-from formline.skew import bounded
+from formline.skew import HOT_ROWS, bounded
 
 # --- fixed values -----------------------------------------------------------------
 OUTCOME_COLUMNS = (
@@ -153,12 +153,14 @@ def filled(df: DataFrame, means: dict[str, float] | None = None) -> DataFrame:
 
 def build_features(results: DataFrame, horses: DataFrame | None = None,
                    vendor: DataFrame | None = None, *, park_between: bool = True,
-                   means: dict[str, float] | None = None, **skew) -> DataFrame:
+                   means: dict[str, float] | None = None, hot_rows: int = HOT_ROWS,
+                   **skew) -> DataFrame:
     """Results to features.
 
     ``means`` are the fills of the rate columns; without them those of this table are taken.
     Rows that are scored later must be filled with the means kept with the model.
 
+    Hot keys of agents, entrants and contests come from one counting pass, a table per key.
     The agents' shuffles come first, while rows are narrow; derived texts come after the last
     shuffle that does not need them; one shuffle by contest serves all contest columns.
     The wide table is parked twice: after the entrant windows (a lost executor does not
@@ -168,15 +170,35 @@ def build_features(results: DataFrame, horses: DataFrame | None = None,
         return park(df, label) if park_between else df
 
     df = prepared_rows(results, horses)
-    df = agents.with_all_agent_rates(df, **skew)
-    df = history.with_history(df, **skew)
+    hot = hot_by_key(df, [*agents.AGENTS.values(), history.ENTRANT, contest.CONTEST], hot_rows)
+    df = agents.with_all_agent_rates(df, hot=hot, **skew)
+    df = history.with_history(df, hot=hot.get(history.ENTRANT), **skew)
     if vendor is not None:
         # Stops at the first readable date of the input.
         dated = "date_dt" in results.columns and results.where(
             F.col("date_dt").isNotNull()).limit(1).count() > 0
         df = with_vendor(df, vendor, by_id_only=not dated)
     df = step(with_interactions(with_ratios(df)), "history")
-    return filled(step(contest.with_contest_columns(df, **skew), "features"), means)
+    df = contest.with_contest_columns(df, hot=hot.get(contest.CONTEST))
+    return filled(step(df, "features"), means)
+
+
+def hot_by_key(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS
+               ) -> dict[str, DataFrame | None]:
+    """Per key column its values with more than ``limit`` rows, as ``skew.hot_keys`` finds them.
+
+    All columns are counted in one pass over grouping sets, each task's rows first.
+    """
+    keys = existing(df, keys)
+    if not keys:
+        return {}
+    counts = df.groupingSets([[F.col(k)] for k in keys], *keys).agg(F.count("*").alias("_n"))
+    # A row has a value in the one key that it counts, or none if that key is NULL.
+    found = park(counts.where((F.col("_n") > limit) & F.coalesce(*[
+        F.when(F.col(k).isNotNull(), True) for k in keys])), "hot-keys")
+    number = found.agg(*[F.count(k).alias(k) for k in keys]).first()
+    return {k: found.where(F.col(k).isNotNull()).select(k, "_n") if number[k] else None
+            for k in keys}
 
 
 def prepared_rows(results: DataFrame, horses: DataFrame | None = None) -> DataFrame:

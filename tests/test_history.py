@@ -6,6 +6,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from checks.tables import results
+from formline import skew
 from formline.operators import agents, contest, history
 from formline.plans import features as feat
 from formline.skew import OrderedRows, global_running, nulls_last, pieces, with_group_stats
@@ -222,3 +224,35 @@ def test_global_running(spark):
         df, ["x", "i"], {"s": F.lit(1)}, piece_rows=50).collect()}
     order = sorted(range(900), key=lambda i: (xs[i], i))
     assert [got[i] for i in order] == list(range(900))
+
+
+def test_hot_keys_of_all_columns_come_from_one_pass(spark, monkeypatch):
+    df = results(spark, "/root/testdata/sf0.001").drop("event_id", "day", "period", "pred_prob",
+                                                       "pred_b")
+    df = df.withColumn("horse_id", F.when(F.col("horse_num") % 3 == 0, "hot").when(
+        F.col("horse_num") % 7 != 0, F.col("horse_id")))
+    found = feat.hot_by_key(df, ["jockey_id", "horse_id", "race_id", "missing"], 60)
+    assert set(found) == {"jockey_id", "horse_id", "race_id"}
+    for key, table in found.items():
+        plain = skew.hot_keys(df, [key], 60)
+        rows = [] if plain is None else sorted(map(tuple, plain.collect()))
+        assert (table is None) == (plain is None)
+        assert rows == ([] if table is None else sorted(map(tuple, table.collect())))
+    assert found["horse_id"] is not None and found["race_id"] is None
+    assert feat.hot_by_key(df.limit(0), ["race_id"], 1) == {"race_id": None}
+
+    columns = ["jockey_win_rate_100", "trainer_show_rate_100", "rank_5_mean", "rank_100_median",
+               "avg_rank_turf", "age_zscore", "race_pace_index", "prev_rank"]
+
+    def rows_of(wide):
+        return {r.horse_num: tuple(r[c] and round(float(r[c]), 9) for c in columns)
+                for r in wide.select("horse_num", *columns).collect()}
+
+    plain = rows_of(feat.build_features(df))
+
+    def counted(*_):
+        raise AssertionError("a key was counted on its own")
+
+    monkeypatch.setattr(skew, "hot_keys", counted)
+    assert rows_of(feat.build_features(df, hot_rows=5, slice_rows=110)) == plain
+    assert rows_of(feat.build_features(df, hot_rows=60, slice_rows=110)) == plain
