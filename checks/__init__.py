@@ -10,5 +10,6 @@ from checks import (  # noqa: F401
     money,
     pages,
     relations,
+    whole,
 )
 from checks.registry import ORACLES, QUERIES  # noqa: F401
