@@ -8,13 +8,19 @@ is tagged as begin of a secret, inside one, or outside, from
 * the file: share of digits, length and number of pattern matches per token, in steps.
 
 The field is trained on what the patterns find in at most ``SAMPLE`` rows (in the order of a hash of
-the key, texts up to ``SAMPLE_BYTES``) and decoded by Viterbi over every whole text.  Spans of
-adjacent tokens tagged B I I ... that no pattern span touches are added with the kind ``crf``.
+the key, texts up to ``SAMPLE_BYTES``), and on copies of those texts in which no pattern fits any more:
+the key word is bent by one sign or another word stands in its place, and the value has other signs
+(``bent``).  So shape and neighbours must carry the tag, not what the patterns see.  Copies with
+compounds of a text's own words, dates and numbers (``compounds``) teach which long tokens are none.
+Every whole text is decoded by Viterbi.  Spans of adjacent tokens tagged B I I ... that no
+pattern span touches are added with the kind ``crf``.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +35,11 @@ from formline.llm.samples import hash_limit
 SAMPLE, SAMPLE_BYTES = 2000, 40_000
 BITS, STEPS, RATE, SHRINK = 15, 60, 0.1, 2e-3
 KINDS = ("assign", "access", "hex", "crf")
+#: At least so many copies of a sampled text that holds a secret, and of all of them together; every
+#: how many-th text gets compounds; so many tokens on each side of a long one are learnt from.
+BENT, ALL_BENT, COMPOUNDS, NEAR = 2, 3000, 4, 6
+#: Longest chain that is learnt from, in tokens; longer stretches are cut.
+CHAIN = 32
 #: A span the field adds is at least so long; shorter tokens carry no usable secret.
 LEAST = 12
 
@@ -198,13 +209,100 @@ def _overlap(points, offsets, t: Tokens, spans) -> np.ndarray:
     return inside
 
 
+SIGNS = string.ascii_letters + string.digits
+_SIMPLE = re.compile(r"[^\W\d_]{2,12}")
+
+
+def _secret_parts(text: str) -> list[tuple[int, int, int]]:
+    """(start of the match, start and end of its value), left to right, none touching another."""
+    found = [(m.start(), m.start(2), m.end()) for m in ASSIGN.finditer(text)
+             if len(m[2]) >= LEAST_ASSIGN]
+    for pattern, least in ((ACCESS, LEAST_ACCESS), (HEX, LEAST_HEX)):
+        found += [(m.start(), m.start(), m.end()) for m in pattern.finditer(text)
+                  if len(m[0]) >= least]
+    out: list[tuple[int, int, int]] = []
+    for part in sorted(found):
+        if not out or part[0] >= out[-1][2]:
+            out.append(part)
+    return out
+
+
+def bent(text: str, rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """A copy of ``text`` whose secrets the patterns mostly miss, and the spans of their values."""
+    words = _SIMPLE.findall(text) or ["value"]
+    out, at, size, spans = [], 0, 0, []
+
+    def put(piece):
+        nonlocal size
+        out.append(piece)
+        size += len(piece)
+
+    for start, value, end in _secret_parts(text):
+        put(text[at:start])
+        key = text[start:value]
+        letters = [i for i, c in enumerate(key) if c.isalpha()]
+        if letters and rng.random() < 0.5:
+            i = rng.choice(letters)
+            put(key[:i] + rng.choice(("", key[i] * 2, rng.choice(string.ascii_lowercase)))
+                + key[i + 1:])
+        elif letters:
+            put(rng.choice(words) + rng.choice((" = ", ": ", "=", " ", ' "')))
+        secret, how = text[value:end], rng.randrange(3)
+        if how == 0:
+            secret = secret.upper() if rng.random() < 0.3 and not secret.isdigit() else "".join(
+                rng.choices("0123456789ABCDEF", k=rng.randrange(LEAST + 4, 65)))
+        elif how == 1:
+            signs = SIGNS + rng.choice(("", "+/", "-_"))
+            head = "".join(rng.choices(string.ascii_lowercase, k=3)) + "_"
+            secret = rng.choice(("", "", head)) + "".join(rng.choices(
+                signs, k=rng.randrange(LEAST + 4, 49))) + rng.choice(("", "", "=", "=="))
+        else:  # no run of hex digits is long enough
+            secret = "".join(c if i % 9 else rng.choice(SIGNS[6:26]) for i, c in enumerate(secret))
+        spans.append((size, size + len(secret), 3))
+        put(secret)
+        at = end
+    put(text[at:])
+    return "".join(out), spans
+
+
+def compounds(text: str, rng: random.Random) -> str:
+    """A copy of ``text`` with long tokens that are no secrets: joined words, dates, versions."""
+    words = text.split(" ")
+    simple = _SIMPLE.findall(text) or ["value"]
+    for _ in range(4):
+        sign = rng.choice("-_./")
+        some = [rng.choice(simple) for _ in range(rng.randrange(2, 5))]
+        number = str(rng.randrange(10 ** rng.randrange(1, 12)))
+        date = f"{rng.randrange(1950, 2050)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}"
+        token = rng.choice((sign.join(some), sign.join([*some, number]), "".join(
+            w.capitalize() for w in some), date + "T" + number, sign.join([date, *some]),
+            number + "." + str(rng.randrange(1000)), "".join(some) + number))
+        words.insert(rng.randrange(len(words) + 1), token)
+    return " ".join(words)
+
+
+def examples(texts: list[str]) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
+    """The texts and their copies, with the spans of secrets that no pattern finds."""
+    rng = random.Random(11)
+    holders = [t for t in texts if _secret_parts(t)]
+    copies = [bent(t, rng) for t in holders
+              for _ in range(max(BENT, -(-ALL_BENT // len(holders))))]
+    out = [*texts, *(t for t, _ in copies), *(compounds(t, rng) for t in texts[::COMPOUNDS])]
+    extra = [[] for _ in texts] + [spans for _, spans in copies]
+    return out, extra + [[] for _ in out[len(extra):]]
+
+
 def fit(texts: list[str]) -> Field:
-    """The field whose tags are the secrets in the patterns' matches; without rows all outside."""
-    parts, tags = [], []
-    for _, offsets, data in ragged.text_chunks(pa.array(texts, pa.string())):
-        spans = chunk_spans(offsets, data)
+    """The field whose tags are the secrets in the patterns' matches and in bent copies of them;
+    without rows all outside."""
+    parts, tags, teach = [], [], []
+    texts, extra = examples(texts)
+    copied = np.array([bool(e) for e in extra], dtype=bool)
+    for row, offsets, data in ragged.text_chunks(pa.array(texts, pa.string())):
+        found = chunk_spans(offsets, data)
+        spans = [own + extra[row + i] for i, own in enumerate(found)]
         points = _points(data)
-        t = tokens(offsets, data, np.array([len(s) for s in spans]))
+        t = tokens(offsets, data, np.array([len(s) for s in found]))
         inside = _overlap(points, offsets, t, spans)
         # Of "name = value" only the long value is the secret.
         secret = (inside > 0) & (t.end - t.start >= LEAST)
@@ -212,6 +310,8 @@ def fit(texts: list[str]) -> Field:
         joined[1:] = secret[1:] & secret[:-1] & (inside[1:] == inside[:-1]) & ~t.begins[1:]
         parts.append(t)
         tags.append(np.where(secret, np.where(joined, 2, 1), 0))
+        # What a copy shares with its text is learnt from the text.
+        teach.append(secret | (t.end - t.start >= LEAST) & ~copied[row + t.row])
     field = Field(np.zeros((1 << BITS, 3)), np.zeros((3, 3)), np.zeros(3))
     field.moves[0, 2] = field.start[2] = -8.0  # nothing continues what has not begun
     if not parts or not sum(len(x) for x in tags):
@@ -220,11 +320,21 @@ def fit(texts: list[str]) -> Field:
     y = np.concatenate(tags)
     begins = np.concatenate([t.begins for t in parts])
     numbers = np.concatenate([t.features for t in parts])
-    # Only texts near a secret teach its context; of the others every tenth is enough.
+    # What stands near long tokens teaches most; each such stretch is a chain or a few.
     text = np.cumsum(begins) - 1
-    chosen = (np.bincount(text, y > 0) > 0) | (np.arange(text[-1] + 1) % 10 == 0)
-    keep = chosen[text]
-    y, begins, numbers = y[keep], begins[keep], numbers[keep]
+    near = np.zeros(len(y) + 1, dtype=np.int64)
+    for at in np.flatnonzero(np.concatenate(teach)):
+        near[max(0, at - NEAR)] += 1
+        near[min(len(y), at + NEAR + 1)] -= 1
+    keep = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    if not len(keep):
+        keep = np.arange(len(y))
+    y, begins, numbers, text = y[keep], begins[keep], numbers[keep], text[keep]
+    begins[1:] |= (np.diff(keep) > 1) | (text[1:] != text[:-1])
+    begins[0] = True
+    place = np.arange(len(keep)) - np.maximum.accumulate(np.where(begins, np.arange(len(keep)), 0))
+    begins |= place % CHAIN == 0
+    y = np.where(begins & (y == 2), 1, y)
     whole = Tokens(np.zeros(len(y)), np.zeros(0), np.zeros(0), begins, numbers)
     gold = np.eye(3)[y]
     same = np.flatnonzero(~begins)
@@ -257,18 +367,21 @@ def all_spans(offsets: np.ndarray, data: np.ndarray, field: Field
     if not tag.any():
         return spans
     points = _points(data)
+    known = np.zeros(len(tag) + 1, dtype=np.int64)  # tokens before that a pattern span touches
+    np.cumsum(_overlap(points, offsets, t, spans) > 0, out=known[1:])
     secret = np.flatnonzero(tag > 0)
     new = np.ones(len(secret), dtype=bool)
     new[1:] = (tag[secret[1:]] == 1) | (np.diff(secret) > 1) | t.begins[secret[1:]]
     first = secret[new]
     final = secret[np.append(np.flatnonzero(new)[1:] - 1, len(secret) - 1)]
-    for a, b in zip(first, final, strict=True):
-        r = t.row[a]
-        lo = int(points[t.start[a]] - points[offsets[r]])
-        hi = int(points[t.end[b]] - points[offsets[r]])
-        if hi - lo >= LEAST and not any(s < hi and lo < e for s, e, k in spans[r] if k < 3):
-            spans[r].append((lo, hi, 3))
-            spans[r].sort(key=lambda s: (s[0], s[2]))
+    row = t.row[first]
+    low = points[t.start[first]] - points[offsets[row]]
+    high = points[t.end[final]] - points[offsets[row]]
+    added = (high - low >= LEAST) & (known[final + 1] == known[first])
+    for r, lo, hi in zip(row[added], low[added], high[added], strict=True):
+        spans[r].append((int(lo), int(hi), 3))
+    for r in np.unique(row[added]):
+        spans[r].sort(key=lambda s: (s[0], s[2]))
     return spans
 
 

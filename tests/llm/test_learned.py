@@ -188,6 +188,66 @@ def test_field_adds_what_looks_like_a_secret():
     assert secrets.fit([]).decode(secrets.tokens(offsets, data, np.zeros(2))).sum() == 0
 
 
+def test_bent_copies_hide_secrets_from_the_patterns():
+    rng = random.Random(3)
+    seen, found = set(), 0
+    for text in SECRETS * 20:
+        copy, spans = secrets.bent(text, rng)
+        (_, offsets, data), = ragged.text_chunks(pa.array([copy]))
+        found += any(a < e and s < f for a, f, _ in secrets.chunk_spans(offsets, data)[0]
+                     for s, e, _ in spans)
+        assert len(spans) == len(secrets._secret_parts(text))
+        for start, end, _ in spans:
+            value = copy[start:end]
+            assert len(value) >= secrets.LEAST
+            seen.add(value)
+    assert len(seen) > 50 and found < len(SECRETS) * 20 / 5
+    assert secrets.bent("no secret in here", rng) == ("no secret in here", [])
+    texts, extra = secrets.examples(["", "plain words", SECRETS[0]])
+    assert len(texts) == len(extra) and extra[:3] == [[], [], []]
+
+
+def test_field_finds_secrets_whose_pattern_is_broken(spark):
+    """Fitted on half of the texts; five kinds of secrets that no pattern fits, put into the rest."""
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.01", "documents").where(
+        "text IS NOT NULL AND octet_length(text) <= 40000").orderBy("doc_id").collect()]
+    half = len(texts) // 2
+    field, rest = secrets.fit(texts[:half]), texts[half:]
+
+    def added(some):
+        out = []
+        for _, offsets, data in ragged.text_chunks(pa.array(some)):
+            out += [[s for s in own if s[2] == 3] for own in secrets.all_spans(
+                offsets, data, field)]
+        return out
+
+    assert sum(map(len, added(rest))) <= len(rest) / 100
+    rng, signs = random.Random(99), secrets.SIGNS
+
+    def draw(size, alphabet=signs):
+        return "".join(rng.choices(alphabet, k=size))
+
+    kinds = {"key of a host": lambda: ("", "ghp_" + draw(36)),
+             "bent name": lambda: ("pasword = ", draw(20)),
+             "base64": lambda: ("secret key: ", draw(42, signs + "+/") + "=="),
+             "bearer": lambda: ("Authorization: Bearer ", draw(32, signs + "-_")),
+             "upper-case digest": lambda: ("digest ", draw(40, "0123456789ABCDEF"))}
+    caught = {}
+    for kind, make in kinds.items():
+        planted, places = [], []
+        for text in rest[:200]:
+            words = text.split(" ")
+            at = rng.randrange(len(words) + 1)
+            head = "".join(w + " " for w in words[:at])
+            before, value = make()
+            start = len(head) + len(before)
+            planted.append(" ".join([head + before + value, *words[at:]]))
+            places.append((start, start + len(value)))
+        caught[kind] = np.mean([any(s <= a + 2 and b - 2 <= e for s, e, _ in own)
+                                for own, (a, b) in zip(added(planted), places, strict=True)])
+    assert min(caught.values()) >= 0.7 and np.mean(list(caught.values())) >= 0.85, caught
+
+
 def test_secrets_odd_rows_and_masking(documents):
     rows = [(1, None), (2, ""), (3, SECRETS[0]), (3, SECRETS[0]), (None, SECRETS[2]),
             (4, "deadbeef" * 30_000), (5, "é\U0001F600 0123456789abcdef0 z")]
