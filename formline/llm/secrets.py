@@ -292,12 +292,28 @@ def examples(texts: list[str]) -> tuple[list[str], list[list[tuple[int, int, int
     return out, extra + [[] for _ in out[len(extra):]]
 
 
+def _stretches(t: Tokens, teach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens within ``NEAR`` of one that teaches, and which of them begin a chain: the first of a
+    stretch and of a text, and every ``CHAIN``-th."""
+    near = np.zeros(len(teach) + 1, dtype=np.int64)
+    at = np.flatnonzero(teach)
+    np.add.at(near, np.maximum(0, at - NEAR), 1)
+    np.add.at(near, np.minimum(len(teach), at + NEAR + 1), -1)
+    keep = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    begins = t.begins[keep].copy()
+    begins[1:] |= (np.diff(keep) > 1) | (np.diff(t.row[keep]) > 0)
+    begins[:1] = True
+    number = np.arange(len(keep))
+    begins |= (number - np.maximum.accumulate(np.where(begins, number, 0))) % CHAIN == 0
+    return keep, begins
+
+
 def fit(texts: list[str]) -> Field:
     """The field whose tags are the secrets in the patterns' matches and in bent copies of them;
     without rows all outside."""
-    parts, tags, teach = [], [], []
     texts, extra = examples(texts)
     copied = np.array([bool(e) for e in extra], dtype=bool)
+    parts = []
     for row, offsets, data in ragged.text_chunks(pa.array(texts, pa.string())):
         found = chunk_spans(offsets, data)
         spans = [own + extra[row + i] for i, own in enumerate(found)]
@@ -305,36 +321,20 @@ def fit(texts: list[str]) -> Field:
         t = tokens(offsets, data, np.array([len(s) for s in found]))
         inside = _overlap(points, offsets, t, spans)
         # Of "name = value" only the long value is the secret.
-        secret = (inside > 0) & (t.end - t.start >= LEAST)
+        long = t.end - t.start >= LEAST
+        secret = (inside > 0) & long
         joined = np.zeros(len(inside), dtype=bool)
         joined[1:] = secret[1:] & secret[:-1] & (inside[1:] == inside[:-1]) & ~t.begins[1:]
-        parts.append(t)
-        tags.append(np.where(secret, np.where(joined, 2, 1), 0))
         # What a copy shares with its text is learnt from the text.
-        teach.append(secret | (t.end - t.start >= LEAST) & ~copied[row + t.row])
+        keep, begins = _stretches(t, secret | long & ~copied[row + t.row])
+        tags = np.where(secret, np.where(joined, 2, 1), 0)[keep]
+        parts.append((np.where(begins & (tags == 2), 1, tags), begins, t.features[keep]))
     field = Field(np.zeros((1 << BITS, 3)), np.zeros((3, 3)), np.zeros(3))
     field.moves[0, 2] = field.start[2] = -8.0  # nothing continues what has not begun
-    if not parts or not sum(len(x) for x in tags):
+    if not sum(len(y) for y, _, _ in parts):
         field.weights[:, 0] = 1.0
         return field
-    y = np.concatenate(tags)
-    begins = np.concatenate([t.begins for t in parts])
-    numbers = np.concatenate([t.features for t in parts])
-    # What stands near long tokens teaches most; each such stretch is a chain or a few.
-    text = np.cumsum(begins) - 1
-    near = np.zeros(len(y) + 1, dtype=np.int64)
-    for at in np.flatnonzero(np.concatenate(teach)):
-        near[max(0, at - NEAR)] += 1
-        near[min(len(y), at + NEAR + 1)] -= 1
-    keep = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-    if not len(keep):
-        keep = np.arange(len(y))
-    y, begins, numbers, text = y[keep], begins[keep], numbers[keep], text[keep]
-    begins[1:] |= (np.diff(keep) > 1) | (text[1:] != text[:-1])
-    begins[0] = True
-    place = np.arange(len(keep)) - np.maximum.accumulate(np.where(begins, np.arange(len(keep)), 0))
-    begins |= place % CHAIN == 0
-    y = np.where(begins & (y == 2), 1, y)
+    y, begins, numbers = map(np.concatenate, zip(*parts, strict=True))
     whole = Tokens(np.zeros(len(y)), np.zeros(0), np.zeros(0), begins, numbers)
     gold = np.eye(3)[y]
     same = np.flatnonzero(~begins)
