@@ -6,7 +6,9 @@ step, in Arrow batches); every field is then read by column expressions.
 
 from __future__ import annotations
 
+import re
 import sys
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -50,64 +52,188 @@ _SILENT = {"script", "style"}
 _CLOSES = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 
 
+# What most pages consist of: cells and links that hold a text only, tags, texts.  A page with
+# anything else goes through ``HTMLParser``.
+_ATTRIBUTES = r"(?:\s+[a-zA-Z][-a-zA-Z0-9_]*(?:=(?:\"[^\"<>]*\"|[a-zA-Z0-9]+))?)*\s*"
+_PLAIN = re.compile(
+    rf"(?:<t[dh]{_ATTRIBUTES}>[^<]*</t[dh]>|<a{_ATTRIBUTES}>[^<]*</a>"
+    rf"|<(?:[a-zA-Z][a-zA-Z0-9]*{_ATTRIBUTES}|/[a-zA-Z][a-zA-Z0-9]*\s*|br\s*/)>)\s*|[^<]+")
+_ATTRIBUTE = re.compile(r"\s([^\s=]+)(?:=(?:\"([^\"]*)\"|([a-zA-Z0-9]+)))?")
+_ODD_REFERENCE = re.compile(r"&(?!(?:amp|lt|gt|quot|#[0-9]{1,6});)")
+# Elements whose content is text to HTMLParser, whatever it looks like.
+_RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes",
+        "noscript", "plaintext", "svg", "math"}
+
+
+_TAGS: dict[str, tuple[str, dict, list[str]]] = {}  # parts of the start tags met so far
+TAGS_KEPT = 4096
+
+
+def _tag_parts(token: str) -> tuple[str, dict, list[str]]:
+    """(name, attributes, classes) of a plain start tag; not to be changed by the caller."""
+    if token not in _TAGS:
+        if len(_TAGS) >= TAGS_KEPT:
+            _TAGS.clear()
+        _TAGS[token] = _parts_of(token)
+    return _TAGS[token]
+
+
+def _parts_of(token: str) -> tuple[str, dict, list[str]]:
+    tag = re.match(r"<([a-zA-Z0-9]+)", token)
+    given = {m[1].lower(): None if m[2] is None and m[3] is None
+             else unescape(m[2] if m[2] is not None else m[3])
+             for m in _ATTRIBUTE.finditer(token, tag.end(), len(token) - 1)}
+    return tag[1].lower(), given, (given.get("class") or "").split()
+
+
+class _Open:
+    """An element that is open."""
+    __slots__ = ("tag", "classes", "given", "got", "marks", "row", "cell", "link_of", "no", "rows")
+
+    def __init__(self, tag, classes, given):
+        self.tag, self.classes, self.given = tag, classes, given
+        self.got = self.marks = self.row = self.cell = self.link_of = None
+
+
 class _PageReader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = []  # (tag, classes, opened row/cell/mark)
+        self._begin()
+
+    def _begin(self):
+        self.open = []
         self.takers, self.quiet = [], 0  # open elements whose text is wanted; scripts and styles
         self.rows, self.texts, self.tables = [], {}, 0
+        self.open_tables, self.open_rows, self.open_cells, self.blocks = [], [], [], []
+
+    def feed(self, data):
+        if not self._feed_plain(data):
+            self._begin()
+            super().feed(data)
+
+    def _feed_plain(self, data):
+        """Read a page of plain tags and texts; False if it has anything else."""
+        tokens = _PLAIN.findall(data)
+        if sum(map(len, tokens)) != len(data):
+            return False
+        if tokens and tokens[-1][0] != "<" and "&" in tokens[-1]:
+            return False  # a reference that may be unfinished
+        raw = None
+        for token in tokens:
+            if token[0] != "<":
+                if self.takers and not self.quiet:
+                    self.handle_data(unescape(token) if "&" in token else token)
+                continue
+            if token[-1] != ">":
+                token = token.rstrip()
+            if token[1] == "/":
+                tag = token[2:-1].strip().lower()
+                if raw is not None and tag != raw:
+                    return False
+                raw = None
+                self._close(tag)
+            elif raw is not None:
+                return False
+            elif token[-2] != "/":  # else a line break, which is no element
+                end = token.index(">") + 1
+                head = token[:end]
+                if "&" in head and _ODD_REFERENCE.search(head):
+                    return False
+                tag, given, classes = _tag_parts(head)
+                if end == len(token):
+                    self._start(tag, given, classes)
+                    if tag in _RAW:
+                        raw = tag
+                elif token[-2] != tag[-1]:
+                    return False  # <td>..</th>
+                else:
+                    text = token[end:token.rindex("<")]
+                    self._whole(tag, given, classes,
+                                unescape(text) if "&" in text else text)
+        return raw is None
+
+    def _whole(self, tag, given, classes, data):
+        """A cell or link that holds a text only, as if opened, filled and closed."""
+        text = "" if self.quiet else data.strip()
+        if tag == "a":
+            cell = self.open_cells[-1] if self.open_cells else None
+            if cell is not None and cell["href"] is None and given.get("href") is not None:
+                cell["href"], cell["link"] = given["href"], text
+        else:
+            if self.open and self.open[-1].tag != "tr":  # nothing is left open right in a row
+                self._close_open(_CLOSES[tag])
+            if self.open_rows:
+                self.open_rows[-1]["cells"].append({
+                    "tag": tag, "cls": " ".join(classes), "href": None, "link": None,
+                    "text": text, "lines": [text] if text else []})
+        if text:
+            for e in self.takers:
+                e.got.append(text)
 
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
+        self._start(tag, given, (given.get("class") or "").split())
+
+    def _start(self, tag, given, classes):
         if tag in _EMPTY:
             return
         if tag in _CLOSES:
             self._close_open(_CLOSES[tag])
-        classes = (given.get("class") or "").split()
-        entry = {"tag": tag, "classes": classes, "given": given, "got": []}
+        entry = _Open(tag, classes, given)
         self.open.append(entry)
-        self.quiet += tag in _SILENT
-        # What stands around an element does not change while it is open.
-        entry["marks"] = [name for name, chain in _MARKS_AT.get(tag, ())
-                          if name not in self.texts and self._matches(chain)]
-        if tag == "table":
-            entry["no"], entry["rows"] = self.tables, 0
-            self.tables += 1
+        if tag in ("td", "th"):
+            if self.open_rows:
+                entry.cell = {"tag": tag, "cls": " ".join(classes), "href": None, "link": None}
+                self.open_rows[-1]["cells"].append(entry.cell)
+                self.open_cells.append(entry.cell)
         elif tag == "tr":
             self._start_row(entry)
-        elif tag in ("td", "th"):
-            row = next((e["row"] for e in reversed(self.open) if "row" in e), None)
-            if row is not None:
-                entry["cell"] = {"tag": tag, "cls": " ".join(classes), "href": None,
-                                 "link": None}
-                row["cells"].append(entry["cell"])
-        elif tag == "a" and given.get("href") is not None:
-            cell = next((e["cell"] for e in reversed(self.open) if "cell" in e), None)
-            if cell is not None and cell["href"] is None:
-                cell["href"], entry["link_of"] = given["href"], cell
-        if entry["marks"] or "cell" in entry or "link_of" in entry:
+        elif tag == "a":
+            if given.get("href") is not None and self.open_cells:
+                cell = self.open_cells[-1]
+                if cell["href"] is None:
+                    cell["href"], entry.link_of = given["href"], cell
+        elif tag == "table":
+            entry.no, entry.rows = self.tables, 0
+            self.tables += 1
+            self.open_tables.append(entry)
+        elif tag in _SILENT:
+            self.quiet += 1
+        elif tag == "dl":
+            self.blocks.append(entry)
+        if tag in _MARKS_AT:
+            # What stands around an element does not change while it is open.
+            entry.marks = [name for name, chain in _MARKS_AT[tag]
+                           if name not in self.texts and self._matches(chain)]
+        if entry.marks or entry.cell is not None or entry.link_of is not None:
+            entry.got = []
             self.takers.append(entry)
 
     def _start_row(self, entry):
-        table = next((e for e in reversed(self.open) if e["tag"] == "table"), None)
-        if table is None:
+        if not self.open_tables:
             return
-        block = next((e for e in self.open if e["tag"] == "dl"), {"classes": []})
-        entry["row"] = {
-            "table_no": table["no"], "table_class": " ".join(table["classes"]),
-            "summary": table["given"].get("summary"), "block": " ".join(block["classes"]),
-            "row_no": table["rows"], "row_class": " ".join(entry["classes"]), "cells": []}
-        table["rows"] += 1
-        self.rows.append(entry["row"])
+        table = self.open_tables[-1]
+        entry.row = {
+            "table_no": table.no, "table_class": " ".join(table.classes),
+            "summary": table.given.get("summary"),
+            "block": " ".join(self.blocks[0].classes) if self.blocks else "",
+            "row_no": table.rows, "row_class": " ".join(entry.classes), "cells": []}
+        table.rows += 1
+        self.rows.append(entry.row)
+        self.open_rows.append(entry.row)
 
     def handle_endtag(self, tag):
         self._close(tag)
 
     def _close(self, tag):
         """Close the innermost open ``tag``, and what is open inside it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                while len(self.open) > i:
+        opened = self.open
+        if opened and opened[-1].tag == tag:
+            self._finish()
+            return
+        for i in range(len(opened) - 1, -1, -1):
+            if opened[i].tag == tag:
+                while len(opened) > i:
                     self._finish()
                 return
 
@@ -115,31 +241,42 @@ class _PageReader(HTMLParser):
         """Close cells or rows of the innermost table that were left open."""
         outermost = None
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == "table":
+            tag = self.open[i].tag
+            if tag == "table":
                 break
-            if self.open[i]["tag"] in tags:
+            if tag in tags:
                 outermost = i
         while outermost is not None and len(self.open) > outermost:
             self._finish()
 
     def _finish(self):
         entry = self.open.pop()
-        self.quiet -= entry["tag"] in _SILENT
-        if self.takers and self.takers[-1] is entry:
-            self.takers.pop()
-        for name in entry["marks"]:
-            self.texts.setdefault(name, "".join(entry["got"]))
-        if "cell" in entry:
-            entry["cell"] |= {"text": "".join(entry["got"]), "lines": entry["got"]}
-        if "link_of" in entry:
-            entry["link_of"]["link"] = "".join(entry["got"])
+        tag = entry.tag
+        if entry.got is not None:
+            self.takers.pop()  # takers are open elements, so this one is the innermost
+            text = "".join(entry.got)
+            for name in entry.marks or ():
+                self.texts.setdefault(name, text)
+            if entry.cell is not None:
+                entry.cell["text"], entry.cell["lines"] = text, entry.got
+                self.open_cells.pop()
+            if entry.link_of is not None:
+                entry.link_of["link"] = text
+        if entry.row is not None:
+            self.open_rows.pop()
+        elif tag == "table":
+            self.open_tables.pop()
+        elif tag == "dl":
+            self.blocks.pop()
+        elif tag in _SILENT:
+            self.quiet -= 1
 
     def _matches(self, chain):
         """The chain ends at the innermost open element, outer parts around it."""
         wanted = list(chain)
         for depth, e in enumerate(reversed(self.open)):
             tag, _, cls = wanted[-1].partition(".")
-            if e["tag"] == tag and (not cls or cls in e["classes"]):
+            if e.tag == tag and (not cls or cls in e.classes):
                 wanted.pop()
                 if not wanted:
                     return True
@@ -150,7 +287,7 @@ class _PageReader(HTMLParser):
     def handle_data(self, data):
         if self.takers and not self.quiet and (text := data.strip()):
             for e in self.takers:
-                e["got"].append(text)
+                e.got.append(text)
 
     def page(self):
         while self.open:
@@ -158,28 +295,46 @@ class _PageReader(HTMLParser):
         return {**{m: self.texts.get(m) for m in MARKS}, "rows": self.rows, "error": None}
 
 
-def read_page(html: str | None) -> dict:
-    """Rows and marked texts of one page; a page that cannot be read has only ``error``."""
+def read_page(html: str | None, references: bool = True) -> dict:
+    """Rows and marked texts of one page; a page that cannot be read has only ``error``.
+
+    Without ``references`` the character references of its texts stay as they are written.
+    """
     try:
         reader = _PageReader()
-        reader.feed(html or "")
+        html = html or ""
+        reader.feed(html if references else html.replace("&", "&amp;"))
         return reader.page()
     except Exception as e:  # noqa: BLE001 - a bad page must not end the job
         return {**dict.fromkeys(MARKS), "rows": [], "error": repr(e)}
 
 
+PAGES_AT_ONCE = 100  # the Python objects of so many pages live at a time
+
+
+def _read_some(html: pa.Array, references: bool = True) -> pa.Array:
+    parts = [pa.array([read_page(h, references) for h in html[i:i + PAGES_AT_ONCE].to_pylist()],
+                      type=_PAGE) for i in range(0, len(html), PAGES_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=_PAGE)
+
+
 def _read_batch(html: pa.Array) -> pa.Array:
-    return pa.array([read_page(h) for h in html.to_pylist()], type=_PAGE)
+    return _read_some(html)
+
+
+def _read_batch_as_written(html: pa.Array) -> pa.Array:
+    return _read_some(html, references=False)
 
 
-def page_parts(html: str | Column) -> Column:
+def page_parts(html: str | Column, references: bool = True) -> Column:
     # Shipped by value, so executors need no installed copy of this package.
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return F.arrow_udf(_read_batch, PAGE)(html)
+    read = F.arrow_udf(_read_batch if references else _read_batch_as_written, PAGE)
+    return read(html)
 
 
-def parsed_pages(pages: DataFrame, key: str = "race_id") -> DataFrame:
-    return pages.select(key, page_parts("html").alias("p"))
+def parsed_pages(pages: DataFrame, key: str = "race_id", references: bool = True) -> DataFrame:
+    return pages.select(key, page_parts("html", references).alias("p"))
 
 
 def page_errors(pages: DataFrame, key: str = "race_id") -> DataFrame:

@@ -161,3 +161,26 @@ def test_first_rows_are_read_from_the_whole_table(spark, monkeypatch):
     got = [tuple(r) for r in QUERIES["csv_scan_first_rows"](spark, folder).collect()]
     assert got == [tuple(r) for r in rows.orderBy(*files.KEY).limit(25).collect()]
     assert written == [rows.count()] and written[0] > 500
+
+
+def test_references_may_stay_as_written():
+    page = "<title> a &amp;&lt b&amp</title><table><tr><td><a href='?x&amp;y'>&gt;</a>"
+    plain, written = html.read_page(page), html.read_page(page, references=False)
+    assert plain["title"] == "a &< b&" and written["title"] == "a &amp;&lt b&amp"
+    cell, = written["rows"][0]["cells"]
+    assert (cell["text"], cell["href"]) == ("&gt;", "?x&amp;y")
+
+
+ROWS = ("<dl class='a'><table class=\"t u\"><tr class=r><td>1<td> x &amp; y </td>\n<th nowrap>"
+        "<a href=\"/q?a=1&amp;b=2\">L</a><br/>m</th></tr><tr><td><table><tr><td>in</td></table>z"
+        "</td></tr></table></dl><h1> h <b>i</b></h1>")
+
+
+def test_plain_pages_read_as_the_parser_reads_them(monkeypatch):
+    pages = [ROWS, ROWS.replace("'a'", '"a"'), ROWS.replace("'a'", '"a"') + "<p>",
+             '<title>t</title><style>td{}</style><table><tr><td class="A b">1</TD></table>',
+             "<table><tr><td>1</td> <td><a>no</a><a href=\"u\"> two </a></td></tr></table>"]
+    fast = [html.read_page(p) for p in pages]
+    assert sum(html._PageReader()._feed_plain(p) for p in pages) == 4
+    monkeypatch.setattr(html._PageReader, "_feed_plain", lambda self, data: False)
+    assert fast == [html.read_page(p) for p in pages]
