@@ -339,7 +339,9 @@ def parsed_pages(pages: DataFrame, key: str = "race_id", references: bool = True
 
 def page_errors(pages: DataFrame, key: str = "race_id") -> DataFrame:
     """Pages that could not be read."""
-    return parsed_pages(pages, key).where(F.col("p.error").isNotNull()).select(key, "p.error")
+    # A filter on the reader's column would be pushed below it and read every page twice.
+    return parsed_pages(pages, key).select(key, F.explode(F.when(
+        F.col("p.error").isNotNull(), F.array("p.error"))).alias("error"))
 
 
 # --- helpers on rows --------------------------------------------------------------
@@ -496,8 +498,9 @@ def result_rows(pages: DataFrame, older: bool = False) -> DataFrame:
 
 def payout_rows(pages: DataFrame) -> DataFrame:
     """(race_id, ticket_type, horse_nums, payout): lines of the two cells, side by side."""
-    rows = parsed_pages(pages).select("race_id", F.explode("p.rows").alias("r")).where(
-        has_class(F.col("r.block"), "pay_block"))
+    # Rows are chosen inside the generator: a filter behind it would read every page twice.
+    rows = parsed_pages(pages).select("race_id", F.explode(F.filter(
+        "p.rows", lambda r: has_class(r["block"], "pay_block"))).alias("r"))
     cells = data_cells(F.col("r.cells"))
     head = F.try_element_at(F.filter("r.cells", lambda c: c["tag"] == "th"), F.lit(1))
     pairs = F.arrays_zip(at(cells, 0)["lines"].alias("nums"),

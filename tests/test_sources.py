@@ -184,3 +184,10 @@ def test_plain_pages_read_as_the_parser_reads_them(monkeypatch):
     assert sum(html._PageReader()._feed_plain(p) for p in pages) == 4
     monkeypatch.setattr(html._PageReader, "_feed_plain", lambda self, data: False)
     assert fast == [html.read_page(p) for p in pages]
+
+
+def test_pages_are_read_once(spark):
+    df = spark.createDataFrame([("r", "<table>")], "race_id string, html string")
+    for read in (html.payout_rows(df), html.page_errors(df)):
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
