@@ -256,3 +256,34 @@ def test_hot_keys_of_all_columns_come_from_one_pass(spark, monkeypatch):
     monkeypatch.setattr(skew, "hot_keys", counted)
     assert rows_of(feat.build_features(df, hot_rows=5, slice_rows=110)) == plain
     assert rows_of(feat.build_features(df, hot_rows=60, slice_rows=110)) == plain
+
+
+def test_rolling_pass_equals_the_windows(spark):
+    """One pass over ordered rows: blocks, hot slices, NULL keys, NaN, whole and long numbers."""
+    from formline.operators import history
+    rows = [(None if i % 41 == 0 else f"h{i * i % 7}", i, f"r{i % 3}", i,
+             None if i % 5 == 0 else i * 7 % 12, float("nan") if i % 29 == 0 else i % 9 / 7,
+             2**53 + i % 4, None if i < 600 else 1.1) for i in range(1300)]
+    df = spark.createDataFrame(rows, "horse_id string, date_dt long, race_id string, horse_num int,"
+                                     " a int, b double, c long, d double")
+    all_of = ("mean", "std", "min", "max", "sum", "median")
+    targets, windows = {c: all_of for c in "abcd"}, (3, 100)
+    for skew in ({}, {"hot_rows": 150, "slice_rows": 120}):
+        o = history.entrant_rows(df, **skew)
+        plain = history.rolling(o, targets, windows)
+        one = o.finish(o.rows.select("*", *[x.alias(n) for n, x in plain.items()]))
+        two = o.finish(history.with_rolling(o, targets, windows))
+        assert one.select(*two.columns).dtypes == two.dtypes
+
+        def values(t):
+            return sorted((tuple("nan" if x != x else round(x, 9) if isinstance(x, float) else x
+                                 for x in r) for r in t.select("horse_num", *plain).collect()))
+        assert values(one) == values(two)
+
+
+def test_rolling_pass_needs_no_exact_percentile(spark):
+    from formline.operators import history
+    df = spark.createDataFrame([("h", 1, "r", 1, 2)], "horse_id string, date_dt long,"
+                                                      " race_id string, horse_num int, rank int")
+    plan = history.with_rolling(history.entrant_rows(df))._jdf.queryExecution().executedPlan()
+    assert "percentile" not in plan.toString() and "MapInArrow" in plan.toString()
