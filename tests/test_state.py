@@ -73,3 +73,19 @@ def test_empty_past_and_empty_day(spark, table):
     assert {r.prev_rank for r in first.select("prev_rank").collect()} == {99.0}
     assert first.count() == daily.prepared_entries(today, DAY).count() > 0
     assert daily.score_day(none, today.limit(0), DAY, lambda w: w, means={}).count() == 0
+
+
+def test_only_todays_contests_leave_the_history(spark):
+    """Whole-past scoring keeps today's contests alone, with the features of the whole table."""
+    from checks.tables import results
+    from formline.plans import features as feat
+    df = results(spark, "/root/testdata/sf0.001").drop("event_id", "day", "period")
+    means = feat.means_of(df)
+    wide = feat.build_features(df, means=means)
+    assert {k: round(v, 9) for k, v in means.items()} == {
+        k: round(v, 9) for k, v in feat.rate_means(wide).items()}
+    ids = df.select("race_id").distinct().orderBy("race_id").limit(3)
+    some = feat.build_features(df, means=means, contests=ids)
+    expected = wide.join(ids, "race_id", "left_semi").select(*some.columns)
+    assert 0 < some.count() < wide.count() and not some.exceptAll(expected).count()
+    assert some.count() == expected.count()
