@@ -144,12 +144,11 @@ def card_sink(spark, sf):
 @query("page_files", "SELECT CAST(page_id AS STRING) AS page_id, length(html) AS size,"
                      " md5(html) AS digest FROM pages")
 def page_files(spark, sf):
-    """One file per page, the id in its folder name, read back whole."""
-    path = folder(spark, "pages")
+    """One file per page, the id in its name, read back whole."""
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
-    pages.withColumnRenamed("html", "value").write.partitionBy("page_id").text(path)
-    read = tables.read_pages(spark, f"{path}/*/*.txt", r"page_id=(\d+)/", "page_id")
-    # The text writer ends every file with a line end.
+    folders = tables.write_page_files(pages, folder(spark, "pages"), "page_id", prefix="page")
+    read = tables.read_pages(spark, folders, r"page_(\d+)\.html", "page_id", names="*.html")
+    # The writer ends every file with a line end.
     page = F.expr("substring(html, 1, length(html) - 1)")
     return read.select("page_id", F.length(page).cast("bigint").alias("size"),
                        F.md5(page).alias("digest"))

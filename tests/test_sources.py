@@ -1,6 +1,7 @@
 """Pages, files and the scratch folder."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from formline import session
 from formline.sources import html, tables
@@ -106,6 +107,28 @@ def test_page_files_keep_bad_bytes(spark, tmp_path):
     assert got["202302"] == "<p>芝</p>" and got["202301"].endswith(" ok</p>")
 
 
+def test_page_files_one_for_each_row(spark, tmp_path):
+    from checks import QUERIES
+    pages = [("1", "<p>芝</p>"), ("2", ""), ("1", "<p>a</p>\n\r\n"), (None, "x"), ("3", "\n")]
+    df = spark.createDataFrame(pages, "page_id string, html string").coalesce(1)
+    shared = tmp_path / "a b"
+    folders = tables.write_page_files(df.repartition(3), str(shared), "page_id", prefix="page")
+    assert 1 <= len(folders) <= 3  # a folder for each task, not for each page
+    assert len(list(shared.glob("*/*.html"))) == 5
+    left = shared / "pages-left"  # what an attempt that failed has written is not read
+    left.mkdir()
+    (left / "0-page_9.html").write_text("half")
+    got = tables.read_pages(spark, folders, r"page_(\d+)\.html", "page_id", names="*.html")
+    got = got.withColumn("html", F.expr("left(html, length(html) - 1)"))  # the added line end
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    none = tables.write_page_files(df.where("page_id = 'x'"), str(tmp_path / "none"), "page_id")
+    assert tables.read_pages(spark, none, names="*.html").count() == 0
+    # Two rows of one id were written to one file.
+    df.where("page_id IS NOT NULL").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = QUERIES["page_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.size) for r in rows) == [("1", 8), ("1", 11), ("2", 0), ("3", 1)]
+
+
 def test_page_archive_gives_what_the_files_give(spark, tmp_path):
     (tmp_path / "race_202301.html").write_bytes(b"<p>\xff ok</p>")
     (tmp_path / "race_202302.html").write_text("")
