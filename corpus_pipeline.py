@@ -47,7 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mask and n_chars counted anew where there was one."""
-    found = secrets.with_secrets(docs, secrets.fit(secrets.sample(docs)))
+    found = secrets.with_secrets(docs, secrets.fitted(docs))
     masked = secrets.redacted(found, mask=MASK)
     return masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text")).otherwise(
         F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)

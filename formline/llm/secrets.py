@@ -12,6 +12,7 @@ the key, texts up to ``SAMPLE_BYTES``), and on copies of those texts in which no
 the key word is bent by one sign or another word stands in its place, and the value has other signs
 (``bent``).  So shape and neighbours must carry the tag, not what the patterns see.  Copies with
 compounds of a text's own words, dates and numbers (``compounds``) teach which long tokens are none.
+The training runs in a task; the driver gets the weights, and no text.
 Every whole text is decoded by Viterbi.  Spans of adjacent tokens tagged B I I ... that no
 pattern span touches are added with the kind ``crf``.
 """
@@ -385,15 +386,33 @@ def all_spans(offsets: np.ndarray, data: np.ndarray, field: Field
     return spans
 
 
-def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE
-           ) -> list[str]:
-    """At most ``rows`` texts to learn from: those whose hash lies below the wished share."""
+def drawn(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE
+          ) -> DataFrame:
+    """(h, t) of at most ``rows`` texts to learn from: those whose hash lies below the wished
+    share, and of equal hashes (NULL keys, repeated ones) no more than ``rows`` from any task."""
     usable = docs.where(F.col(f"`{text}`").isNotNull() & (
         F.octet_length(F.col(f"`{text}`")) <= SAMPLE_BYTES)).select(
         F.xxhash64(F.col(f"`{key}`"), F.lit("secrets")).alias("h"), F.col(f"`{text}`").alias("t"))
     low = hash_limit(rows, usable.count())
-    found = usable.where(F.col("h") <= F.lit(low)).toLocalIterator()
-    return [t for _, t in sorted((r["h"], r["t"]) for r in found)[:rows]]
+    return usable.where(F.col("h") <= F.lit(low)).orderBy("h", "t").limit(rows)
+
+
+def fitted(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SAMPLE) -> Field:
+    """The field of at most ``size`` texts, learnt in one task."""
+    names = ["weights", "moves", "start"]
+
+    def learn(group: pa.Table) -> pa.Table:
+        rows = group.sort_by([("h", "ascending"), ("t", "ascending")])
+        field = fit(rows["t"].to_pylist())
+        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
+        return pa.table([pa.array([getattr(field, c).tobytes()], pa.binary()) for c in names],
+                        names)
+    found = drawn(docs, key, text, size).groupBy().applyInArrow(
+        learn, ", ".join(f"{c} binary" for c in names)).collect()
+    if not found:
+        return fit([])
+    weights, moves, start = (np.frombuffer(found[0][c]) for c in names)
+    return Field(weights.reshape(-1, 3), moves.reshape(3, 3), start)
 
 
 SPANS = "array<struct<start:int,end:int,kind:string>>"
@@ -449,7 +468,7 @@ def _joined(kinds=None):
 @query("op4_secret_scan")
 def op4_secret_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = with_secrets(docs, fit(sample(docs))).drop("text")
+    found = with_secrets(docs, fitted(docs)).drop("text")
 
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")

@@ -10,15 +10,18 @@ rows that the vectors were not trained on: ``PARTS`` models are each trained wit
 rows and scaled on it, and their log odds are averaged.
 
 Training takes at most ``SAMPLE`` labelled rows (in the order of a hash of the key, each text at
-most ``SAMPLE_BYTES`` long); everything is scored.
+most ``SAMPLE_BYTES`` long) and runs in ``PARTS`` tasks, a model each; the driver gets what the
+features add to the log odds, and no text.  Everything is scored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +88,7 @@ def _bags(offsets: np.ndarray, data: np.ndarray):
     return len(offsets) - 1, row, place, owner, number, len(starts)
 
 
-def _training_bags(texts: list[str]):
+def _training_bags(texts: list[str] | pa.Array):
     """(text, type) pairs in the order of the texts, features of all types, features per type."""
     docs, kinds, numbers, sizes = [], [], [], []
     known, order = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes, sorted; their types
@@ -117,7 +120,7 @@ def _places(numbers: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return distinct, places
 
 
-def train(texts: list[str], y: np.ndarray, *, epochs: int = EPOCHS, batch: int = BATCH,
+def train(texts: list[str] | pa.Array, y: np.ndarray, *, epochs: int = EPOCHS, batch: int = BATCH,
           rate: float = RATE, seed: int = 7) -> Model:
     """Embeddings and softmax by stochastic gradients with per-weight step sizes.
 
@@ -188,26 +191,35 @@ def scaling(z: np.ndarray, y: np.ndarray, blank: float, steps: int = 100) -> tup
     return factor, float(min(found[1] if factor else base, base - factor * blank))
 
 
-def fit(texts: list[str], labels: list[int], **options) -> Scorer:
-    """Mean of ``PARTS`` models, each trained without one part of the rows and scaled on it.
+def part_scorer(texts: Callable[[np.ndarray], pa.Array], y: np.ndarray, k: int, **options
+                ) -> Scorer | None:
+    """Model ``k`` of ``PARTS``, trained without that part of the rows and scaled on it.
 
-    Without rows of both labels inside and outside of every part, one model of all rows is left as
-    it is.
+    ``texts`` gives those of row numbers, so that no more than one side is held beside the rows.
+    Without rows of both labels inside and outside of every part, the first is one model of all
+    rows as it is, and there are no others.
     """
-    y, part = np.asarray(labels, dtype=float), np.arange(len(labels)) % PARTS
-    sides = [y[side] for k in range(PARTS) for side in (part == k, part != k)]
+    part = np.arange(len(y)) % PARTS
+    sides = [y[side] for j in range(PARTS) for side in (part == j, part != j)]
     if not all(0 < side.sum() < len(side) for side in sides):
-        return train(texts, y, **options).scorer()
-    found = []
-    for k in range(PARTS):
-        model = train([t for t, p in zip(texts, part, strict=True) if p != k], y[part != k],
-                      **options)
-        plain = model.scorer()
-        z = [plain.log_odds(offsets, data) for _, offsets, data in ragged.text_chunks(
-            pa.array([t for t, p in zip(texts, part, strict=True) if p == k], pa.string()))]
-        found.append(model.scorer(*scaling(np.concatenate(z), y[part == k], plain.blank)))
-    return Scorer(np.mean([s.odds for s in found], axis=0),
-                  float(np.mean([s.blank for s in found])))
+        return None if k else train(texts(np.arange(len(y))), y, **options).scorer()
+    model = train(texts(np.flatnonzero(part != k)), y[part != k], **options)
+    plain = model.scorer()
+    z = [plain.log_odds(offsets, data) for _, offsets, data in ragged.text_chunks(
+        texts(np.flatnonzero(part == k)))]
+    return model.scorer(*scaling(np.concatenate(z), y[part == k], plain.blank))
+
+
+def averaged(models: list[Scorer]) -> Scorer:
+    return Scorer(np.mean([s.odds for s in models], axis=0),
+                  float(np.mean([s.blank for s in models])))
+
+
+def fit(texts: list[str], labels: list[int], **options) -> Scorer:
+    """Mean of the models of all parts, learnt here."""
+    rows, y = pa.array(texts, pa.string()), np.asarray(labels, dtype=float)
+    found = [part_scorer(rows.take, y, k, **options) for k in range(PARTS)]
+    return averaged([s for s in found if s is not None])
 
 
 def held_out(key: str, remainder: int = HELD_OUT, folds: int = 4):
@@ -215,11 +227,12 @@ def held_out(key: str, remainder: int = HELD_OUT, folds: int = 4):
                   F.lit(folds)) == remainder
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id",
-           text: str = "text", rows: int = SAMPLE) -> list:
-    """At most ``rows`` labelled rows to learn from, as (text, label).
+def drawn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id",
+          text: str = "text", rows: int = SAMPLE) -> DataFrame:
+    """(_h, _y, _text) of at most ``rows`` labelled rows to learn from, in any order.
 
-    Rows whose hash lies below the wished share are taken, so each task sends its share only.
+    Rows whose hash lies below the wished share are taken, so each task sends its share only; of
+    equal hashes, however many, none sends more than ``rows``.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(
         F.max(F.col(label).cast("int")).alias("_y"))
@@ -228,9 +241,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str =
         F.col(key), F.xxhash64(F.col(key), F.lit("sample")).alias("_h"),
         F.col(text).alias("_text")).join(known, key)
     low = hash_limit(rows, usable.count())
-    found = sorted((r["_h"], r["_y"], r["_text"]) for r in usable.where(
-        F.col("_h") <= F.lit(low)).select("_h", "_y", "_text").toLocalIterator())
-    return [(t, y) for _, y, t in found[:rows]]
+    return usable.where(F.col("_h") <= F.lit(low)).select("_h", "_y", "_text").orderBy(
+        "_h", "_y", "_text").limit(rows)
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id",
+           text: str = "text", rows: int = SAMPLE) -> list:
+    """At most ``rows`` labelled rows to learn from, as (text, label), for use without Spark."""
+    found = sorted((r["_h"], r["_y"], r["_text"]) for r in drawn(
+        docs, labels, label, key, text, rows).toLocalIterator())
+    return [(t, y) for _, y, t in found]
 
 
 def with_toxicity(docs: DataFrame, model: Scorer, key: str = "doc_id", text: str = "text",
@@ -259,9 +279,25 @@ def with_toxicity(docs: DataFrame, model: Scorer, key: str = "doc_id", text: str
     return rows.mapInArrow(score, schema)
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Scorer:
-    rows = sample(docs, labels)
-    return fit([t for t, _ in rows], [y for _, y in rows])
+def fitted(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Scorer:
+    """The model of at most ``size`` rows; every part's is learnt in a group of its own."""
+    def learn(group: pa.Table) -> pa.Table:
+        k = group["part"][0].as_py()
+        order = pc.sort_indices(group, [(c, "ascending") for c in ("_h", "_y", "_text")]).to_numpy()
+        found = part_scorer(lambda at: group["_text"].take(order[at]).combine_chunks(),
+                            group["_y"].to_numpy()[order].astype(float), k)
+        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
+        out = [] if found is None else [{"part": k, "odds": found.odds.tobytes(),
+                                         "blank": found.blank}]
+        return pa.Table.from_pylist(out, pa.schema([
+            ("part", pa.int32()), ("odds", pa.binary()), ("blank", pa.float64())]))
+    parts = drawn(docs, labels, rows=size).withColumn(
+        "part", F.explode(F.array(*map(F.lit, range(PARTS))))).repartition("part")
+    found = parts.groupBy("part").applyInArrow(
+        learn, "part int, odds binary, blank double").collect()
+    models = [Scorer(np.frombuffer(r["odds"]), r["blank"])
+              for r in sorted(found, key=lambda r: r["part"])]
+    return averaged(models) if models else fit([], [])
 
 
 @query("op8_toxicity")

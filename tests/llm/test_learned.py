@@ -326,3 +326,28 @@ def test_every_language_is_learnt(documents, monkeypatch):
     thinned = language.sample(documents(rows))
     assert len(thinned) < len(free) and set(thinned) <= set(got)
     assert max(Counter(y for _, y in thinned).values()) <= 4
+
+
+def test_training_stays_off_the_driver(documents, spark, monkeypatch):
+    """Tasks learn what the same rows give here; rows beyond the sample and odd rows do not count."""
+    texts, y = toxic_rows(300, 5)
+    texts[:9] = SECRETS[:9]
+    docs = documents([*enumerate(texts), (900, None), (901, "x" * 50_000),
+                      *((None, f"x{i}") for i in range(400))])
+    labels = spark.createDataFrame([*enumerate(y), (901, 1)], "doc_id long, toxic int")
+    for rows in (8000, 100, 2):
+        learnt = toxicity.sample(docs, labels, rows=rows)
+        scorer = toxicity.fit(*zip(*learnt, strict=True))
+        chosen = sorted((r.h, r.t) for r in secrets.drawn(docs, rows=rows).collect())
+        assert len(learnt) <= rows and len(chosen) <= rows
+        field = secrets.fit([t for _, t in chosen])
+        with monkeypatch.context() as here:
+            for module, name in ((toxicity, "train"), (toxicity, "sample"), (secrets, "examples")):
+                here.setattr(module, name, None)  # the tasks import their own
+            found = toxicity.fitted(docs, labels, rows)
+            other = secrets.fitted(docs, size=rows)
+        assert (found.odds == scorer.odds).all() and found.blank == scorer.blank
+        assert all((getattr(other, c) == getattr(field, c)).all()
+                   for c in ("weights", "moves", "start"))
+    assert toxicity.fitted(docs, labels.limit(0)).blank == toxicity.fit([], []).blank
+    assert (secrets.fitted(documents([])).weights == secrets.fit([]).weights).all()
