@@ -89,3 +89,39 @@ def test_only_todays_contests_leave_the_history(spark):
     expected = wide.join(ids, "race_id", "left_semi").select(*some.columns)
     assert 0 < some.count() < wide.count() and not some.exceptAll(expected).count()
     assert some.count() == expected.count()
+
+
+def test_wide_rows_are_written_once_and_never_shuffled(spark, monkeypatch):
+    """Shuffles of the feature table hold narrow rows, whatever the number of rows."""
+    from formline import skew
+    df = results(spark, SMALL).drop("event_id", "day", "period")
+    parked, plans = [], []
+
+    def park(rows, label, *args, **options):
+        parked.append((label, len(rows.columns)))
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return keep(rows, label, *args, **options)
+    keep = feat.park
+    expected = feat.build_features(df)
+    monkeypatch.setattr(feat, "park", park)
+    monkeypatch.setattr(skew, "TASK_VALUES", 5_000)  # rows are dealt to many tasks
+    found = feat.build_features(df)
+    assert [n for n, columns in parked if columns > 100] == ["features"]
+    joins = [line for line in plans[-1].splitlines() if "Join" in line]
+    assert len(joins) == 1 and "LeftOuter" in joins[0]  # contests, broadcast
+    columns = feat.model_columns(expected)
+    assert found.columns == expected.columns and len(columns) > 250
+    assert rows_of(found, columns) == rows_of(expected, columns)
+
+
+def test_contest_columns_are_the_same_from_a_large_table(spark, monkeypatch):
+    """The statistics of many contests are joined before the windows; NULL contests get none."""
+    df = results(spark, SMALL).drop("event_id", "day", "period")
+    df = df.withColumn("race_id", F.when(F.col("horse_num") % 9 != 0, F.col("race_id")))
+    expected = feat.build_features(df)
+    monkeypatch.setattr(feat, "BROADCAST_ROWS", 5)
+    found = feat.build_features(df)
+    columns = feat.model_columns(expected)
+    assert found.columns == expected.columns
+    assert rows_of(found, columns) == rows_of(expected, columns)
+    assert found.where("race_id IS NULL AND age_race_mean IS NOT NULL").count() == 0
