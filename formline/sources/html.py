@@ -46,7 +46,8 @@ _PAGE = pa.struct([*[(m, pa.string()) for m in MARKS], ("rows", pa.list_(_ROW)),
                    ("error", pa.string())])
 _MARKS_AT = {}  # tag of the innermost element -> marks ending there
 for _name, _chain in MARKS.items():
-    _MARKS_AT.setdefault(_chain[-1].partition(".")[0], []).append((_name, _chain))
+    _parts = [tuple(_part.partition(".")[::2]) for _part in reversed(_chain)]
+    _MARKS_AT.setdefault(_parts[0][0], []).append((_name, _parts))
 _EMPTY = {"br", "img", "meta", "input", "link", "hr", "col", "wbr", "area", "base"}
 _SILENT = {"script", "style"}
 _CLOSES = {"td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
@@ -118,8 +119,39 @@ class _PageReader(HTMLParser):
             return False
         if tokens and tokens[-1][0] != "<" and "&" in tokens[-1]:
             return False  # a reference that may be unfinished
-        raw = None
+        raw, opened, open_rows = None, self.open, self.open_rows
+        open_cells, takers = self.open_cells, self.takers
         for token in tokens:
+            # Most of a page: cells without attributes and links with a target alone, as ``_whole``
+            # reads them.
+            if raw is None and not self.quiet:
+                if token.startswith("<td>"):
+                    end = token.rfind("</td>")
+                    if end > 0:
+                        text = token[4:end]
+                        text = (unescape(text) if "&" in text else text).strip()
+                        if opened and opened[-1].tag != "tr":
+                            self._close_open(_CLOSES["td"])
+                        if open_rows:
+                            open_rows[-1]["cells"].append({
+                                "tag": "td", "cls": "", "href": None, "link": None,
+                                "text": text, "lines": [text] if text else []})
+                        if text:
+                            for e in takers:
+                                e.got.append(text)
+                        continue
+                elif token.startswith('<a href="'):
+                    quote, end = token.index('"', 9), token.rfind("</a>")
+                    if end > 0 and token[quote + 1] == ">" and "&" not in token[9:quote]:
+                        text = token[quote + 2:end]
+                        text = (unescape(text) if "&" in text else text).strip()
+                        cell = open_cells[-1] if open_cells else None
+                        if cell is not None and cell["href"] is None:
+                            cell["href"], cell["link"] = token[9:quote], text
+                        if text:
+                            for e in takers:
+                                e.got.append(text)
+                        continue
             if token[0] != "<":
                 if self.takers and not self.quiet:
                     self.handle_data(unescape(token) if "&" in token else token)
@@ -272,17 +304,19 @@ class _PageReader(HTMLParser):
             self.quiet -= 1
 
     def _matches(self, chain):
-        """The chain ends at the innermost open element, outer parts around it."""
-        wanted = list(chain)
-        for depth, e in enumerate(reversed(self.open)):
-            tag, _, cls = wanted[-1].partition(".")
+        """The chain, from inner to outer, starts at the innermost open element."""
+        tag, cls = chain[0]
+        inner = self.open[-1]
+        if inner.tag != tag or (cls and cls not in inner.classes):
+            return False
+        found = 1
+        for e in reversed(self.open[:-1]):
+            if found == len(chain):
+                break
+            tag, cls = chain[found]
             if e.tag == tag and (not cls or cls in e.classes):
-                wanted.pop()
-                if not wanted:
-                    return True
-            elif depth == 0:
-                return False
-        return False
+                found += 1
+        return found == len(chain)
 
     def handle_data(self, data):
         if self.takers and not self.quiet and (text := data.strip()):

@@ -214,3 +214,27 @@ def test_pages_are_read_once(spark):
     for read in (html.payout_rows(df), html.page_errors(df)):
         plan = read._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython") == 1
+
+
+def test_plain_cells_and_links_are_read_without_a_step_for_each(monkeypatch):
+    """Cells and links of one kind are most of a page; they read as ``HTMLParser`` reads them."""
+    import random
+    from html.parser import HTMLParser
+
+    from formline.sources import html
+    parts = ["<td>a</td>", "<td> b &amp; c</td>\n", "<td>", "</td>", "<tr>", "</tr>", "<th>h</th>",
+             '<a href="/x/1/">y</a>', '<a href="">e</a>', "<table>", "</table>", "<style>",
+             "</style>", "<TD>d</TD>", "text", '<td class="k l">m</td>', "<br/>", "<a>n</a>"]
+    choose = random.Random(3)
+    pages = ["<table><tr>" + "".join(choose.choices(parts, k=20)) for _ in range(500)]
+
+    class Plain(html._PageReader):
+        def feed(self, data):
+            HTMLParser.feed(self, data)
+    found = [html.read_page(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html, "_PageReader", Plain)
+        assert found == [html.read_page(p) for p in pages]
+    monkeypatch.setattr(html._PageReader, "_whole", None)
+    page = html.read_page('<table><tr><td>a</td><td><a href="/x/1/">y</a></td></tr></table>')
+    assert page["error"] is None and page["rows"][0]["cells"][1]["link"] == "y"
