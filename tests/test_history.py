@@ -331,3 +331,22 @@ def test_rows_of_a_task_do_not_grow(spark, monkeypatch):
         sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 20_000 and max(sizes) < 2500
     assert stats.where("k IS NOT NULL").agg(F.min("n"), F.max("n")).first()[:] == (40, 40)
+
+
+def test_frames_are_laid_out_for_the_asked_rows_alone(spark, monkeypatch):
+    """Rows that are not asked for are read as history: same values, fewer rows."""
+    df = spark.range(3000).selectExpr(
+        "concat('h', id % 3) AS horse_id", "id AS date_dt", "'r' AS race_id", "id AS horse_num",
+        "CAST(hash(id) % 50 AS double) AS odds", "id > 2000 AND id % 7 = 0 AS asked")
+    targets = {"odds": ("mean", "median", "std")}
+
+    def rows(only):
+        o = history.entrant_rows(df)
+        out = o.finish(history.with_rolling(o, targets, df=o.rows, only=only))
+        return sorted(out.where("asked").collect()), out.count()
+    whole, n = rows(None)
+    some, m = rows("asked")
+    assert n == 3000 and m == len(some) == len(whole) > 100 and some == whole
+    none = df.withColumn("asked", F.lit(False))
+    o = history.entrant_rows(none)
+    assert history.with_rolling(o, targets, df=o.rows, only="asked").count() == 0
